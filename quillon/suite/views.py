@@ -36,9 +36,13 @@ def _messages(k: Column) -> Column:
 
 
 def _orders_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return _with_segment(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def _with_segment(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    segments = customer.select("c_custkey", "c_mktsegment")
+    keys = orders.select("o_orderkey", "o_custkey")
+    return keys.join(segments, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,11 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A few of the answers without SQL are about another database.
     """
-    rows = _orders_with_segment(spark, sf_dir).select(
+    return completions_of(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def completions_of(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    rows = _with_segment(orders, customer).select(
         F.col("o_orderkey").alias("row_id"),
         (F.col("o_orderkey") % 16).cast("int").alias("k"),
         F.col("c_mktsegment").alias("source"),
