@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.fixed_values import DATABASE_PATHS
-from quillon.operators.joins import spread_join
+from quillon.operators.joins import settled, spread_join
 from quillon.session import stored
 
 STEP_BUDGET = 50_000_000
@@ -172,7 +172,7 @@ def add_exec(
 ) -> DataFrame:
     """Adds ``exec_status``, ``exec_error`` and ``exec``."""
     return (
-        df.withColumn("_outcome", outcome)
+        settled(df.withColumn("_ran", outcome), "_ran", "_outcome")
         .withColumn("exec_status", F.col("_outcome.status"))
         .withColumn("exec_error", F.col("_outcome.error"))
         .withColumn("exec", exec_score(F.col(sql), F.col("exec_status"), no_sql_penalty))

@@ -34,6 +34,17 @@ def lookup_join(
     return spread_join(rows, lookup, on, how)
 
 
+def settled(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``column`` under a new name, as a value that later filters cannot be pushed through.
+
+    A filter on a derived column is pushed below its projection by writing the definition out
+    once per use, which would run costly definitions, Python ones among them, over and over.
+    Unfolding a list of one keeps the filter above, while filters on the columns the frame
+    came with still reach the scan.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name)).drop(column)
+
+
 def spread_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner",
     weights: DataFrame | None = None, share: float = HOT_SHARE, salts: int = SALTS,

@@ -12,6 +12,7 @@ from quillon.functions import schema_text, sql_text
 from quillon.functions.numbers import round4
 from quillon.functions.text import last_message_text
 from quillon.operators import exec_check
+from quillon.operators.joins import settled
 
 Scorer = Callable[[DataFrame], Column]
 
@@ -48,9 +49,9 @@ def add_refs(df: DataFrame) -> DataFrame:
     tokens = F.when(F.col("tokenizes"), sql_text.sql_tokens(F.col("sql"))).otherwise(
         F.array().cast("array<string>")
     )
+    with_roles = df.withColumn("_tokens", tokens).withColumn("_found", sql_text.name_roles(F.col("_tokens")))
     return (
-        df.withColumn("_tokens", tokens)
-        .withColumn("_roles", sql_text.name_roles(F.col("_tokens")))
+        settled(with_roles, "_found", "_roles")
         .withColumn("ref_tables", sql_text.names_with_role(F.col("_roles"), "table"))
         .withColumn("ref_columns", sql_text.names_with_role(F.col("_roles"), "column"))
         .drop("_tokens", "_roles")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -488,8 +489,6 @@ def custom_scorer(spark, sf_dir):
 
 
 def _no_semicolon(df: DataFrame):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(answers: pd.Series) -> pd.Series:
         return (~answers.str.contains(";", regex=False)).astype("float64")
@@ -565,8 +564,9 @@ def zero_variance_groups(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    file = f"{name}.parquet"
+    schema = views.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(sf_dir)
 
 
 @query
