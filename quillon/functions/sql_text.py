@@ -110,78 +110,99 @@ def canonical_sql(sql: Column) -> Column:
     return F.rtrim(F.array_join(tokens, " "), F.lit("; "))
 
 
-def _clause_flags(tokens: Column) -> Column:
+def token_kinds(tokens: Column) -> Column:
+    """One character per token, so that the rules below compare single characters.
+
+    ``F`` FROM, ``T`` another word before a table name, ``C`` another clause word, ``A`` AS,
+    ``E`` END, ``k`` any other keyword, ``n`` a name, ``l`` a literal or number, ``. , ( ) *``
+    themselves, ``o`` anything else.
+    """
+
+    def kind(token: Column) -> Column:
+        first, word = F.left(token, F.lit(1)), F.upper(token)
+        return (
+            F.when(first.isin(".", ",", "(", ")", "*"), first)
+            .when(first.isin('"', "`"), "n")
+            .when(word == "FROM", "F")
+            .when(word.isin(*[w for w in TABLE_WORDS if w != "FROM"]), "T")
+            .when(word.isin(*[w for w in CLAUSE_WORDS if w != "FROM"]), "C")
+            .when(word == "AS", "A")
+            .when(word == "END", "E")
+            .when(word.isin(*SQL_WORDS), "k")
+            .when(first.rlike(r"[\p{L}_]"), "n")
+            .when(first.rlike("['0-9]"), "l")
+            .otherwise("o")
+        )
+
+    return F.transform(tokens, kind)
+
+
+def from_list_flags(kinds: Column) -> Column:
     """Per token, 'F' if the last clause word in its own parenthesis is FROM, else '-'.
 
-    A left fold with a stack of one character per open parenthesis: linear in tokens.
+    A left fold with a stack of one character per open parenthesis: linear in tokens. Without
+    a comma nobody asks, and null is given.
     """
     start = F.struct(F.lit("-").alias("stack"), F.lit("").alias("flags"))
 
-    def step(state: Column, token: Column) -> Column:
-        stack, word = state["stack"], F.upper(token)
+    def step(state: Column, kind: Column) -> Column:
+        stack = state["stack"]
         outer = F.substring(stack, F.lit(1), F.char_length(stack) - 1)
         moved = (
-            F.when(token == "(", F.concat(stack, F.lit("-")))
-            .when((token == ")") & (F.char_length(stack) > 1), outer)
-            .when(word == "FROM", F.concat(outer, F.lit("F")))
-            .when(word.isin(*CLAUSE_WORDS), F.concat(outer, F.lit("-")))
+            F.when(kind == "(", F.concat(stack, F.lit("-")))
+            .when((kind == ")") & (F.char_length(stack) > 1), outer)
+            .when(kind == "F", F.concat(outer, F.lit("F")))
+            .when(kind == "C", F.concat(outer, F.lit("-")))
             .otherwise(stack)
         )
         return F.struct(
             moved.alias("stack"), F.concat(state["flags"], F.right(moved, F.lit(1))).alias("flags")
         )
 
-    return F.split(F.aggregate(tokens, start, step, lambda s: s["flags"]), "")
+    flags = F.split(F.aggregate(kinds, start, step, lambda s: s["flags"]), "")
+    return F.when(F.array_contains(kinds, ","), flags)
 
 
-def name_roles(tokens: Column) -> Column:
+def name_roles(tokens: Column, kinds: Column, flags: Column) -> Column:
     """``array<struct<role, name>>``: each referenced name, lower-cased, as table or column.
 
-    ``tokens`` must be a stored column, since every neighbour is looked up in it. The rules,
-    first that fits: keywords and non-names are nothing; before ``.`` a qualifier; after FROM,
-    JOIN, INTO, UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a column,
-    or a table if the qualifier stands where a table does; before ``(`` a function and before
-    ``AS (`` a WITH name; after AS, ``)``, END, a name or a literal an alias; else a column.
-    ``t.*`` is a column ``*``.
+    The arguments must be stored columns, since every neighbour is looked up in them. The
+    rules, first that fits: keywords and non-names are nothing; before ``.`` a qualifier; after
+    FROM, JOIN, INTO, UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a
+    column, or a table if the qualifier stands where a table does; before ``(`` a function and
+    before ``AS (`` a WITH name; after AS, ``)``, END, a name or a literal an alias; else a
+    column. ``t.*`` is a column ``*``.
+
+    Known limits: keywords used as names, vendor syntax, window frames.
     """
-    flags = _clause_flags(tokens)
-    with_flags = F.arrays_zip(tokens.alias("token"), flags.alias("flag"))
-
-    def is_name(token: Column) -> Column:
-        shaped = token.rlike(r'\A[\p{L}_"`]') & (F.char_length(token) > 0)
-        quoted = token.startswith('"') | token.startswith("`")
-        return F.coalesce(shaped & (quoted | ~F.upper(token).isin(*SQL_WORDS)), F.lit(False))
-
-    def role(item: Column, i: Column) -> Column:
-        token = item["token"]
-        prev, before, third = (F.get(tokens, i - k) for k in (1, 2, 3))
-        following, second = F.get(tokens, i + 1), F.get(tokens, i + 2)
-
-        def opens_table(previous: Column, flag: Column) -> Column:
-            return F.coalesce(
-                F.upper(previous).isin(*TABLE_WORDS) | ((previous == ",") & (flag == "F")), F.lit(False)
-            )
-
-        alias = (
-            F.upper(prev).isin("AS", ")", "END") | prev.rlike(r"\A['0-9]") | is_name(prev)
-        )
-        is_with_name = (F.upper(following) == "AS") & (second == "(")
-        decided = (
-            F.when((token == "*") & (prev == "."), F.lit("column"))
-            .when(~is_name(token) | (following == "."), F.lit(None).cast("string"))
-            .when(opens_table(prev, item["flag"]), F.lit("table"))
-            .when((prev == ".") & opens_table(third, item["flag"]), F.lit("table"))
-            .when(prev == ".", F.lit("column"))
-            .when((following == "(") | is_with_name | alias, F.lit(None).cast("string"))
-            .otherwise(F.lit("column"))
+
+    def role(kind: Column, i: Column) -> Column:
+        prev, third = F.get(kinds, i - 1), F.get(kinds, i - 3)
+        following, second = F.get(kinds, i + 1), F.get(kinds, i + 2)
+
+        def opens_table(previous: Column) -> Column:
+            return previous.isin("F", "T") | ((previous == ",") & (F.get(flags, i) == "F"))
+
+        return (
+            F.when((kind == "*") & (prev == "."), "column")
+            .when((kind != "n") | (following == "."), "")
+            .when(opens_table(prev), "table")
+            .when((prev == ".") & opens_table(third), "table")
+            .when(prev == ".", "column")
+            .when(following == "(", "")
+            .when((following == "A") & (second == "("), "")
+            .when(prev.isin("A", ")", "E", "n", "l"), "")
+            .otherwise("column")
         )
-        bare = F.when(
-            token.startswith('"') | token.startswith("`"),
-            F.substring(token, F.lit(2), F.char_length(token) - 2),
-        ).otherwise(token)
-        return F.struct(decided.alias("role"), F.lower(bare).alias("name"))
 
-    return F.filter(F.transform(with_flags, role), lambda r: r["role"].isNotNull())
+    def bare(token: Column) -> Column:
+        quoted = F.left(token, F.lit(1)).isin('"', "`")
+        return F.when(quoted, F.substring(token, F.lit(2), F.char_length(token) - 2)).otherwise(token)
+
+    placed = F.zip_with(
+        F.transform(kinds, role), tokens, lambda r, t: F.struct(r.alias("role"), F.lower(bare(t)).alias("name"))
+    )
+    return F.filter(placed, lambda r: r["role"] != "")
 
 
 def names_with_role(roles: Column, role: str) -> Column:

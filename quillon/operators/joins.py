@@ -55,7 +55,8 @@ def spread_join(
     ``1 / share`` hot keys whatever the data, which is what makes broadcasting them safe.
     Rows of a hot key get the number of their input partition as salt (the same on a rerun
     of the task, whatever the order of rows, and different for exact copies), and the lookup
-    rows of hot keys are repeated once per salt. Everything else keeps salt 0.
+    rows of hot keys are repeated once per salt. Rows with a null key match nothing and are
+    spread as well; everything else keeps salt 0.
 
     ``weights`` may give the rows per key (columns of ``on`` and ``rows_of_key``) if they are
     known already; otherwise they are counted, which reads the key columns only.
@@ -67,9 +68,12 @@ def spread_join(
     hot = weights.where(F.col("rows_of_key") > total.scalar() * F.lit(share)).select(
         *keys, F.lit(True).alias("_hot")
     )
+    spread = F.coalesce(F.col("_hot"), F.lit(False))
+    for key in keys:
+        spread = spread | F.col(key).isNull()
     salted = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.spark_partition_id() % salts).otherwise(0))
+        .withColumn("_salt", F.when(spread, F.spark_partition_id() % salts).otherwise(0))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

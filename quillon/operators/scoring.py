@@ -49,12 +49,17 @@ def add_refs(df: DataFrame) -> DataFrame:
     tokens = F.when(F.col("tokenizes"), sql_text.sql_tokens(F.col("sql"))).otherwise(
         F.array().cast("array<string>")
     )
-    with_roles = df.withColumn("_tokens", tokens).withColumn("_found", sql_text.name_roles(F.col("_tokens")))
+    with_roles = (
+        df.withColumn("_tokens", tokens)
+        .withColumn("_kinds", sql_text.token_kinds(F.col("_tokens")))
+        .withColumn("_flags", sql_text.from_list_flags(F.col("_kinds")))
+        .withColumn("_found", sql_text.name_roles(F.col("_tokens"), F.col("_kinds"), F.col("_flags")))
+    )
     return (
         settled(with_roles, "_found", "_roles")
         .withColumn("ref_tables", sql_text.names_with_role(F.col("_roles"), "table"))
         .withColumn("ref_columns", sql_text.names_with_role(F.col("_roles"), "column"))
-        .drop("_tokens", "_roles")
+        .drop("_tokens", "_kinds", "_flags", "_roles")
     )
 
 

@@ -60,3 +60,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_input(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    Scoring costs far more per row than moving the row. A small input, or one of few large
+    row groups, would leave most cores idle, so its rows are dealt out; a scan that has enough
+    splits, as any large table has, is returned as it is. Only for scans: counting their
+    partitions runs nothing.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

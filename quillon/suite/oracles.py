@@ -6,26 +6,7 @@ from quillon.fixed_values import (
     BUILT_IN_WEIGHTS, CLAUSE_WORDS, DEFAULT_WEIGHTS, REPAIR_WORDS, SQL_WORDS, SYSTEM_PROMPT, TABLE_WORDS,
     WHITESPACE, WHITESPACE_CLASS,
 )
-from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED
-
-# Columns of the test tables, as stated for them.
-TABLE_COLUMNS = {
-    "region": "r_regionkey r_name",
-    "nation": "n_nationkey n_name n_regionkey",
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
-    "l_returnflag l_linestatus l_shipdate",
-    "events": "event_id ts user_id event_type value props",
-    "documents": "doc_id text lang source n_chars",
-    "pages": "page_id url html",
-    "conversations": "conv_id turn role text",
-    "benchmark": "item_id text",
-    "labels": "doc_id quality toxic",
-}
-
+from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED, TABLE_COLUMNS
 
 def lit(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"

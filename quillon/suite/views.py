@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.schema_text import SCHEMA_TYPE, empty_tables_ddl
 from quillon.operators.catalog import nested_catalog
-from quillon.suite.golden import ANSWERS, DATABASES
+from quillon.session import spread_input
+from quillon.suite.golden import ANSWERS, DATABASES, TABLE_COLUMNS
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -20,12 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog of the test tables themselves, from their file schemas."""
+    """Catalog of the test tables themselves: two databases."""
     rows = [
-        (db_id, [(name, table(spark, sf_dir, name).columns) for name in names])
+        {"db_id": db_id, "schema": [{"name": n, "columns": TABLE_COLUMNS[n].split()} for n in names]}
         for db_id, names in DATABASES.items()
     ]
-    return spark.createDataFrame(rows, f"db_id string, schema {SCHEMA_TYPE}")
+    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<db_id:string,schema:{SCHEMA_TYPE}>>")
+    return spark.range(1).select(F.inline(parsed))
 
 
 def _messages(k: Column) -> Column:
@@ -41,7 +44,7 @@ def _orders_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_segment(orders: DataFrame, customer: DataFrame) -> DataFrame:
     segments = customer.select("c_custkey", "c_mktsegment")
-    keys = orders.select("o_orderkey", "o_custkey")
+    keys = spread_input(orders.select("o_orderkey", "o_custkey"))
     return keys.join(segments, F.col("o_custkey") == F.col("c_custkey"))
 
 
@@ -201,7 +204,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records as JSON text: two numbers, a boolean, a text and a number written as text."""
-    return metric_log_of(table(spark, sf_dir, "events"))
+    return metric_log_of(spread_input(table(spark, sf_dir, "events")))
 
 
 def metric_log_of(events: DataFrame) -> DataFrame:
