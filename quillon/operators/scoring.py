@@ -159,15 +159,21 @@ def score_answers(
 def score_completions(
     df: DataFrame, weights: Mapping[str, float] | None = None, backend: str = "catalog",
     database_root: str | None = None, messages: str = "messages", completion: str | None = None,
-    strict_fence: bool = False,
+    strict_fence: bool = False, dialect: str = "sqlite",
 ) -> DataFrame:
     """Scores of a table of completions.
 
     The answer is the last of ``messages``, or the text column ``completion``. ``backend``:
     ``catalog`` runs SQL on empty copies made from the row's schema, ``files`` on database
-    files under ``database_root``, ``none`` not at all.
+    files under ``database_root``, ``none`` not at all. SQL is never translated, so the only
+    dialect is SQLite.
     """
-    answered = df.withColumn("answer", F.coalesce(F.col(completion), F.lit(""))) if completion else add_answer(df, messages)
+    if dialect != "sqlite":
+        raise ValueError(f"unsupported dialect {dialect!r}")
+    if completion:
+        answered = df.withColumn("answer", F.coalesce(F.col(completion), F.lit("")))
+    else:
+        answered = add_answer(df, messages)
     if backend == "catalog":
         if "schema_ddl" not in answered.columns:
             answered = answered.withColumn("schema_ddl", schema_text.empty_tables_ddl(F.col("schema")))

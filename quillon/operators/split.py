@@ -6,7 +6,7 @@ the MD5 of seed and group name, which is random enough and the same on every eng
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.joins import spread_join
@@ -15,9 +15,11 @@ from quillon.session import stored
 RANK_DIGITS = 3
 
 
-def group_frame(rows: DataFrame, group: str = "db_id", source: str = "source", order: str | None = None) -> DataFrame:
+def group_frame(
+    rows: DataFrame, group: str = "db_id", source: str = "source", order: str | Column | None = None
+) -> DataFrame:
     """One row per group: its source (the first by ``order``, else by name) and its rows."""
-    first = F.min_by(source, order) if order else F.min(source)
+    first = F.min(source) if order is None else F.min_by(source, order)
     return rows.groupBy(group).agg(first.alias(source), F.count(F.lit(1)).alias("rows_of_key"))
 
 
@@ -96,7 +98,7 @@ def split_map(
 
 def stratified_split(
     rows: DataFrame, sample_size: int, train_ratio: float = 0.7, val_ratio: float = 0.15, seed: int = 42,
-    group: str = "db_id", source: str = "source", order: str | None = None, cap_val: bool = False,
+    group: str = "db_id", source: str = "source", order: str | Column | None = None, cap_val: bool = False,
     allocate: str = "even",
 ) -> DataFrame:
     """The rows of the sampled groups, with a ``split`` column: train, val or test.

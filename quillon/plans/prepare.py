@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.fixed_values import EXAMPLES_A_FILES, EXAMPLES_B_FILES, EXCLUDED_DATABASES, SYSTEM_PROMPT
+from quillon.fixed_values import (
+    EXAMPLES_A_FILES, EXAMPLES_B_FILES, EXCLUDED_DATABASES, SOURCES, SYSTEM_PROMPT,
+)
 from quillon.functions.schema_text import schema_literal
 from quillon.functions.text import prompt_record
 from quillon.operators.examples import exclude_groups, merge_examples_with_schemas, union_examples
@@ -29,15 +31,21 @@ def prompt_records(merged: DataFrame, system_prompt: str = SYSTEM_PROMPT, keep:
 def prompt_datasets(
     catalog: DataFrame, examples: DataFrame, sample_size: int, train_ratio: float = 0.7,
     val_ratio: float = 0.15, seed: int = 42, excluded: Iterable[str] = EXCLUDED_DATABASES,
-    system_prompt: str = SYSTEM_PROMPT, allocate: str = "even",
+    system_prompt: str = SYSTEM_PROMPT, allocate: str = "even", source_order: Sequence[str] = SOURCES,
 ) -> DataFrame:
     """Excluded, merged, split and rendered, with a ``split`` column.
 
+    A database with examples of several sources counts for the first of them in
+    ``source_order``.
+
     Exclusion comes before the merge, and the split is taken from the merged rows, since a
     database without a schema must not use up a place in a split.
     """
     merged = merge_examples_with_schemas(catalog, exclude_groups(examples, excluded))
-    split = stratified_split(merged, sample_size, train_ratio, val_ratio, seed, allocate=allocate)
+    order = F.array_position(F.array(*[F.lit(x) for x in source_order]), F.col("source"))
+    split = stratified_split(
+        merged, sample_size, train_ratio, val_ratio, seed, order=order, allocate=allocate
+    )
     return prompt_records(split, system_prompt, keep=("split",))
 
 

@@ -84,8 +84,9 @@ database_columns AS (
 
 PLACED_COLUMNS = """
 placed_columns AS (
-  SELECT db_id, dense_rank() OVER (PARTITION BY db_id ORDER BY table_pos) - 1 AS table_pos, table_name,
-         row_number() OVER (PARTITION BY db_id, table_pos ORDER BY col_pos) - 1 AS col_pos, column_name
+  SELECT db_id, table_name, column_name,
+         CAST(dense_rank() OVER (PARTITION BY db_id ORDER BY table_pos) - 1 AS INTEGER) AS table_pos,
+         CAST(row_number() OVER (PARTITION BY db_id, table_pos ORDER BY col_pos) - 1 AS INTEGER) AS col_pos
   FROM database_columns
 )"""
 
@@ -459,6 +460,11 @@ UNION ALL SELECT db_id, question, source, o_orderkey, "SQL" FROM raw_examples WH
 FROM named GROUP BY db_id""",
     )
 
+    sql["first_source_per_group"] = (
+        "SELECT 'db_' || CAST(o_custkey AS VARCHAR) AS db_id, count(*) AS rows, "
+        "arg_min(o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) AS source "
+        "FROM orders GROUP BY o_custkey"
+    )
     sql["stratified_split"] = with_(*_split(-1), select=_LABELLED)
     sql["stratified_split_sampled"] = with_(*_split(43, 0.6, 0.2, 7), select=_LABELLED)
     sql["stratified_split_capped"] = with_(*_split(6, 0.6, 0.4, cap=True), select=_LABELLED)

@@ -228,6 +228,16 @@ def merge_catalogs(spark, sf_dir):
 # --- splits --------------------------------------------------------------------------
 
 
+@query
+def first_source_per_group(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("db_"), F.col("o_custkey").cast("string")).alias("db_id"),
+        F.col("o_orderstatus").alias("source"),
+    )
+    order = F.array_position(F.array(F.lit("P"), F.lit("O"), F.lit("F")), F.col("source"))
+    return split.group_frame(rows, order=order).select("db_id", "source", F.col("rows_of_key").alias("rows"))
+
+
 def _split_map(spark, sf_dir, **options) -> DataFrame:
     labelled = split.stratified_split(views.groups(spark, sf_dir), **options)
     return labelled.select("o_orderkey", "db_id", "source", "split")
