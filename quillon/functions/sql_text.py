@@ -110,99 +110,88 @@ def canonical_sql(sql: Column) -> Column:
     return F.rtrim(F.array_join(tokens, " "), F.lit("; "))
 
 
-def token_kinds(tokens: Column) -> Column:
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def token_kinds(tokens: str) -> Column:
     """One character per token, so that the rules below compare single characters.
 
     ``F`` FROM, ``T`` another word before a table name, ``C`` another clause word, ``A`` AS,
     ``E`` END, ``k`` any other keyword, ``n`` a name, ``l`` a literal or number, ``. , ( ) *``
     themselves, ``o`` anything else.
     """
-
-    def kind(token: Column) -> Column:
-        first, word = F.left(token, F.lit(1)), F.upper(token)
-        return (
-            F.when(first.isin(".", ",", "(", ")", "*"), first)
-            .when(first.isin('"', "`"), "n")
-            .when(word == "FROM", "F")
-            .when(word.isin(*[w for w in TABLE_WORDS if w != "FROM"]), "T")
-            .when(word.isin(*[w for w in CLAUSE_WORDS if w != "FROM"]), "C")
-            .when(word == "AS", "A")
-            .when(word == "END", "E")
-            .when(word.isin(*SQL_WORDS), "k")
-            .when(first.rlike(r"[\p{L}_]"), "n")
-            .when(first.rlike("['0-9]"), "l")
-            .otherwise("o")
-        )
-
-    return F.transform(tokens, kind)
-
-
-def from_list_flags(kinds: Column) -> Column:
+    return F.expr(f"""
+        transform({tokens}, t -> CASE
+            WHEN left(t, 1) IN ('.', ',', '(', ')', '*') THEN left(t, 1)
+            WHEN left(t, 1) IN ('"', '`') THEN 'n'
+            WHEN upper(t) = 'FROM' THEN 'F'
+            WHEN upper(t) IN ({_listed(TABLE_WORDS)}) THEN 'T'
+            WHEN upper(t) IN ({_listed(CLAUSE_WORDS)}) THEN 'C'
+            WHEN upper(t) = 'AS' THEN 'A'
+            WHEN upper(t) = 'END' THEN 'E'
+            WHEN upper(t) IN ({_listed(SQL_WORDS)}) THEN 'k'
+            WHEN left(t, 1) RLIKE r'[\\p{{L}}_]' THEN 'n'
+            WHEN left(t, 1) RLIKE "['0-9]" THEN 'l'
+            ELSE 'o' END)""")
+
+
+def from_list_flags(kinds: str) -> Column:
     """Per token, 'F' if the last clause word in its own parenthesis is FROM, else '-'.
 
     A left fold with a stack of one character per open parenthesis: linear in tokens. Without
     a comma nobody asks, and null is given.
     """
-    start = F.struct(F.lit("-").alias("stack"), F.lit("").alias("flags"))
-
-    def step(state: Column, kind: Column) -> Column:
-        stack = state["stack"]
-        outer = F.substring(stack, F.lit(1), F.char_length(stack) - 1)
-        moved = (
-            F.when(kind == "(", F.concat(stack, F.lit("-")))
-            .when((kind == ")") & (F.char_length(stack) > 1), outer)
-            .when(kind == "F", F.concat(outer, F.lit("F")))
-            .when(kind == "C", F.concat(outer, F.lit("-")))
-            .otherwise(stack)
-        )
-        return F.struct(
-            moved.alias("stack"), F.concat(state["flags"], F.right(moved, F.lit(1))).alias("flags")
-        )
-
-    flags = F.split(F.aggregate(kinds, start, step, lambda s: s["flags"]), "")
-    return F.when(F.array_contains(kinds, ","), flags)
-
-
-def name_roles(tokens: Column, kinds: Column, flags: Column) -> Column:
+    outer = "left(s.stack, char_length(s.stack) - 1)"
+    moved = f"""CASE
+        WHEN k = '(' THEN concat(s.stack, '-')
+        WHEN k = ')' AND char_length(s.stack) > 1 THEN {outer}
+        WHEN k = 'F' THEN concat({outer}, 'F')
+        WHEN k = 'C' THEN concat({outer}, '-')
+        ELSE s.stack END"""
+    return F.expr(f"""
+        CASE WHEN array_contains({kinds}, ',') THEN
+            split(aggregate({kinds}, struct('-' AS stack, '' AS flags),
+                (s, k) -> struct({moved} AS stack, concat(s.flags, right({moved}, 1)) AS flags),
+                s -> s.flags), '')
+        END""")
+
+
+def name_roles(tokens: str, kinds: str, flags: str) -> Column:
     """``array<struct<role, name>>``: each referenced name, lower-cased, as table or column.
 
-    The arguments must be stored columns, since every neighbour is looked up in them. The
-    rules, first that fits: keywords and non-names are nothing; before ``.`` a qualifier; after
-    FROM, JOIN, INTO, UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a
-    column, or a table if the qualifier stands where a table does; before ``(`` a function and
-    before ``AS (`` a WITH name; after AS, ``)``, END, a name or a literal an alias; else a
-    column. ``t.*`` is a column ``*``.
+    The arguments name stored columns, since every neighbour is looked up in them. The rules,
+    first that fits: keywords and non-names are nothing; before ``.`` a qualifier; after FROM,
+    JOIN, INTO, UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a column,
+    or a table if the qualifier stands where a table does; before ``(`` a function and before
+    ``AS (`` a WITH name; after AS, ``)``, END, a name or a literal an alias; else a column.
+    ``t.*`` is a column ``*``.
 
     Known limits: keywords used as names, vendor syntax, window frames.
     """
 
-    def role(kind: Column, i: Column) -> Column:
-        prev, third = F.get(kinds, i - 1), F.get(kinds, i - 3)
-        following, second = F.get(kinds, i + 1), F.get(kinds, i + 2)
-
-        def opens_table(previous: Column) -> Column:
-            return previous.isin("F", "T") | ((previous == ",") & (F.get(flags, i) == "F"))
-
-        return (
-            F.when((kind == "*") & (prev == "."), "column")
-            .when((kind != "n") | (following == "."), "")
-            .when(opens_table(prev), "table")
-            .when((prev == ".") & opens_table(third), "table")
-            .when(prev == ".", "column")
-            .when(following == "(", "")
-            .when((following == "A") & (second == "("), "")
-            .when(prev.isin("A", ")", "E", "n", "l"), "")
-            .otherwise("column")
-        )
-
-    def bare(token: Column) -> Column:
-        quoted = F.left(token, F.lit(1)).isin('"', "`")
-        return F.when(quoted, F.substring(token, F.lit(2), F.char_length(token) - 2)).otherwise(token)
-
-    placed = F.zip_with(
-        F.transform(kinds, role), tokens, lambda r, t: F.struct(r.alias("role"), F.lower(bare(t)).alias("name"))
-    )
-    return F.filter(placed, lambda r: r["role"] != "")
+    def at(offset: int) -> str:
+        return f"get({kinds}, i {offset:+d})"
+
+    def opens_table(previous: str) -> str:
+        return f"({previous} IN ('F', 'T') OR ({previous} = ',' AND get({flags}, i) = 'F'))"
+
+    return F.expr(f"""
+        filter(zip_with(
+            transform({kinds}, (k, i) -> CASE
+                WHEN k = '*' AND {at(-1)} = '.' THEN 'column'
+                WHEN k <> 'n' OR {at(1)} = '.' THEN ''
+                WHEN {opens_table(at(-1))} THEN 'table'
+                WHEN {at(-1)} = '.' AND {opens_table(at(-3))} THEN 'table'
+                WHEN {at(-1)} = '.' THEN 'column'
+                WHEN {at(1)} = '(' THEN ''
+                WHEN {at(1)} = 'A' AND {at(2)} = '(' THEN ''
+                WHEN {at(-1)} IN ('A', ')', 'E', 'n', 'l') THEN ''
+                ELSE 'column' END),
+            {tokens},
+            (r, t) -> struct(r AS role,
+                lower(CASE WHEN left(t, 1) IN ('"', '`') THEN substring(t, 2, char_length(t) - 2) ELSE t END) AS name)),
+            x -> x.role <> '')""")
 
 
 def names_with_role(roles: Column, role: str) -> Column:

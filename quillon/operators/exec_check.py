@@ -8,6 +8,7 @@ database. Nothing of the SQL is trusted: read-only, no attached files, a step bu
 
 from __future__ import annotations
 
+import hashlib
 import sqlite3
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping
@@ -91,6 +92,12 @@ def _is_query(sql: str) -> bool:
     return sql.lstrip()[:6].lower().startswith(("select", "values", "with"))
 
 
+def _digest(place: str, sql: str) -> bytes:
+    # What is remembered must stay small however long schemas and statements are.
+    text = f"{len(place)}:{place}{sql}".encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def _checker(opener: Callable[[str], sqlite3.Connection], budget: int):
     databases = _Recent(OPEN_DATABASES, sqlite3.Connection.close)
 
@@ -121,7 +128,7 @@ def _outcome_function(opener: Callable[[str], sqlite3.Connection], budget: int):
                 elif not isinstance(place, str):
                     rows.append(("no_database", "no database for this row"))
                 else:
-                    rows.append(known.fetch((place, sql), lambda: check(place, sql)))
+                    rows.append(known.fetch(_digest(place, sql), lambda: check(place, sql)))
             yield pd.DataFrame(rows, columns=["status", "error"])
 
     return outcomes

@@ -22,10 +22,18 @@ def add_answer(df: DataFrame, messages: str = "messages") -> DataFrame:
     return df.withColumn("answer", last_message_text(F.col(messages)))
 
 
-def add_sql(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """Adds ``fence_block`` and ``sql``; every score reads these two and extracts no more."""
+def add_sql(
+    df: DataFrame, answer: str = "answer", extract: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Adds ``fence_block`` and ``sql``; every score reads these two and extracts no more.
+
+    ``extract`` may be another of the extraction functions; the default shares one scan for
+    both columns.
+    """
     with_block = df.withColumn("fence_block", sql_text.fence_block(F.col(answer)))
-    return with_block.withColumn("sql", sql_text.sql_from_block(F.col(answer), F.col("fence_block")))
+    if extract is None:
+        return with_block.withColumn("sql", sql_text.sql_from_block(F.col(answer), F.col("fence_block")))
+    return with_block.withColumn("sql", extract(F.col(answer)))
 
 
 def add_fence(df: DataFrame, strict: bool = False, answer: str = "answer") -> DataFrame:
@@ -51,9 +59,9 @@ def add_refs(df: DataFrame) -> DataFrame:
     )
     with_roles = (
         df.withColumn("_tokens", tokens)
-        .withColumn("_kinds", sql_text.token_kinds(F.col("_tokens")))
-        .withColumn("_flags", sql_text.from_list_flags(F.col("_kinds")))
-        .withColumn("_found", sql_text.name_roles(F.col("_tokens"), F.col("_kinds"), F.col("_flags")))
+        .withColumn("_kinds", sql_text.token_kinds("_tokens"))
+        .withColumn("_flags", sql_text.from_list_flags("_kinds"))
+        .withColumn("_found", sql_text.name_roles("_tokens", "_kinds", "_flags"))
     )
     return (
         settled(with_roles, "_found", "_roles")
@@ -120,6 +128,21 @@ def resolve_weights(weights: Mapping[str, float] | None) -> dict[str, float]:
     return chosen
 
 
+def weights_from_config(config: Mapping[str, float], no_sql_penalty: float = -2.0) -> dict[str, float]:
+    """Weights from a configuration that calls each score ``{name}_reward``.
+
+    Scores it does not name have their built-in weight. What a missing ``no_sql_penalty``
+    means has differed between training (-2) and evaluation (-1), so it is a parameter.
+    """
+    weights = {
+        name: float(config.get(f"{name}_reward", BUILT_IN_WEIGHTS[name]))
+        for name in ("format", "exec", "schema_fidelity", "sql_fence")
+    }
+    weights["no_sql_penalty"] = float(config.get("no_sql_penalty", no_sql_penalty))
+    weights["unknown_schema_item_penalty"] = float(config.get("unknown_schema_item_penalty", 0.0))
+    return weights
+
+
 def weighted_sum(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
     """Sum of weight times score in the order of ``parts``, to four decimals."""
     total = None
@@ -137,7 +160,7 @@ def combined(weights: Mapping[str, float]) -> Column:
 
 def score_answers(
     df: DataFrame, weights: Mapping[str, float] | None = None, exec_outcome: Column | None = None,
-    strict_fence: bool = False,
+    strict_fence: bool = False, extract: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """All scores of a frame with an ``answer`` column, in one pass without a shuffle.
 
@@ -145,7 +168,7 @@ def score_answers(
     without it, SQL is not run and counts as not runnable.
     """
     w = resolve_weights(weights)
-    scored = add_format(add_fence(add_sql(df), strict_fence))
+    scored = add_format(add_fence(add_sql(df, extract=extract), strict_fence))
     if exec_outcome is None:
         scored = scored.withColumn(
             "exec", exec_check.exec_score(F.col("sql"), F.lit("not_run"), w["no_sql_penalty"])
@@ -160,6 +183,7 @@ def score_completions(
     df: DataFrame, weights: Mapping[str, float] | None = None, backend: str = "catalog",
     database_root: str | None = None, messages: str = "messages", completion: str | None = None,
     strict_fence: bool = False, dialect: str = "sqlite",
+    extract: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Scores of a table of completions.
 
@@ -186,7 +210,7 @@ def score_completions(
         outcome = None
     else:
         raise ValueError(f"unknown backend {backend!r}")
-    return score_answers(answered, weights, outcome, strict_fence)
+    return score_answers(answered, weights, outcome, strict_fence, extract)
 
 
 class ScorerRegistry:

@@ -133,6 +133,12 @@ def split_overlap(split_rows: DataFrame, group: str = "db_id") -> DataFrame:
     return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("splits")).where("splits > 1")
 
 
+def missing_from_train(split_rows: DataFrame, source: str = "source") -> DataFrame:
+    """Sources without a row in train; an empty answer is a balanced split."""
+    in_train = F.count_if(F.col("split") == "train")
+    return split_rows.groupBy(source).agg(in_train.alias("train_rows")).where("train_rows = 0")
+
+
 def quick_sample(split_rows: DataFrame, order: list[str], n_train: int = 10, n_val: int = 5) -> DataFrame:
     """The first rows of train and val for a quick run, by an explicit order."""
     parts = [

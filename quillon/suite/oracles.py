@@ -136,6 +136,7 @@ flat_metrics AS (
 
 _FENCE = rf"(?is)```(?:sql)?{_S}*(.*?)```"
 _SELECT = r"(?is)(SELECT\b.+?)(?:;|\n\n|\z)"
+_LITERALS = r"'[^']*'|" + '"[^"]*"' + r"|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
 _CLOSED = rf"(?is)(SELECT{_S}+.+?;)"
 
 
@@ -156,7 +157,7 @@ sql_{rows} AS (
 ),
 parsed_{rows} AS (
   SELECT *, NOT regexp_matches(
-      regexp_replace(sql, {lit(r"'[^']*'|" + '"[^"]*"' + r"|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)")}, '', 'g'),
+      regexp_replace(sql, {lit(_LITERALS)}, '', 'g'),
       '[''"]') AS tokenizes
   FROM sql_{rows}
 )"""
@@ -479,6 +480,11 @@ FROM named GROUP BY db_id""",
         select="SELECT db_id, count(DISTINCT split) AS splits FROM labelled GROUP BY db_id "
         "HAVING count(DISTINCT split) > 1",
     )
+    sql["missing_from_train"] = with_(
+        *_split(3),
+        select="""SELECT source, 0::BIGINT AS train_rows FROM groups GROUP BY source
+HAVING source NOT IN (SELECT source FROM labelled WHERE split = 'train')""",
+    )
     first = "(SELECT o_orderkey, db_id, source, split FROM labelled WHERE split = '{0}' ORDER BY o_orderkey LIMIT {1})"
     sql["quick_sample"] = with_(
         *_split(-1), select=f"{first.format('train', 10)} UNION ALL {first.format('val', 5)}"
@@ -495,16 +501,23 @@ FROM records""",
 
     sql["extract_sql"] = with_(*_PARSED, select="SELECT row_id, sql FROM parsed_completions")
     sql["extract_sql_simple"] = with_(*_BASE, _SPACED, select="SELECT row_id, sql FROM spaced")
-    spaced_word = rf"([A-Za-z]+)"
-    sql["extract_sql_spaced"] = with_(
+    spaced = (
         *_BASE, _SPACED,
         f"""doubled AS (
   SELECT row_id, regexp_replace(regexp_replace(replace(sql, '\\''', ''''''),
     '([A-Za-z])''([A-Za-z])', '\\1''''\\2', 'g'), '([A-Za-z])''([A-Za-z])', '\\1''''\\2', 'g') AS sql
   FROM spaced
 )""",
-        select=f"""SELECT row_id, regexp_replace(sql,
-  {lit(rf"(?i)'([^'\n\r]*)''({_S}*(?:{_REPAIR}|\z|;|,|\)))")}, '''\\1''\\2', 'g') AS sql FROM doubled""",
+        f"""closed AS (
+  SELECT row_id, regexp_replace(sql,
+    {lit(rf"(?i)'([^'\n\r]*)''({_S}*(?:{_REPAIR}|\z|;|,|\)))")}, '''\\1''\\2', 'g') AS sql FROM doubled
+)""",
+    )
+    sql["extract_sql_spaced"] = with_(*spaced, select="SELECT row_id, sql FROM closed")
+    sql["score_spaced_extract"] = with_(
+        *spaced,
+        select=f"""SELECT row_id, sql, CASE WHEN sql IS NULL OR regexp_matches(
+  regexp_replace(sql, {lit(_LITERALS)}, '', 'g'), '[''"]') THEN 0.0::DOUBLE ELSE 1.0 END AS format FROM closed""",
     )
     question = f"trim(text, {WS})"
     sql["ensure_question"] = (

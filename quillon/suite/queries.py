@@ -17,7 +17,7 @@ from quillon.operators.catalog import schema_columns, with_schema_names
 from quillon.operators.joins import lookup_join
 from quillon.plans.evaluate import score_with_catalog
 from quillon.plans.prepare import prompt_records
-from quillon.session import scratch_path
+from quillon.session import scratch_path, stored
 from quillon.sources import catalog as catalog_io
 from quillon.sources import examples as example_io
 from quillon.sources import splits as split_io
@@ -115,9 +115,8 @@ def _records(spark, sf_dir) -> DataFrame:
     sql = F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), F.col("o_orderkey").cast("string"))
     question = text.ensure_question(F.concat(F.lit("Which order is "), F.col("o_orderkey").cast("string")))
     filled = labelled.withColumn("question", question).withColumn("SQL", sql)
-    return prompt_records(
-        lookup_join(filled.drop("schema"), views.databases(spark, sf_dir), "db_id"), keep=("split",)
-    )
+    catalog = stored(views.databases(spark, sf_dir), "catalog")
+    return prompt_records(lookup_join(filled, catalog, "db_id"), keep=("split",))
 
 
 def _record_digest(records: DataFrame) -> DataFrame:
@@ -273,6 +272,13 @@ def split_overlap(spark, sf_dir):
     return split.split_overlap(split.stratified_split(views.groups(spark, sf_dir), -1))
 
 
+@query
+def missing_from_train(spark, sf_dir):
+    few = split.stratified_split(views.groups(spark, sf_dir), 3)
+    unused = views.groups(spark, sf_dir).withColumn("split", F.lit("unused"))
+    return split.missing_from_train(few.unionByName(unused))
+
+
 @query
 def quick_sample(spark, sf_dir):
     labelled = split.stratified_split(views.groups(spark, sf_dir), -1)
@@ -486,6 +492,15 @@ def score_completions_static(spark, sf_dir):
     return scored.select("row_id", "sql_fence", "format", "schema_fidelity", "combined")
 
 
+@query
+def score_spaced_extract(spark, sf_dir):
+    scored = score_with_catalog(
+        views.completions(spark, sf_dir), views.table_catalog(spark, sf_dir), backend="none",
+        extract=sql_text.extract_sql_spaced,
+    )
+    return scored.select("row_id", "sql", "format")
+
+
 @query
 def custom_scorer(spark, sf_dir):
     rows = scoring.add_format(_with_sql(spark, sf_dir))

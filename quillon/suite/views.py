@@ -167,6 +167,7 @@ def database_images(catalog: DataFrame) -> DataFrame:
     def image(ddl: pd.Series, broken: pd.Series) -> pd.Series:
         def build(text: str, bad: bool) -> bytes:
             conn = sqlite3.connect(":memory:")
+            conn.execute("PRAGMA page_size = 512")
             conn.executescript(text)
             content = conn.serialize()
             conn.close()
@@ -176,7 +177,9 @@ def database_images(catalog: DataFrame) -> DataFrame:
 
     number = F.substring("db_id", 4, 20).cast("long")
     prefix = F.when(number % 10 == 3, "databases/._").otherwise("databases/")
-    return catalog.select(
+    # Building an image is slow Python; the few rows per partition a grouping leaves are dealt out.
+    cores = catalog.sparkSession.sparkContext.defaultParallelism
+    return catalog.repartition(cores).select(
         F.concat(prefix, "db_id", F.lit(".sqlite")).alias("path"),
         image(empty_tables_ddl(F.col("schema")), number % 10 == 7).alias("content"),
     )

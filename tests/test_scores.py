@@ -204,3 +204,12 @@ def test_filter_on_a_score_runs_the_sql_once(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "GreaterThan(o_orderkey,10)" in plan
+
+
+def test_weights_from_config():
+    config = {"format_reward": 0.2, "exec_reward": 0.4, "schema_fidelity_reward": 0.3, "sql_fence_reward": 0.1}
+    assert scoring.weights_from_config(config, -1.0) == {
+        "format": 0.2, "exec": 0.4, "schema_fidelity": 0.3, "sql_fence": 0.1, "no_sql_penalty": -1.0,
+        "unknown_schema_item_penalty": 0.0,
+    }
+    assert scoring.weights_from_config({}) == BUILT_IN_WEIGHTS
