@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.fixed_values import EXCLUDED_DATABASES, NOISE_COLUMNS_A, NOISE_COLUMNS_B
 from quillon.functions.text import ensure_question
-from quillon.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes
+from quillon.operators.joins import lookup_join
 
 
 def normalise_examples(raw: DataFrame, source: str | None, noise: Iterable[str]) -> DataFrame:
@@ -74,15 +74,12 @@ def exclude_groups(
     """Rows whose ``column`` is not among ``values``; null stays.
 
     A list becomes a scan filter. A frame becomes an anti join, broadcast if its measured
-    size allows.
+    size allows, else with hot groups spread.
     """
     if not isinstance(values, DataFrame):
         chosen = list(values)
         return df.where(F.coalesce(~F.col(column).isin(*chosen), F.lit(True))) if chosen else df
-    unwanted = values.select(column).distinct()
-    if measured_bytes(unwanted) <= BROADCAST_BYTES:
-        unwanted = F.broadcast(unwanted)
-    return df.join(unwanted, column, "left_anti")
+    return lookup_join(df, values.select(column).distinct(), column, "left_anti")
 
 
 def merge_examples_with_schemas(catalog: DataFrame, examples: DataFrame, guard: bool = True) -> DataFrame:

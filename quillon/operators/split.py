@@ -23,12 +23,17 @@ def group_frame(
     return rows.groupBy(group).agg(first.alias(source), F.count(F.lit(1)).alias("rows_of_key"))
 
 
-def rank_in_source(groups: DataFrame, seed: int, group: str = "db_id", source: str = "source") -> DataFrame:
+def rank_in_source(
+    groups: DataFrame, seed: int, group: str = "db_id", source: str = "source",
+    per_source: DataFrame | None = None,
+) -> DataFrame:
     """Groups with ``position`` (from 1) in their source, in MD5 order.
 
     A source may hold any number of groups, so no task sees a whole source: groups are ranked
     within a bucket of leading MD5 digits, and buckets are placed by the sizes of the buckets
-    before them. Buckets are uniform, and there are ``16 ** RANK_DIGITS`` per source.
+    before them. Buckets are uniform, and there are ``16 ** RANK_DIGITS`` per source. Columns of
+    ``per_source`` come along on the way from the buckets to the groups, so that nothing is
+    ever shuffled by source alone.
     """
     keyed = groups.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group)))).withColumn(
         "_bucket", F.left("_hash", F.lit(RANK_DIGITS))
@@ -40,6 +45,8 @@ def rank_in_source(groups: DataFrame, seed: int, group: str = "db_id", source: s
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    if per_source is not None:
+        offsets = offsets.join(per_source, source)
     inside = Window.partitionBy(source, "_bucket").orderBy("_hash", group)
     return (
         keyed.withColumn("_rank", F.row_number().over(inside))
@@ -86,8 +93,8 @@ def split_map(
     if sample_size < -1:
         raise ValueError("sample_size is a number of groups, or -1 for all")
     quotas = source_quotas(groups, sample_size, train_ratio, val_ratio, source, cap_val, allocate)
-    ranked = rank_in_source(groups, seed, group, source)
-    placed = ranked.join(quotas, source).where(F.col("position") <= F.col("taken"))
+    ranked = rank_in_source(groups, seed, group, source, per_source=quotas)
+    placed = ranked.where(F.col("position") <= F.col("taken"))
     label = (
         F.when(F.col("position") <= F.col("train_end"), "train")
         .when(F.col("position") <= F.col("val_end"), "val")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,20 @@ def read_splits(spark: SparkSession, path: str, format: str = "parquet") -> Data
     )
 
 
-def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
-    """Per-row results, one folder per run."""
-    results.write.mode(mode).partitionBy("run").parquet(path)
+def write_results(results: DataFrame, path: str) -> None:
+    """Per-row results, one folder per run; a run written again replaces itself only."""
+    _replace_partitions(results, path, "run")
+
+
+def write_metrics(metrics: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds metric rows to the metrics table.
+
+    ``batch`` names what is added; the same name again replaces it, which makes a retry safe.
+    """
+    label = batch or f"job-{uuid.uuid4().hex}"
+    _replace_partitions(metrics.withColumn("batch", F.lit(label)), path, "batch")
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Appends metric rows to the metrics table."""
-    metrics.write.mode("append").parquet(path)
+def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(column).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -33,9 +34,14 @@ def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = T
 
 
 def append_metrics(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends each micro-batch of metric rows to a metrics table that batch jobs write, too."""
+    """Adds each micro-batch of metric rows to a metrics table that batch jobs write, too.
+
+    A micro-batch is named after its stream's checkpoint and its number, so one that is run
+    again replaces itself.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
     writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: write_metrics(batch, path)
+        lambda rows, number: write_metrics(rows, path, f"stream-{stream}-{number}")
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

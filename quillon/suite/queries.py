@@ -158,7 +158,7 @@ def write_metrics(spark, sf_dir):
     rows = reports.metric_rows(reports.reward_report(_run_scores(spark, sf_dir)))
     split_io.write_metrics(rows.where("run = 'baseline'"), path)
     split_io.write_metrics(rows.where("run = 'tuned'"), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 # --- examples ------------------------------------------------------------------------
@@ -599,7 +599,7 @@ def flatten_metrics_stream(spark, sf_dir):
     log = views.metric_log_of(_stream(spark, sf_dir, "events"))
     path = scratch_path(spark, "metric-stream")
     append_metrics(metrics_stream(log), path, scratch_path(spark, "metric-progress")).awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 @query

@@ -107,7 +107,7 @@ def test_zero_variance(spark):
     assert got == {"a": (2, 1, 0.5), "b": (1, 1, 1.0)}
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
 def test_spread_join_is_a_join(spark, how):
     rows = spark.range(0, 3000, 1, 12).select(
         F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id") % 50).otherwise(None).alias("k"), "id"

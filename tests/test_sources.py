@@ -207,6 +207,13 @@ def test_validation(spark):
 
 def test_metrics_table_grows(spark, tmp_path):
     rows = spark.range(2).select(F.col("id").alias("step"), F.lit("loss").alias("metric"), F.lit(0.5).alias("value"))
-    for _ in range(2):
-        split_io.write_metrics(rows, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 4
+    for batch in (None, None, "x", "x"):
+        split_io.write_metrics(rows, str(tmp_path / "m"), batch)
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 6
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    for run, n in (("baseline", 2), ("tuned", 3), ("tuned", 1)):
+        split_io.write_results(spark.range(n).withColumn("run", F.lit(run)), str(tmp_path / "r"))
+    counts = spark.read.parquet(str(tmp_path / "r")).groupBy("run").count().collect()
+    assert {r["run"]: r["count"] for r in counts} == {"baseline": 2, "tuned": 1}
