@@ -48,12 +48,16 @@ def _repair_quotes(sql: Column) -> Column:
     return F.regexp_replace(sql, _IN_WORD_QUOTE, "''")
 
 
-def sql_from_block(text: Column, block: Column) -> Column:
-    """SQL of an answer whose :func:`fence_block` is already at hand; null if there is none."""
+def unrepaired_sql(text: Column, block: Column) -> Column:
+    """Stripped SQL of an answer whose :func:`fence_block` is already at hand, or ''."""
     raw = F.when(block != "", _fence_body(block)).otherwise(F.regexp_extract(text, BARE_SELECT, 1))
-    bare = strip(raw)
+    return strip(raw)
+
+
+def repaired_sql(bare: Column) -> Column:
+    """:func:`unrepaired_sql`, held in a column, with its quotes repaired; '' gives null."""
     repaired = F.regexp_replace(_repair_quotes(bare), _CLOSING_QUOTE, "'$1'")
-    return F.nullif(repaired, F.lit(""))
+    return F.when(F.contains(bare, F.lit("'")), repaired).when(bare != "", bare)
 
 
 def extract_sql(text: Column) -> Column:
@@ -62,7 +66,7 @@ def extract_sql(text: Column) -> Column:
     Stripped; empty gives null; then backslash quotes become doubled quotes, quotes inside
     words are doubled, and a doubled quote before a keyword or delimiter is a closing one.
     """
-    return sql_from_block(text, fence_block(text))
+    return repaired_sql(unrepaired_sql(text, fence_block(text)))
 
 
 def extract_sql_simple(text: Column) -> Column:
@@ -92,13 +96,18 @@ _TOKEN = (
 
 def tokenizes(sql: Column) -> Column:
     """Whether every quote is closed once literals, quoted names and comments are removed."""
-    return ~F.regexp_replace(sql, _LITERALS_AND_COMMENTS, "").rlike("['\"]")
+    has_quotes = F.contains(sql, F.lit("'")) | F.contains(sql, F.lit('"'))
+    left_over = F.regexp_replace(sql, _LITERALS_AND_COMMENTS, "").rlike("['\"]")
+    return F.when(has_quotes, ~left_over).when(sql.isNotNull(), True)
 
 
 def sql_tokens(sql: Column) -> Column:
     """Tokens in order, comments left out."""
     tokens = F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0))
-    return F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
+    may_have_comments = F.contains(sql, F.lit("--")) | F.contains(sql, F.lit("/*"))
+    return F.when(
+        may_have_comments, F.filter(tokens, lambda t: ~(t.startswith("--") | t.startswith("/*")))
+    ).otherwise(tokens)
 
 
 def canonical_sql(sql: Column) -> Column:
@@ -122,25 +131,26 @@ def token_kinds(tokens: str) -> Column:
     themselves, ``o`` anything else.
     """
     return F.expr(f"""
-        transform({tokens}, t -> CASE
-            WHEN left(t, 1) IN ('.', ',', '(', ')', '*') THEN left(t, 1)
-            WHEN left(t, 1) IN ('"', '`') THEN 'n'
-            WHEN upper(t) = 'FROM' THEN 'F'
-            WHEN upper(t) IN ({_listed(TABLE_WORDS)}) THEN 'T'
-            WHEN upper(t) IN ({_listed(CLAUSE_WORDS)}) THEN 'C'
-            WHEN upper(t) = 'AS' THEN 'A'
-            WHEN upper(t) = 'END' THEN 'E'
-            WHEN upper(t) IN ({_listed(SQL_WORDS)}) THEN 'k'
-            WHEN left(t, 1) RLIKE r'[\\p{{L}}_]' THEN 'n'
-            WHEN left(t, 1) RLIKE "['0-9]" THEN 'l'
+        transform(transform({tokens}, t -> upper(t)), w -> CASE
+            WHEN left(w, 1) IN ('.', ',', '(', ')', '*') THEN left(w, 1)
+            WHEN left(w, 1) IN ('"', '`') THEN 'n'
+            WHEN w = 'FROM' THEN 'F'
+            WHEN w IN ({_listed(TABLE_WORDS)}) THEN 'T'
+            WHEN w IN ({_listed(CLAUSE_WORDS)}) THEN 'C'
+            WHEN w = 'AS' THEN 'A'
+            WHEN w = 'END' THEN 'E'
+            WHEN w IN ({_listed(SQL_WORDS)}) THEN 'k'
+            WHEN left(w, 1) RLIKE r'[\\p{{L}}_]' THEN 'n'
+            WHEN left(w, 1) RLIKE "['0-9]" THEN 'l'
             ELSE 'o' END)""")
 
 
-def from_list_flags(kinds: str) -> Column:
-    """Per token, 'F' if the last clause word in its own parenthesis is FROM, else '-'.
+def kind_line(kinds: str) -> Column:
+    """The kinds as one string, with the commas of FROM lists as ``;``.
 
-    A left fold with a stack of one character per open parenthesis: linear in tokens. Without
-    a comma nobody asks, and null is given.
+    A comma belongs to a FROM list if the last clause word in its own parenthesis is FROM. A
+    left fold carries a stack of one character per open parenthesis: linear in tokens. It is
+    left out where no comma follows a FROM.
     """
     outer = "left(s.stack, char_length(s.stack) - 1)"
     moved = f"""CASE
@@ -150,52 +160,35 @@ def from_list_flags(kinds: str) -> Column:
         WHEN k = 'C' THEN concat({outer}, '-')
         ELSE s.stack END"""
     return F.expr(f"""
-        CASE WHEN array_contains({kinds}, ',') THEN
-            split(aggregate({kinds}, struct('-' AS stack, '' AS flags),
-                (s, k) -> struct({moved} AS stack, concat(s.flags, right({moved}, 1)) AS flags),
-                s -> s.flags), '')
-        END""")
+        CASE WHEN array_join({kinds}, '') RLIKE 'F.*,' THEN
+            aggregate({kinds}, struct('-' AS stack, '' AS line),
+                (s, k) -> struct({moved} AS stack,
+                    concat(s.line, CASE WHEN k = ',' AND endswith(s.stack, 'F') THEN ';' ELSE k END) AS line),
+                s -> s.line)
+        ELSE array_join({kinds}, '') END""")
 
 
-def name_roles(tokens: str, kinds: str, flags: str) -> Column:
-    """``array<struct<role, name>>``: each referenced name, lower-cased, as table or column.
+def name_roles(line: Column) -> Column:
+    """One mark per token: ``t`` a table, ``c`` a column, anything else no reference.
 
-    The arguments name stored columns, since every neighbour is looked up in them. The rules,
-    first that fits: keywords and non-names are nothing; before ``.`` a qualifier; after FROM,
-    JOIN, INTO, UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a column,
-    or a table if the qualifier stands where a table does; before ``(`` a function and before
-    ``AS (`` a WITH name; after AS, ``)``, END, a name or a literal an alias; else a column.
-    ``t.*`` is a column ``*``.
+    The rules read a name's neighbours, which are characters of the line, so each group of
+    them is one replacement. First that fits: before ``.`` a qualifier; after FROM, JOIN, INTO,
+    UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a column, or a table if
+    the qualifier stands where a table does; before ``(`` a function and before ``AS (`` a WITH
+    name; after AS, ``)``, END, a name or a literal an alias; else a column. ``t.*`` is a
+    column ``*``.
 
     Known limits: keywords used as names, vendor syntax, window frames.
     """
+    tables = F.regexp_replace(line, r"(?:(?<=[FT;])|(?<=[FT;].\.))n(?!\.)", "t")
+    qualified = F.regexp_replace(tables, r"(?<=\.)(?:n(?!\.)|\*)", "c")
+    marked = F.regexp_replace(qualified, r"(?<![.A)Enltc])n(?![.(]|A\()", "c")
+    return F.split(marked, "")
 
-    def at(offset: int) -> str:
-        return f"get({kinds}, i {offset:+d})"
-
-    def opens_table(previous: str) -> str:
-        return f"({previous} IN ('F', 'T') OR ({previous} = ',' AND get({flags}, i) = 'F'))"
 
+def names_with_mark(tokens: str, marks: str, mark: str) -> Column:
+    """Distinct names with one mark, lower-cased and without their quotes."""
     return F.expr(f"""
-        filter(zip_with(
-            transform({kinds}, (k, i) -> CASE
-                WHEN k = '*' AND {at(-1)} = '.' THEN 'column'
-                WHEN k <> 'n' OR {at(1)} = '.' THEN ''
-                WHEN {opens_table(at(-1))} THEN 'table'
-                WHEN {at(-1)} = '.' AND {opens_table(at(-3))} THEN 'table'
-                WHEN {at(-1)} = '.' THEN 'column'
-                WHEN {at(1)} = '(' THEN ''
-                WHEN {at(1)} = 'A' AND {at(2)} = '(' THEN ''
-                WHEN {at(-1)} IN ('A', ')', 'E', 'n', 'l') THEN ''
-                ELSE 'column' END),
-            {tokens},
-            (r, t) -> struct(r AS role,
-                lower(CASE WHEN left(t, 1) IN ('"', '`') THEN substring(t, 2, char_length(t) - 2) ELSE t END) AS name)),
-            x -> x.role <> '')""")
-
-
-def names_with_role(roles: Column, role: str) -> Column:
-    """Distinct names of one role, as an array."""
-    return F.array_distinct(
-        F.transform(F.filter(roles, lambda r: r["role"] == role), lambda r: r["name"])
-    )
+        array_distinct(transform(
+            filter({tokens}, (t, i) -> get({marks}, i) = '{mark}'),
+            t -> lower(CASE WHEN left(t, 1) IN ('"', '`') THEN substring(t, 2, char_length(t) - 2) ELSE t END)))""")

@@ -32,7 +32,8 @@ def add_sql(
     """
     with_block = df.withColumn("fence_block", sql_text.fence_block(F.col(answer)))
     if extract is None:
-        return with_block.withColumn("sql", sql_text.sql_from_block(F.col(answer), F.col("fence_block")))
+        bare = with_block.withColumn("_bare", sql_text.unrepaired_sql(F.col(answer), F.col("fence_block")))
+        return bare.withColumn("sql", sql_text.repaired_sql(F.col("_bare"))).drop("_bare")
     return with_block.withColumn("sql", extract(F.col(answer)))
 
 
@@ -57,17 +58,21 @@ def add_refs(df: DataFrame) -> DataFrame:
     tokens = F.when(F.col("tokenizes"), sql_text.sql_tokens(F.col("sql"))).otherwise(
         F.array().cast("array<string>")
     )
-    with_roles = (
+    marked = (
         df.withColumn("_tokens", tokens)
         .withColumn("_kinds", sql_text.token_kinds("_tokens"))
-        .withColumn("_flags", sql_text.from_list_flags("_kinds"))
-        .withColumn("_found", sql_text.name_roles("_tokens", "_kinds", "_flags"))
+        .withColumn("_line", sql_text.kind_line("_kinds"))
+        .withColumn("_marks", sql_text.name_roles(F.col("_line")))
+    )
+    found = F.struct(
+        sql_text.names_with_mark("_tokens", "_marks", "t").alias("tables"),
+        sql_text.names_with_mark("_tokens", "_marks", "c").alias("columns"),
     )
     return (
-        settled(with_roles, "_found", "_roles")
-        .withColumn("ref_tables", sql_text.names_with_role(F.col("_roles"), "table"))
-        .withColumn("ref_columns", sql_text.names_with_role(F.col("_roles"), "column"))
-        .drop("_tokens", "_kinds", "_flags", "_roles")
+        settled(marked.withColumn("_names", found), "_names", "_found")
+        .withColumn("ref_tables", F.col("_found.tables"))
+        .withColumn("ref_columns", F.col("_found.columns"))
+        .drop("_tokens", "_kinds", "_line", "_marks", "_found")
     )
 
 
