@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import os
 
 import duckdb
 
