@@ -263,29 +263,42 @@ def _pivots(index: DataFrame, units: DataFrame | None, turn: int) -> DataFrame:
 
 
 def _remaining(index: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in different components whose groups pass the filters."""
+    """All pairs of classes in different components whose groups pass the filters.
+
+    A shared shingle bounds what two sets have in common by what follows it in either, itself included, if it
+    is the first they share. The filters of size and of that bound are conditions of the joins, first between
+    components (by their most favourable members), then between groups.
+    """
     heads = units.select("gid", "comp").distinct()
-    rows = stored(index.join(heads, "gid").withColumn("at", F.col("u") + F.col("pos")), "entries")
-    comps = rows.select("t", "comp").distinct()
-    other = comps.select("t", F.col("comp").alias("comp_b"))
-    pairs = comps.withColumnRenamed("comp", "comp_a").join(other, "t").where("comp_a < comp_b")
-    pairs = stored(pairs, "crossing")
-    left = rows.select("t", *[F.col(c).alias(f"{c}_a") for c in ("gid", "comp", "n", "at")])
-    right = rows.select("t", *[F.col(c).alias(f"{c}_b") for c in ("gid", "comp", "n", "at")])
-    met = pairs.join(left, ["t", "comp_a"]).join(right, ["t", "comp_b"])
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
-    sized = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = (
-        met.where(sized).groupBy("gid_a", "comp_a", "gid_b", "comp_b")
-        .agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
-        .select("gid_a", "comp_a", "gid_b", "comp_b")
+    rows = index.join(heads, "gid").select("t", "gid", "comp", "n", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
+    rows = stored(rows, "entries")
+    comps = stored(
+        rows.groupBy("t", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest")), "sides"
+    )
+    a, b = comps.alias("a"), comps.alias("b")
+    pairs = a.join(b, F.expr(f"a.t = b.t AND a.comp < b.comp AND {_may_meet('a', 'b', percent)}")).select(
+        F.col("a.t").alias("t"), F.col("a.comp").alias("comp_a"), F.col("b.comp").alias("comp_b"),
+        F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("b.rest").alias("rest"),
     )
+    pairs = stored(pairs, "crossing").alias("b")
+    one = rows.select("t", "gid", "comp", F.col("n").alias("lo"), F.col("n").alias("hi"), "rest")
+    met = one.alias("a").join(pairs, F.expr(f"a.t = b.t AND a.comp = b.comp_a AND {_may_meet('a', 'b', percent)}")).select(
+        F.col("a.t").alias("t"), F.col("a.gid").alias("gid_a"), "comp_a", "comp_b", F.col("a.lo").alias("lo"),
+        F.col("a.hi").alias("hi"), F.col("a.rest").alias("rest"),
+    )
+    met = met.alias("a").join(one.alias("b"), F.expr(f"a.t = b.t AND a.comp_b = b.comp AND {_may_meet('a', 'b', percent)}"))
+    pairs = met.select("gid_a", "comp_a", F.col("b.gid").alias("gid_b"), "comp_b").distinct()
     left = units.select(F.col("cid").alias("a"), F.col("gid").alias("gid_a"), F.col("comp").alias("comp_a"))
     right = units.select(F.col("cid").alias("b"), F.col("gid").alias("gid_b"), F.col("comp").alias("comp_b"))
     return pairs.join(left, ["gid_a", "comp_a"]).join(right, ["gid_b", "comp_b"]).select("a", "b")
 
 
+def _may_meet(a: str, b: str, percent: int) -> str:
+    """Whether sizes from ``lo`` to ``hi`` of two sides allow the similarity, and what follows the shared shingle does."""
+    sized = f"{a}.hi * 100 >= {b}.lo * {percent} AND {b}.hi * 100 >= {a}.lo * {percent}"
+    return f"{sized} AND least({a}.rest, {b}.rest) * {100 + percent} >= ({a}.lo + {b}.lo) * {percent}"
+
+
 def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough."""
     own = ordered.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("h_a"))

@@ -34,6 +34,86 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN comp ON doc_id = id
 """
 
+_OP2 = f"""
+WITH RECURSIVE
+good AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+      AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+edges AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+    WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+links AS (SELECT a, count(*) AS n FROM edges GROUP BY a),
+{_COMPONENTS}
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept
+FROM comp LEFT JOIN links ON id = a
+"""
+
+_OP4 = r"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+flat AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS r FROM raw),
+nb AS (
+    SELECT doc_id, r, line, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i,
+        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+    FROM flat WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (
+    SELECT y.doc_id AS d, y.i AS i, y.w AS w, x.doc_id AS e, y.i - x.i AS off FROM nb x JOIN nb y
+    ON x.line = y.line AND (x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.i < y.i)),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY d, e, off ORDER BY i) AS g FROM pairs),
+runs AS (SELECT d, e, off, g, min(i) AS a, max(i) AS b FROM islands GROUP BY ALL HAVING sum(w) >= 50),
+gone AS (SELECT DISTINCT nb.doc_id, nb.r FROM runs JOIN nb ON nb.doc_id = d AND i BETWEEN a AND b),
+marked AS (
+    SELECT f.doc_id, f.r, f.line, nb.r IS NOT NULL AS has_words, g.r IS NOT NULL AS goes,
+        CASE WHEN nb.r IS NOT NULL THEN g.r IS NOT NULL END AS state
+    FROM flat f LEFT JOIN nb USING (doc_id, r) LEFT JOIN gone g USING (doc_id, r)),
+around AS (
+    SELECT *, last_value(state IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        first_value(state IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
+        lag(state) OVER (PARTITION BY doc_id ORDER BY r) AS just_before
+    FROM marked),
+kept AS (
+    SELECT doc_id, count(*) FILTER (has_words) AS n_lines, count(*) FILTER (goes) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY r) FILTER (
+            NOT (goes OR (NOT has_words AND coalesce(before, false) AND (coalesce(after, false) OR coalesce(just_before, false))))), '') AS text
+    FROM around GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, md5(coalesce(k.text, d.text)) AS text_md5
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+_OP10 = r"""
+WITH docs AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+        substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+    FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS row
+    FROM docs GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][row % 3 + 1] AS weight, 3 * source_size AS most FROM sources),
+filled AS (
+    SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (
+            ORDER BY most / weight, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+        / CAST(sum(weight) OVER (ORDER BY most / weight, row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS unit
+    FROM weighed),
+level AS (SELECT coalesce(min_by(unit, most / weight), 1e300) AS unit FROM filled WHERE unit * weight <= most),
+targets AS (
+    SELECT source, source_size, least(CAST(most AS DOUBLE), level.unit * weight) AS target,
+        CAST('0x' || substr(md5('20240229|' || coalesce('s' || source, 'n')), 1, 5) AS BIGINT) / 1048576.0 AS u
+    FROM weighed, level),
+placed AS (
+    SELECT d.doc_id, d.size, t.*, coalesce(target / nullif(source_size, 0), 0) AS p,
+        row_number() OVER (PARTITION BY d.source ORDER BY size, h, d.doc_id) - 1 AS n
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    CAST(size * least(3, floor(u + p * (n + 1)) - floor(u + p * n)) AS BIGINT) AS taken
+FROM placed
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
+    "op2_embedding_near_dedup": _OP2,
+    "op4_line_dedup": _OP4,
+    "op10_source_mixing": _OP10,
 }
