@@ -8,24 +8,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import table
+from quillon.llm.line_dedup import drop_repeated_runs
+from quillon.llm.mixing import mixed
 from quillon.llm.ngram_join import jaccard_classes
+from quillon.llm.pieces import with_pieces
+from quillon.llm.toxicity import REJECT_AT, with_score
+from quillon.operators.joins import lookup_join
 from quillon.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the limit, with a classifier learned from the labels of the documents there are."""
+    return with_score(docs, table(spark, sf_dir, "labels")).where(F.col("score") < REJECT_AT).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of runs of lines. A document of which no line with words is left goes; ``n_chars`` follows the text."""
+    rows = drop_repeated_runs(docs)
+    emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
+    length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.where(~emptied).withColumn("n_chars", length).select(*docs.columns)
+
+
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates."""
-    classes = stored(jaccard_classes(docs), "classes")
-    copies = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    classes = jaccard_classes(docs)
+    copies = stored(classes.where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    return lookup_join(docs, copies, "doc_id", "left_anti")
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the best segmentation of each text, its score and those of the next best."""
+    rows = with_pieces(docs.select("doc_id", "source", "text"))
+    scores = F.transform("n_best", lambda x: x["score"]).alias("n_best_scores")
+    return rows.select("doc_id", "source", "ids", "score", scores)
 
 
+#: Name and function of each stage, in order. All but the last return the columns of documents.
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
     ("ngram_jaccard_join", one_of_each_class),
+    ("source_mixing", mixed_to_weights),
+    ("sentencepiece", encoded),
 ]
 
-#: Learned scores and token lattices are not expressible in SQL; tests hold the rows against brute force.
+#: A learned score and a search over segmentations are not expressible in SQL; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -80,12 +80,13 @@ def fingerprints(texts: DataFrame, words: DataFrame, *ids: str, extra: tuple[str
     found = lookup_join(rows, words, "term").groupBy(*ids).agg(
         F.sort_array(F.collect_list("key")).alias("keys"), *[F.first(c).alias(c) for c in extra]
     )
-    digests = []
-    for part in range(N_PARTS):
-        inside = F.filter("keys", lambda k, part=part: k.bitwiseAND(F.lit(1 << part)) != 0)
-        digest = F.substring(F.md5(inside.cast("string").cast("binary")), 1, 8)
-        digests.append(F.when(F.size(inside) > 0, digest).otherwise("00000000"))
-    return found.select(*ids, *extra, F.unhex(F.concat(*digests)).alias("fingerprint"))
+    digests = F.concat(*[_digest(F.expr(f"filter(keys, k -> k & {1 << part}L != 0)")) for part in range(N_PARTS)])
+    return found.select(*ids, *extra, F.unhex(digests).alias("fingerprint"))
+
+
+def _digest(keys: Column) -> Column:
+    """Eight hexadecimal digits of the digest of sorted keys, zeros if there are none."""
+    return F.when(F.size(keys) > 0, F.substring(F.md5(keys.cast("string").cast("binary")), 1, 8)).otherwise("00000000")
 
 
 def likeness(a: Column, b: Column) -> Column:

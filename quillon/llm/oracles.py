@@ -111,9 +111,59 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_HEX = "CAST('0x' || substr({text}, {at}, {n}) AS BIGINT)"
+_BITS = " + ".join(
+    f"CASE WHEN {_HEX.format(text=f'd{k}', at=1 + 3 * i, n=3)} < {4096 // share} THEN {1 << (1 + 8 * k + i)} ELSE 0 END"
+    for k, share in enumerate((4, 16, 64, 256)) for i in range(8)
+)
+
+_OP9 = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+following AS (
+    SELECT *, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
+        coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+    FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+edited AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS changed FROM following),
+texts AS (SELECT doc_id, 'own' AS kind, text FROM edited UNION ALL SELECT doc_id, 'edited', changed FROM edited),
+terms AS (SELECT doc_id, kind, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM texts),
+total AS (SELECT count(*) AS t FROM docs),
+band AS (
+    SELECT term FROM terms, total WHERE kind = 'own' GROUP BY term, t
+    HAVING count(*) BETWEEN greatest(2, 0.001 * t) AND greatest(2, 0.1 * t)),
+digested AS (
+    SELECT term, md5(term) AS d, md5(term || '|0') AS d0, md5(term || '|1') AS d1, md5(term || '|2') AS d2, md5(term || '|3') AS d3
+    FROM band),
+lexicon AS (SELECT term, {_HEX.format(text='d', at=1, n=8)} % {1 << 29} * {1 << 33} + 1 + {_BITS} AS key FROM digested),
+keyed AS (SELECT doc_id, kind, key FROM terms JOIN lexicon USING (term)),
+parts AS (SELECT CAST(unnest(range(33)) AS INTEGER) AS part),
+digests AS (
+    SELECT doc_id, kind, part, substr(md5(CAST(list_sort(list(key)) AS VARCHAR)), 1, 8) AS digest
+    FROM keyed, parts WHERE key & (CAST(1 AS BIGINT) << part) <> 0 GROUP BY ALL),
+every AS (
+    SELECT t.doc_id, t.kind, part, coalesce(digest, '00000000') AS digest
+    FROM texts t CROSS JOIN parts p LEFT JOIN digests d USING (doc_id, kind, part)),
+prints AS (SELECT doc_id, kind, string_agg(digest, '' ORDER BY part) AS print, list(digest ORDER BY part) AS l FROM every GROUP BY ALL),
+three AS (
+    SELECT e.doc_id, e.n, e.changed, o.print AS own, c.print AS edited, o.l AS a, c.l AS b, x.l AS c
+    FROM edited e JOIN prints o ON o.doc_id = e.doc_id AND o.kind = 'own'
+    JOIN prints c ON c.doc_id = e.doc_id AND c.kind = 'edited' JOIN prints x ON x.doc_id = e.next_id AND x.kind = 'own'),
+counted AS (
+    SELECT *, len(list_filter(range(1, 34), lambda i: a[i] <> '00000000' OR b[i] <> '00000000')) AS used_b,
+        len(list_filter(range(1, 34), lambda i: a[i] <> '00000000' OR c[i] <> '00000000')) AS used_c,
+        len(list_filter(range(1, 34), lambda i: a[i] <> '00000000' AND a[i] = b[i])) AS same_b,
+        len(list_filter(range(1, 34), lambda i: a[i] <> '00000000' AND a[i] = c[i])) AS same_c
+    FROM three)
+SELECT doc_id, n AS n_chars, sha256(changed) AS edited_sha256, own AS fingerprint, edited AS edited_fingerprint,
+    CASE WHEN used_b = 0 THEN 1.0 ELSE same_b / used_b END AS near_edited,
+    CASE WHEN used_c = 0 THEN 1.0 ELSE same_c / used_c END AS near_next
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
     "op2_embedding_near_dedup": _OP2,
     "op4_line_dedup": _OP4,
+    "op9_fingerprints": _OP9,
     "op10_source_mixing": _OP10,
 }

@@ -93,14 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     def distinct_bins(text: pd.Series) -> pd.Series:
         return pd.Series([np.unique(np.concatenate(ngram_bins(t))).astype(np.int32) for t in text])
 
-    sample = texts.select("doc_id", "toxic", distinct_bins("text").alias("bins"))
+    sample = texts.select("doc_id", "toxic", distinct_bins("text").alias("bins"), F.lit(1).alias("all"))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable")
         model = _fit(frame["toxic"].to_numpy(np.float64), list(frame["bins"]))
         return pd.DataFrame({"bin": [-1, *model.bins.tolist()], "weight": [model.bias, *model.weights.tolist()]})
 
-    rows = sample.groupBy(F.lit(1)).applyInPandas(fitted, "bin int, weight double").toPandas()
+    rows = sample.groupBy("all").applyInPandas(fitted, "bin int, weight double").toPandas()
     bins, weights = rows["bin"].to_numpy(np.int64), rows["weight"].to_numpy(np.float64)
     if not len(bins):
         return Model(bins, weights.astype(np.float32), 0.0)
