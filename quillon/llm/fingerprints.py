@@ -91,11 +91,10 @@ def _digest(keys: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts, of those where either text has a term; 1 if there are none."""
-    parts = F.sequence(F.lit(0), F.lit(N_PARTS - 1))
-    at = lambda x, k: F.substring(x, k * 4 + 1, F.lit(4))
-    nothing = F.unhex(F.lit("00000000"))
-    used = F.size(F.filter(parts, lambda k: (at(a, k) != nothing) | (at(b, k) != nothing)))
-    same = F.size(F.filter(parts, lambda k: (at(a, k) != nothing) & (at(a, k) == at(b, k))))
+    digests = lambda x: F.regexp_extract_all(F.lower(F.hex(x)), F.lit("[0-9a-f]{8}"), F.lit(0))
+    nothing = F.lit("00000000")
+    equal = F.zip_with(digests(a), digests(b), lambda x, y: F.when((x != nothing) | (y != nothing), x == y))
+    used, same = F.size(F.filter(equal, lambda e: e.isNotNull())), F.size(F.filter(equal, lambda e: e))
     return F.when(used == 0, 1.0).otherwise(same / used)
 
 

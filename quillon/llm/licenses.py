@@ -31,8 +31,14 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[\W_]+")
 
 
+def _placed_words(text: str) -> list[tuple[int, int, str]]:
+    """``start, end, word`` of the words of a text, plain; what is only punctuation is no word."""
+    found = [(*m.span(), _PLAIN.sub("", m[0].lower())) for m in _WORD.finditer(text)]
+    return [w for w in found if w[2]]
+
+
 def _words(text: str) -> list[str]:
-    return [_PLAIN.sub("", w.lower()) for w in _WORD.findall(text)]
+    return [w for _, _, w in _placed_words(text)]
 
 
 #: Words to each side of a trigger: no wording reaches further from any of its triggers.
@@ -79,8 +85,8 @@ class Scan:
 
     def found(self, block: str) -> list[dict]:
         """Wordings in a block: name, place in it (characters), bytes saved and differences."""
-        places = [m.span() for m in _WORD.finditer(block)]
-        words = [_PLAIN.sub("", block[a:b].lower()) for a, b in places]
+        placed = _placed_words(block)
+        places, words = [(a, b) for a, b, _ in placed], [w for _, _, w in placed]
         out: list[dict] = []
         taken = [False] * len(words)
         while True:

@@ -56,7 +56,6 @@ class Pieces:
         self.remembered: dict[str, tuple[bytes, float, float]] = {}
 
     @classmethod
-    @functools.lru_cache(maxsize=4)
     def load(cls, model_file: str) -> Pieces:
         import sentencepiece
 
@@ -192,6 +191,12 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+@functools.lru_cache(maxsize=4)
+def loaded(model_file: str) -> Pieces:
+    """The vocabulary of a file, read once per worker."""
+    return Pieces.load(model_file)
+
+
 def encode(model_file: str = MODEL_FILE, n: int = N_BEST) -> Callable[[Column], Column]:
     """A column function from a text to :data:`ENCODED_TYPE`: ids and score of the best segmentation, and the n best.
 
@@ -201,7 +206,7 @@ def encode(model_file: str = MODEL_FILE, n: int = N_BEST) -> Callable[[Column],
 
     @F.pandas_udf(ENCODED_TYPE)
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces.load(model_file)
+        pieces = loaded(model_file)
         for texts in batches:
             rows = [(None, None, None) if t is None else pieces.encode(t, n) for t in texts]
             best = [
@@ -219,7 +224,7 @@ def decode(model_file: str = MODEL_FILE) -> Callable[[Column], Column]:
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces.load(model_file)
+        pieces = loaded(model_file)
         for ids in batches:
             yield pd.Series([None if i is None else pieces.decode(i.tolist()) for i in ids], dtype=object)
 
