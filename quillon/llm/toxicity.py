@@ -3,7 +3,10 @@
 The features of a text are the distinct n-grams of its characters (lower case, all but letters as
 blanks), hashed into ``2 ** BITS`` bins. From labelled texts each bin gets its log-count ratio, the
 logarithm of how much more often toxic texts have it than others. Logistic regression is
-then fitted on features of that size instead of one, so an n-gram that says nothing has no say.
+then fitted on features of that size instead of one, so an n-gram that says nothing has no say. Only
+bins that stand for toxicity beyond chance are used: the rest of a long text has many n-grams that a few toxic
+texts happen to share, and they would speak louder than one telling word. All toxic texts of the sample together have a
+fixed weight against all others, so the score does not shift with their share.
 
 The fit reads a bounded sample: ``ROWS_PER_CLASS`` labelled texts of each class, those with
 the smallest hashes of their ids, however many there are. Their features are found by Spark tasks and meet in
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from quillon.session import stored
 
 ROWS_PER_CLASS = 2000
-SIZES = (3, 4, 5, 6)
+SIZES = (4, 5, 6, 7, 8)
 BITS = 20
 REJECT_AT = 0.7
 _LEAST_TEXTS = 3  # of the sample that have an n-gram
-_LEAST_RATIO = 0.7
+_LEAST_RATIO = 1.0
+_LEAST_G2 = 20.0  # log-likelihood ratio statistic of an n-gram and the label
+_TOXIC_WEIGHT = 0.4  # of all toxic texts together, to that of all others
 _DECAY = 1e-3
 _STEPS = 200
 
@@ -107,6 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     return Model(bins[bins >= 0], weights[bins >= 0].astype(np.float32), float(weights[bins < 0][0]))
 
 
+def _g2(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
+    """How unlikely it is that toxic and other texts with an n-gram are as many by chance."""
+    have, total = toxic + other, n_toxic + n_other
+    tiny = 1e-9
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, tiny) / np.maximum(expected, tiny))
+    rest = total - have
+    return 2 * (
+        part(toxic, have * n_toxic / total) + part(other, have * n_other / total)
+        + part(n_toxic - toxic, rest * n_toxic / total) + part(n_other - other, rest * n_other / total)
+    )
+
+
 def _fit(y: np.ndarray, bins: list[np.ndarray]) -> Model:
     none = np.zeros(0, np.int64)
     positive = y.sum()
@@ -114,20 +131,22 @@ def _fit(y: np.ndarray, bins: list[np.ndarray]) -> Model:
         return Model(none, none.astype(np.float32), float(np.log((positive + 0.5) / (len(y) - positive + 0.5))))
     row = np.repeat(np.arange(len(y)), [len(b) for b in bins])
     flat = np.concatenate(bins)
-    toxic, other = (np.bincount(flat[y[row] == label], minlength=1 << BITS) + 1.0 for label in (1, 0))
-    ratio = np.log(toxic / (positive + 2)) - np.log(other / (len(y) - positive + 2))
-    used = (toxic + other - 2 >= _LEAST_TEXTS) & (np.abs(ratio) >= _LEAST_RATIO)
+    toxic, other = (np.bincount(flat[y[row] == label], minlength=1 << BITS).astype(np.float64) for label in (1, 0))
+    ratio = np.log((toxic + 1) / (positive + 2)) - np.log((other + 1) / (len(y) - positive + 2))
+    telling = _g2(toxic, other, positive, len(y) - positive) >= _LEAST_G2
+    used = (toxic + other >= _LEAST_TEXTS) & (ratio >= _LEAST_RATIO) & telling
     at = np.flatnonzero(used)
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[at] = np.arange(len(at))
     kept = used[flat]
     row, column = row[kept], place[flat[kept]]
     value = ratio[flat[kept]]
+    weight = np.where(y == 1, _TOXIC_WEIGHT * (len(y) - positive) / positive, 1.0)
     w, bias = np.zeros(len(at)), 0.0
     slope, size = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, _STEPS + 1):
         odds = np.bincount(row, value * w[column], len(y)) + bias
-        error = 1 / (1 + np.exp(-np.clip(odds, -60, 60))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(odds, -60, 60))) - y)
         gradient = np.append(np.bincount(column, value * error[row], len(at)) / len(y) + _DECAY * w, error.mean())
         slope = 0.9 * slope + 0.1 * gradient
         size = 0.99 * size + 0.01 * gradient * gradient
