@@ -9,8 +9,9 @@ texts happen to share, and they would speak louder than one telling word. All to
 fixed weight against all others, so the score does not shift with their share.
 
 The fit reads a bounded sample: ``ROWS_PER_CLASS`` labelled texts of each class, those with
-the smallest hashes of their ids, however many there are. Their features are found by Spark tasks and meet in
-one, whose input the sample bounds; the weights, at most one per bin, go to all tasks. Every text is scored whole.
+the smallest hashes of their ids, however many there are. Spark counts their n-grams and picks the telling bins; only
+those of the sampled texts meet in one task, whose input the sample bounds. The weights, at most one per bin, go to all
+tasks. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -98,20 +99,51 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     def distinct_bins(text: pd.Series) -> pd.Series:
         return pd.Series([np.unique(np.concatenate(ngram_bins(t))).astype(np.int32) for t in text])
 
-    sample = texts.select("doc_id", "toxic", distinct_bins("text").alias("bins"), F.lit(1).alias("all"))
+    rows = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # two rows
+    n_toxic, n_other = rows.get(1, 0), rows.get(0, 0)
+    none = np.zeros(0, np.int64)
+    if not n_toxic + n_other:
+        return Model(none, none.astype(np.float32), 0.0)
+    if not n_toxic or not n_other:
+        return Model(none, none.astype(np.float32), float(np.log((n_toxic + 0.5) / (n_other + 0.5))))
+
+    sample = texts.select("doc_id", "toxic", distinct_bins("text").alias("bins"))
+    counts = sample.select("toxic", F.explode("bins").alias("bin")).groupBy("bin").agg(
+        F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("texts")
+    )
+    told = counts.where(F.col("texts") >= _LEAST_TEXTS).mapInPandas(_telling(n_toxic, n_other), "bin int, ratio double")
+    told = told.toPandas().sort_values("bin")  # at most one row per bin
+    at, ratio = told["bin"].to_numpy(np.int64), told["ratio"].to_numpy(np.float64)
+
+    @F.pandas_udf("array<int>")
+    def only_telling(bins: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(np.isin(at, b, assume_unique=True)).astype(np.int32) for b in bins])
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable")
-        model = _fit(frame["toxic"].to_numpy(np.float64), list(frame["bins"]))
+        model = _fit(frame["toxic"].to_numpy(np.float64), list(frame["features"]), at, ratio)
         return pd.DataFrame({"bin": [-1, *model.bins.tolist()], "weight": [model.bias, *model.weights.tolist()]})
 
-    rows = sample.groupBy("all").applyInPandas(fitted, "bin int, weight double").toPandas()
+    features = sample.select("doc_id", "toxic", only_telling("bins").alias("features"), F.lit(1).alias("all"))
+    rows = features.groupBy("all").applyInPandas(fitted, "bin int, weight double").toPandas()
     bins, weights = rows["bin"].to_numpy(np.int64), rows["weight"].to_numpy(np.float64)
-    if not len(bins):
-        return Model(bins, weights.astype(np.float32), 0.0)
     return Model(bins[bins >= 0], weights[bins >= 0].astype(np.float32), float(weights[bins < 0][0]))
 
 
+def _telling(n_toxic: int, n_other: int):
+    """Of counted bins (``bin, toxic, texts``), those that stand for toxicity beyond chance, with their log-count ratios."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            toxic = batch["toxic"].to_numpy(np.float64)
+            other = batch["texts"].to_numpy(np.float64) - toxic
+            ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((other + 1) / (n_other + 2))
+            used = (ratio >= _LEAST_RATIO) & (_g2(toxic, other, n_toxic, n_other) >= _LEAST_G2)
+            yield pd.DataFrame({"bin": batch["bin"][used], "ratio": ratio[used]})
+
+    return run
+
+
 def _g2(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
     """How unlikely it is that toxic and other texts with an n-gram are as many by chance."""
     have, total = toxic + other, n_toxic + n_other
@@ -124,23 +156,12 @@ def _g2(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) ->
     )
 
 
-def _fit(y: np.ndarray, bins: list[np.ndarray]) -> Model:
-    none = np.zeros(0, np.int64)
+def _fit(y: np.ndarray, features: list[np.ndarray], at: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression; ``features`` of each text are places in ``at``, the bins with the given ratios."""
     positive = y.sum()
-    if positive in (0, len(y)):
-        return Model(none, none.astype(np.float32), float(np.log((positive + 0.5) / (len(y) - positive + 0.5))))
-    row = np.repeat(np.arange(len(y)), [len(b) for b in bins])
-    flat = np.concatenate(bins)
-    toxic, other = (np.bincount(flat[y[row] == label], minlength=1 << BITS).astype(np.float64) for label in (1, 0))
-    ratio = np.log((toxic + 1) / (positive + 2)) - np.log((other + 1) / (len(y) - positive + 2))
-    telling = _g2(toxic, other, positive, len(y) - positive) >= _LEAST_G2
-    used = (toxic + other >= _LEAST_TEXTS) & (ratio >= _LEAST_RATIO) & telling
-    at = np.flatnonzero(used)
-    place = np.full(1 << BITS, -1, dtype=np.int64)
-    place[at] = np.arange(len(at))
-    kept = used[flat]
-    row, column = row[kept], place[flat[kept]]
-    value = ratio[flat[kept]]
+    row = np.repeat(np.arange(len(y)), [len(f) for f in features])
+    column = np.concatenate(features).astype(np.int64)
+    value = ratio[column]
     weight = np.where(y == 1, _TOXIC_WEIGHT * (len(y) - positive) / positive, 1.0)
     w, bias = np.zeros(len(at)), 0.0
     slope, size = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
@@ -152,7 +173,7 @@ def _fit(y: np.ndarray, bins: list[np.ndarray]) -> Model:
         size = 0.99 * size + 0.01 * gradient * gradient
         move = 0.02 * (slope / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    weights = (w * ratio[at]).astype(np.float32)
+    weights = (w * ratio).astype(np.float32)
     told = np.abs(weights) > 1e-4
     return Model(at[told], weights[told], float(bias))
 
