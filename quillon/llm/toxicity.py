@@ -95,10 +95,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(picked), "doc_id")  # at most rows_per_class ids of each class
 
-    @F.pandas_udf("array<int>")
-    def distinct_bins(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.concatenate(ngram_bins(t))).astype(np.int32) for t in text])
-
     rows = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # two rows
     n_toxic, n_other = rows.get(1, 0), rows.get(0, 0)
     none = np.zeros(0, np.int64)
@@ -107,29 +103,52 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if not n_toxic or not n_other:
         return Model(none, none.astype(np.float32), float(np.log((n_toxic + 0.5) / (n_other + 0.5))))
 
-    sample = texts.select("doc_id", "toxic", distinct_bins("text").alias("bins"))
-    counts = sample.select("toxic", F.explode("bins").alias("bin")).groupBy("bin").agg(
-        F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("texts")
+    sample = texts.select("doc_id", "toxic", "text")
+    counts = sample.mapInPandas(_counted, "bin int, toxic long, texts long").groupBy("bin").agg(
+        F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")
     )
     told = counts.where(F.col("texts") >= _LEAST_TEXTS).mapInPandas(_telling(n_toxic, n_other), "bin int, ratio double")
     told = told.toPandas().sort_values("bin")  # at most one row per bin
     at, ratio = told["bin"].to_numpy(np.int64), told["ratio"].to_numpy(np.float64)
 
-    @F.pandas_udf("array<int>")
-    def only_telling(bins: pd.Series) -> pd.Series:
-        return pd.Series([np.flatnonzero(np.isin(at, b, assume_unique=True)).astype(np.int32) for b in bins])
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.flatnonzero(_has(t)[at]).astype(np.int32) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "features": found, "all": 1})
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable")
         model = _fit(frame["toxic"].to_numpy(np.float64), list(frame["features"]), at, ratio)
         return pd.DataFrame({"bin": [-1, *model.bins.tolist()], "weight": [model.bias, *model.weights.tolist()]})
 
-    features = sample.select("doc_id", "toxic", only_telling("bins").alias("features"), F.lit(1).alias("all"))
+    features = sample.mapInPandas(featured, "doc_id long, toxic int, features array<int>, all int")
     rows = features.groupBy("all").applyInPandas(fitted, "bin int, weight double").toPandas()
     bins, weights = rows["bin"].to_numpy(np.int64), rows["weight"].to_numpy(np.float64)
     return Model(bins[bins >= 0], weights[bins >= 0].astype(np.float32), float(weights[bins < 0][0]))
 
 
+def _has(text: str | None) -> np.ndarray:
+    """Whether a text has an n-gram of each bin."""
+    out = np.zeros(1 << BITS, dtype=bool)
+    for bins in ngram_bins(text):
+        out[bins] = True
+    return out
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts per bin, toxic ones and all, of one task: at most one row per bin."""
+    toxic, texts = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["toxic"]):
+            has = _has(text)
+            texts += has
+            if label:
+                toxic += has
+    at = np.flatnonzero(texts)
+    for part in np.array_split(at, max(1, len(at) // 100_000)):
+        yield pd.DataFrame({"bin": part.astype(np.int32), "toxic": toxic[part], "texts": texts[part]})
+
+
 def _telling(n_toxic: int, n_other: int):
     """Of counted bins (``bin, toxic, texts``), those that stand for toxicity beyond chance, with their log-count ratios."""
 
