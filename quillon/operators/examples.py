@@ -85,8 +85,8 @@ def exclude_groups(
 def merge_examples_with_schemas(catalog: DataFrame, examples: DataFrame, guard: bool = True) -> DataFrame:
     """Inner join on ``db_id``: examples of unknown databases are dropped.
 
-    ``guard`` makes the job fail on a row with a null in any column. The check is part of the
-    row's own projection and needs no second pass.
+    ``guard`` makes the job fail on a row with a null in any column. The check is a filter, which stays
+    whatever columns are read, and needs no second pass.
     """
     merged = lookup_join(examples, catalog, "db_id")
     if not guard:
@@ -94,7 +94,5 @@ def merge_examples_with_schemas(catalog: DataFrame, examples: DataFrame, guard:
     missing = F.lit(False)
     for name in merged.columns:
         missing = missing | F.col(name).isNull()
-    checked = F.when(missing, F.raise_error(F.lit("null value in a merged row")).cast("string")).otherwise(
-        F.col("question")
-    )
-    return merged.withColumn("question", checked)
+    failure = F.raise_error(F.lit("null value in a merged row")).cast("boolean")
+    return merged.where(F.when(missing, failure).otherwise(F.lit(True)))

@@ -23,7 +23,6 @@ from quillon.fixed_values import DATABASE_PATHS
 from quillon.operators.joins import settled, spread_join
 from quillon.session import stored
 
-STEP_BUDGET = 50_000_000
 OPEN_DATABASES = 64
 KEPT_OUTCOMES = 20_000
 _STEPS_PER_CALL = 10_000
@@ -72,15 +71,15 @@ def open_file(path: str) -> sqlite3.Connection:
     return _guard(sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True, isolation_level=None))
 
 
-def run_sql(conn: sqlite3.Connection, sql: str, budget: int) -> tuple[str, str | None]:
-    """Outcome of one statement; no rows are fetched."""
-    left = [budget]
+def run_sql(conn: sqlite3.Connection, sql: str, budget: int | None) -> tuple[str, str | None]:
+    """Outcome of one statement; no rows are fetched. With a ``budget`` of steps, one that takes more is a timeout."""
+    left = [budget or 0]
 
     def tick() -> int:
         left[0] -= _STEPS_PER_CALL
         return left[0] < 0
 
-    conn.set_progress_handler(tick, _STEPS_PER_CALL)
+    conn.set_progress_handler(tick if budget else None, _STEPS_PER_CALL)
     try:
         conn.execute(sql).close()
         return "ok", None
@@ -98,7 +97,7 @@ def _digest(place: str, sql: str) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _checker(opener: Callable[[str], sqlite3.Connection], budget: int):
+def _checker(opener: Callable[[str], sqlite3.Connection], budget: int | None):
     databases = _Recent(OPEN_DATABASES, sqlite3.Connection.close)
 
     def check(place: str, sql: str) -> tuple[str, str | None]:
@@ -115,7 +114,7 @@ def _checker(opener: Callable[[str], sqlite3.Connection], budget: int):
     return check
 
 
-def _outcome_function(opener: Callable[[str], sqlite3.Connection], budget: int):
+def _outcome_function(opener: Callable[[str], sqlite3.Connection], budget: int | None):
     @F.pandas_udf(OUTCOME)
     def outcomes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         check = _checker(opener, budget)
@@ -148,16 +147,18 @@ def database_path(source: Column, db_id: Column, root: str, templates: Mapping[s
 
 def exec_outcome_files(
     sql: Column, source: Column, db_id: Column, root: str, templates: Mapping[str, str] = DATABASE_PATHS,
-    budget: int = STEP_BUDGET,
+    budget: int | None = None,
 ) -> Column:
     """``struct<status, error>`` of running each SQL on its database file.
 
+    Steps are limited only where a ``budget`` of them is asked for.
+
     The root must be a folder all workers have mounted.
     """
     return _outcome_function(open_file, budget)(database_path(source, db_id, root, templates), sql)
 
 
-def exec_outcome_catalog(sql: Column, ddl: Column, budget: int = STEP_BUDGET) -> Column:
+def exec_outcome_catalog(sql: Column, ddl: Column, budget: int | None = None) -> Column:
     """``struct<status, error>`` of running each SQL on an empty copy of its database.
 
     Finds bad syntax, unknown names and writes, without any database file.

@@ -16,20 +16,32 @@ def _sums_by(scored: DataFrame, keys: Sequence[str], reward: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.count(reward).alias("_n"), F.sum(units).alias("_units"))
 
 
+def _levels() -> Column:
+    """Each sum twice: for its source and for all of them. The level, and not a null, tells them apart."""
+    own = F.struct(F.lit(False).alias("overall"), F.col("source").cast("string").alias("source"))
+    every = F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("source"))
+    return F.explode(F.array(own, every)).alias("level")
+
+
+def _labelled(name: str) -> Column:
+    return F.when(F.col("overall"), F.lit(name)).otherwise(F.col("source")).alias("source")
+
+
 def reward_report(scored: DataFrame, reward: str = "reward") -> DataFrame:
     """Mean reward per run and source, and per run over all sources (``source`` = 'avg').
 
     Rows are summed per run and source once; the row-weighted overall mean is formed from
-    those few sums and not from a second expansion of the rows.
+    those few sums and not from a second expansion of the rows. Rows without a source are a
+    source of their own, null.
     """
     sums = _sums_by(scored, ["run", "source"], reward)
-    rolled = sums.select("run", F.explode(F.array("source", F.lit(None))).alias("source"), "_n", "_units")
+    rolled = sums.select("run", _levels(), "_n", "_units").select("run", "level.*", "_n", "_units")
     return (
-        rolled.groupBy("run", "source")
+        rolled.groupBy("run", "overall", "source")
         .agg(F.sum("_n").alias("rows"), F.sum("_units").alias("_units"))
         .select(
             "run",
-            F.coalesce("source", F.lit("avg")).alias("source"),
+            _labelled("avg"),
             "rows",
             round4(mean_units(F.col("_units"), F.col("rows"))).alias("mean_reward"),
         )
@@ -38,7 +50,7 @@ def reward_report(scored: DataFrame, reward: str = "reward") -> DataFrame:
 
 def metric_rows(report: DataFrame) -> DataFrame:
     """Report rows as ``metric, value``: ``{run}_reward_{source}`` and ``{run}_reward_avg``."""
-    name = F.concat(F.col("run"), F.lit("_reward_"), F.col("source"))
+    name = F.concat(F.col("run"), F.lit("_reward_"), F.coalesce("source", F.lit("null")))
     return report.select("run", "source", name.alias("metric"), F.col("mean_reward").alias("value"))
 
 
@@ -51,15 +63,15 @@ def compare_runs(
     runs = [base, other] + ([reference_run] if reference_run else [])
     wanted = scored.where(F.col("run").isin(*runs))
     sums = _sums_by(wanted, ["source", "run"], reward)
-    rolled = sums.select("run", F.explode(F.array("source", F.lit(None))).alias("source"), "_n", "_units")
+    rolled = sums.select("run", _levels(), "_n", "_units").select("run", "level.*", "_n", "_units")
 
     def mean_of(run: str) -> Column:
         chosen = F.col("run") == run
         return mean_units(F.sum(F.when(chosen, F.col("_units"))), F.sum(F.when(chosen, F.col("_n"))))
 
-    means = rolled.groupBy("source").agg(*[mean_of(r).alias(f"_m{i}") for i, r in enumerate(runs)])
+    means = rolled.groupBy("overall", "source").agg(*[mean_of(r).alias(f"_m{i}") for i, r in enumerate(runs)])
     columns = [
-        F.coalesce("source", F.lit("avg")).alias("source"),
+        _labelled("avg"),
         round4(F.col("_m0")).alias(f"{base}_mean"),
         round4(F.col("_m1")).alias(f"{other}_mean"),
         round4(F.col("_m1") - F.col("_m0")).alias("change"),
@@ -126,9 +138,9 @@ def token_usage(usage: DataFrame) -> DataFrame:
         F.sum(prompt + completion).alias("total_tokens"),
     )
     measures = ["rows", "answered", "prompt_tokens", "completion_tokens", "total_tokens"]
-    rolled = sums.select(F.explode(F.array("source", F.lit(None))).alias("source"), *measures)
-    summed = rolled.groupBy("source").agg(*[F.sum(m).alias(m) for m in measures])
-    return summed.select(F.coalesce("source", F.lit("total")).alias("source"), *measures)
+    rolled = sums.select(_levels(), *measures).select("level.*", *measures)
+    summed = rolled.groupBy("overall", "source").agg(*[F.sum(m).alias(m) for m in measures])
+    return summed.select(_labelled("total"), *measures)
 
 
 def token_cost(

@@ -17,7 +17,6 @@ RECORD_TYPE = (
     "db_id string, table_names_original array<string>, column_names_original array<array<string>>, "
     "table_names array<string>, column_names array<array<string>>"
 )
-LARGEST_IMAGE = 2_000_000_000
 
 
 def read_tables_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
@@ -117,21 +116,14 @@ def scan_sqlite_folder(spark: SparkSession, root: str, mounted: bool = True) ->
     """Catalog rows of every SQLite file below a folder: ``path, db_id, schema, error``.
 
     ``mounted``: all workers see the folder as local files, so a database is opened in place
-    and only its schema pages are read. Otherwise whole files are read as images; those too
-    large for one row are reported as errors.
+    and only its schema pages are read. A file that a worker cannot open fails the job: the
+    folder is not mounted there. Otherwise whole files are read as images.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
     if not mounted:
-        small = scan_images(listing.where(F.col("length") <= LARGEST_IMAGE))
-        large = listing.where((F.col("length") > LARGEST_IMAGE) & is_database_path(F.col("path"))).select(
-            "path",
-            F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("db_id"),
-            F.lit(None).cast(SCHEMA_TYPE).alias("schema"),
-            F.lit("too large to read as one image").alias("error"),
-        )
-        return small.unionByName(large)
+        return scan_images(listing)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import unquote, urlparse
@@ -140,11 +132,8 @@ def scan_sqlite_folder(spark: SparkSession, root: str, mounted: bool = True) ->
             rows = []
             for path in batch["path"]:
                 local = unquote(urlparse(path).path)
-                try:
-                    with open(local, "rb") as handle:
-                        magic = handle.read(16)
-                except OSError:
-                    continue
+                with open(local, "rb") as handle:
+                    magic = handle.read(16)
                 if not magic.startswith(SQLITE_MAGIC.encode()):
                     continue
                 tables, error = _describe(lambda p=local: _open_read_only(p))

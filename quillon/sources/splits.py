@@ -60,6 +60,11 @@ def write_metrics(metrics: DataFrame, path: str, batch: str | None = None) -> No
     _replace_partitions(metrics.withColumn("batch", F.lit(label)), path, "batch")
 
 
+def write_run_metrics(metrics: DataFrame, path: str) -> None:
+    """Adds metric rows with one batch per run: a run written again replaces its own metrics only."""
+    _replace_partitions(metrics.withColumn("batch", F.concat(F.lit("run-"), F.col("run"))), path, "batch")
+
+
 def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(column).parquet(path)

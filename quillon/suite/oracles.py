@@ -283,7 +283,7 @@ _RUN_SCORES = (
 _REPORT = (
     *_RUN_SCORES,
     f"""report AS (
-  SELECT run, coalesce(source, 'avg') AS source, count(reward) AS rows,
+  SELECT run, CASE WHEN grouping(source) = 1 THEN 'avg' ELSE source END AS source, count(reward) AS rows,
          {_round4(_mean(f"sum({_units('reward')})", "count(reward)"))} AS mean_reward
   FROM run_scores GROUP BY GROUPING SETS ((run, source), (run))
 )""",
@@ -334,7 +334,7 @@ def _split(
 _LABELLED = "SELECT o_orderkey, db_id, source, split FROM labelled"
 
 _RECORDS = (
-    *_split(40), DATABASE_COLUMNS, SCHEMA_TABLES, LITERALS,
+    *_split(-1, everything=True), DATABASE_COLUMNS, SCHEMA_TABLES, LITERALS,
     """records AS (
   SELECT split, labelled.db_id, source, 'SELECT * FROM orders WHERE o_orderkey = ' || o_orderkey AS solution,
          '### Question' || chr(10) || 'Which order is ' || o_orderkey || '?' || chr(10) || '### Schema' || chr(10)
@@ -371,7 +371,7 @@ spaced AS (
 
 _USAGE = """
 usage AS (
-  SELECT coalesce(source, 'total') AS source, count(*) AS rows, count(*) FILTER (WHERE len(completion) > 0) AS answered,
+  SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS rows, count(*) FILTER (WHERE len(completion) > 0) AS answered,
          CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
          CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
          CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens
@@ -617,7 +617,7 @@ FROM raw_examples""",
     sql["compare_runs"] = with_(
         *_RUN_SCORES,
         f"""means AS (
-  SELECT coalesce(source, 'avg') AS source, {means["baseline"]} AS b, {means["tuned"]} AS t
+  SELECT CASE WHEN grouping(source) = 1 THEN 'avg' ELSE source END AS source, {means["baseline"]} AS b, {means["tuned"]} AS t
   FROM run_scores GROUP BY GROUPING SETS ((source), ())
 )""",
         select=f"""SELECT source, {_round4("b")} AS baseline_mean, {_round4("t")} AS tuned_mean,

@@ -111,7 +111,7 @@ def _merged(spark, sf_dir) -> DataFrame:
 def _records(spark, sf_dir) -> DataFrame:
     """Prompt records over the whole orders table, split by customer."""
     rows = views.groups(spark, sf_dir)
-    labelled = split.stratified_split(rows, SPLIT_SIZE)
+    labelled = split.stratified_split(rows, -1, allocate="all")
     sql = F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), F.col("o_orderkey").cast("string"))
     question = text.ensure_question(F.concat(F.lit("Which order is "), F.col("o_orderkey").cast("string")))
     filled = labelled.withColumn("question", question).withColumn("SQL", sql)

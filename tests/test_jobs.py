@@ -76,6 +76,16 @@ def test_evaluate(spark, tmp_path):
     }
 
 
+def test_evaluate_again_replaces_its_own_runs(spark, tmp_path):
+    paths = str(tmp_path / "results"), str(tmp_path / "metrics")
+    rows = completions(spark)
+    evaluate(rows, *paths, completion="completion")
+    before = sorted(tuple(r) for r in spark.read.parquet(paths[1]).collect())
+    compared = evaluate(rows.where("run = 'tuned'"), *paths, completion="completion")
+    assert all(r["baseline_mean"] is None for r in compared.collect())
+    assert sorted(tuple(r) for r in spark.read.parquet(paths[1]).collect()) == before
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from quillon.operators.reports import flatten_metrics
     from quillon.operators.scoring import score_completions

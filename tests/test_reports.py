@@ -127,3 +127,16 @@ def test_lookup_join_measures_before_it_broadcasts(spark):
     small = lookup_join(rows, lookup, "k")._jdf.queryExecution().optimizedPlan().toString()
     large = lookup_join(rows, lookup, "k", limit=10)._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in small and "_salt" in large
+
+
+def test_rows_without_a_source_count_once(spark):
+    rows = spark.createDataFrame(
+        [("baseline", "a", 1.0), ("baseline", None, 0.0), ("baseline", "avg", 1.0)], "run string, source string, reward double"
+    )
+    got = sorted(((r["source"] or "", r["rows"], r["mean_reward"]) for r in reports.reward_report(rows).collect()))
+    assert got == [("", 1, 0.0), ("a", 1, 1.0), ("avg", 1, 1.0), ("avg", 3, 0.6667)]
+    means = sorted((r["source"] or "", r["baseline_mean"]) for r in reports.compare_runs(rows).collect())
+    assert means == [("", 0.0), ("a", 1.0), ("avg", 0.6667), ("avg", 1.0)]
+    usage = spark.createDataFrame([("a", 60, 40), (None, 5, 5)], "source string, prompt_tokens long, completion_tokens long")
+    totals = {r["source"]: r["total_tokens"] for r in reports.token_usage(usage).collect()}
+    assert totals == {"a": 100, None: 10, "total": 110}

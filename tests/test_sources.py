@@ -149,6 +149,8 @@ def test_merge_guard(spark):
     bad = spark.createDataFrame([("x", "q", None)], kind)
     with pytest.raises(Exception, match="null value"):
         examples.merge_examples_with_schemas(catalog, bad).collect()
+    with pytest.raises(Exception, match="null value"):
+        examples.merge_examples_with_schemas(catalog, bad).count()
     assert examples.merge_examples_with_schemas(catalog, bad, guard=False).collect()[0]["SQL"] is None
 
 
