@@ -20,18 +20,18 @@ def measured_bytes(df: DataFrame) -> int:
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner",
-    limit: int = BROADCAST_BYTES,
+    limit: int = BROADCAST_BYTES, weights: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a lookup table that is expected, but not trusted, to be small.
 
     The lookup is measured. Within ``limit`` it is broadcast, so the rows are not shuffled;
-    beyond it the join is shuffled with hot keys spread.
+    beyond it the join is shuffled with hot keys spread, by ``weights`` as in :func:`spread_join`.
     """
     if measured_bytes(lookup) <= limit:
         return rows.join(F.broadcast(lookup), on, how)
     if rows.isStreaming:
         return rows.join(lookup, on, how)
-    return spread_join(rows, lookup, on, how)
+    return spread_join(rows, lookup, on, how, weights=weights)
 
 
 def settled(df: DataFrame, column: str, name: str) -> DataFrame:

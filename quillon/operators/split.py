@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import spread_join
+from quillon.operators.joins import lookup_join
 from quillon.session import stored
 
 RANK_DIGITS = 3
@@ -112,18 +112,25 @@ def stratified_split(
 
     A group is in one split as a whole. Rows of groups not sampled are dropped. The rows are
     read twice: once for the table of groups, which is stored because quotas, ranks and hot
-    groups all come from it, and once to be labelled.
+    groups all come from it, and once to be labelled. The labels are stored as well, so that
+    measuring them does not rank the groups a second time.
     """
     groups = stored(group_frame(rows, group, source, order), "groups")
     chosen = split_map(groups, sample_size, train_ratio, val_ratio, seed, group, source, cap_val, allocate)
-    return attach_split(rows, chosen, group)
+    return attach_split(rows, stored(chosen, "labels"), group, weights=groups)
 
 
-def attach_split(rows: DataFrame, chosen: DataFrame, group: str = "db_id") -> DataFrame:
-    """Rows joined to their group's split, without a whole hot group in one task."""
-    labels = chosen.select(group, "split")
-    weights = chosen.select(group, "rows_of_key")
-    return spread_join(rows, labels, group, weights=weights)
+def attach_split(
+    rows: DataFrame, chosen: DataFrame, group: str = "db_id", weights: DataFrame | None = None
+) -> DataFrame:
+    """Rows joined to their group's split, without a whole hot group in one task.
+
+    Labels of measured, bounded size are broadcast and the rows stay where they are. Beyond
+    that, ``weights`` (``group, rows_of_key`` of all groups, so that hot ones that were not
+    taken are spread too) say which groups to spread; without it the rows are counted.
+    """
+    weights = weights.select(group, "rows_of_key") if weights is not None else None
+    return lookup_join(rows, chosen.select(group, "split"), group, weights=weights)
 
 
 def split_profile(split_rows: DataFrame, group: str = "db_id", source: str = "source") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -508,19 +507,11 @@ def custom_scorer(spark, sf_dir):
         scoring.ScorerRegistry()
         .add("format", lambda df: F.when(F.col("tokenizes"), 1.0).otherwise(0.0), 0.5)
         .add("brevity", lambda df: F.when(F.char_length("answer") <= 60, 1.0).otherwise(0.25), 0.3)
-        .add("no_semicolon", _no_semicolon, 0.2)
+        .add("no_semicolon", lambda df: (~F.contains("answer", F.lit(";"))).cast("double"), 0.2)
     )
     return registry.score(rows).select("row_id", "format", "brevity", "no_semicolon", "combined")
 
 
-def _no_semicolon(df: DataFrame):
-    @F.pandas_udf("double")
-    def score(answers: pd.Series) -> pd.Series:
-        return (~answers.str.contains(";", regex=False)).astype("float64")
-
-    return score(F.col("answer"))
-
-
 # --- reports -------------------------------------------------------------------------
 
 
