@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.fixed_values import PROMPT_RECORD_COLUMNS
@@ -19,12 +19,40 @@ def write_splits(records: DataFrame, path: str, mode: str = "errorifexists") ->
     records.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_splits_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The same as CSV, nested columns as JSON text, one folder per split."""
-    text = records.withColumn("prompt", F.to_json("prompt")).withColumn("schema", F.to_json("schema"))
+def write_splits_csv(
+    records: DataFrame, path: str, mode: str = "errorifexists", named_tables: bool = False
+) -> None:
+    """The same as CSV, nested columns as JSON text, one folder per split.
+
+    With ``named_tables`` a schema is written as one object of table name to column list. Such
+    text, and that of a prompt, is a Python literal as well as JSON.
+    """
+    schema = F.col("schema")
+    if named_tables:
+        schema = F.map_from_entries(F.transform(schema, lambda t: F.struct(t["name"], t["columns"])))
+    text = records.withColumn("prompt", F.to_json("prompt")).withColumn("schema", F.to_json(schema))
     text.write.mode(mode).options(**_CSV).partitionBy("split").csv(path)
 
 
+def _decoded(text: Column, kind: str) -> Column:
+    """JSON or Python literal text as a value; text that is neither fails the job, null stays null.
+
+    Python escapes that JSON does not have are ``\\xNN``, rewritten here, and ``\\U``, refused.
+    """
+    odd = r"(?<!\\)((?:\\\\)*)\\"
+    as_json = F.regexp_replace(text, odd + "x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    options = {"mode": "FAILFAST", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    refused = F.raise_error(F.concat(F.lit("cannot decode "), F.left(text, F.lit(200)))).cast(kind)
+    return F.when(text.rlike(odd + "U"), refused).otherwise(F.from_json(as_json, kind, options))
+
+
+def _decoded_schema(text: Column) -> Column:
+    """A schema from a list of tables, or from one object of table name to column list."""
+    named = F.map_entries(_decoded(text, "map<string,array<string>>"))
+    tables = F.transform(named, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("columns")))
+    return F.when(F.ltrim(text).startswith("{"), tables).otherwise(_decoded(text, SCHEMA_TYPE))
+
+
 def read_splits(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Prompt records; a filter on ``split`` reads only that folder."""
     if format == "parquet":
@@ -38,8 +66,8 @@ def read_splits(spark: SparkSession, path: str, format: str = "parquet") -> Data
     if missing:
         raise ValueError(f"{path} is missing columns {missing}")
     if format == "csv":
-        df = df.withColumn("prompt", F.from_json("prompt", PROMPT_TYPE)).withColumn(
-            "schema", F.from_json("schema", SCHEMA_TYPE)
+        df = df.withColumn("prompt", _decoded(F.col("prompt"), PROMPT_TYPE)).withColumn(
+            "schema", _decoded_schema(F.col("schema"))
         )
     return df.withColumn("db_id", F.col("db_id").cast("string")).withColumn(
         "source", F.col("source").cast("string")

@@ -1,3 +1,5 @@
+import ast
+import csv
 import json
 import sqlite3
 
@@ -196,6 +198,41 @@ def test_split_files_round_trip(spark, tmp_path):
         split_io.read_splits(spark, str(tmp_path / "n"))
 
 
+LITERAL_SCHEMA = {"it's": ['say "x"', "plain"], "both ' and \"": ["back\\slash", "line\nbreak"], "nbsp\xa0": ["\\x41"], "none": []}
+
+
+def write_literal_csv(path, prompt, schema):
+    path.mkdir(parents=True)
+    with open(path / "part.csv", "w", newline="", encoding="utf-8") as handle:
+        writer = csv.writer(handle)
+        writer.writerow(["prompt", "solution", "schema", "source", "db_id"])
+        writer.writerow([prompt, "SELECT 'a'", schema, "spider", "1"])
+
+
+def test_csv_of_python_literals(spark, tmp_path):
+    prompt = [{"role": "user", "content": "it's \"so\"\n\\ end\xa0"}]
+    write_literal_csv(tmp_path / "c" / "split=train", repr(prompt), repr(LITERAL_SCHEMA))
+    row = split_io.read_splits(spark, str(tmp_path / "c"), "csv").first()
+    assert [m.asDict() for m in row["prompt"]] == prompt
+    assert {t["name"]: t["columns"] for t in row["schema"]} == LITERAL_SCHEMA
+    for i, text in enumerate(("{'t': ['a'", "['a'", r"{'\U000e0001': []}")):
+        write_literal_csv(tmp_path / f"bad{i}" / "split=train", repr(prompt), text)
+        with pytest.raises(Exception, match="MALFORMED_RECORD|cannot decode"):
+            split_io.read_splits(spark, str(tmp_path / f"bad{i}"), "csv").collect()
+
+
+def test_csv_with_named_tables_is_python_literals(spark, tmp_path):
+    schema = [(name, columns) for name, columns in LITERAL_SCHEMA.items()]
+    df = records(spark).withColumn("schema", F.lit(None).cast("array<struct<name:string,columns:array<string>>>"))
+    df = spark.createDataFrame([(*r[:2], schema, *r[3:]) for r in df.collect()], RECORD_KIND)
+    split_io.write_splits_csv(df, str(tmp_path / "c"), named_tables=True)
+    assert split_io.read_splits(spark, str(tmp_path / "c"), "csv").select(*df.columns).collect() == df.collect()
+    with open(next((tmp_path / "c" / "split=train").glob("*.csv")), newline="", encoding="utf-8") as handle:
+        row = next(csv.DictReader(handle))
+    assert ast.literal_eval(row["schema"]) == LITERAL_SCHEMA
+    assert [m["role"] for m in ast.literal_eval(row["prompt"])] == ["system", "user"]
+
+
 def test_validation(spark):
     assert checks.require_valid(records(spark), "train") == 1
     with pytest.raises(ValueError, match="unknown source: 1"):
