@@ -5,11 +5,15 @@ is a vector of bytes, tokens and rows, in shares of the corpus. The largest are
 where the dot product of its vector with what the shard has left of each is highest: a group that is
 long on tokens goes where tokens are short.
 
+A group that fits into a shard is placed as one. Only one that is larger than a shard in bytes, tokens or rows
+is cut, into pieces of at most ``PIECE`` of a shard each by a hash of the id, so that the shards can still be filled evenly.
+
 Placing is sequential, so it must not grow with the corpus. Groups are bundled by a hash of the text into
 ``BUNDLES_PER_SHARD`` bundles per shard; only groups as large as a bundle should be stand for themselves, and there
-cannot be more than three times as many of those. A group larger than that is dealt into pieces by
-a hash of the id. So the number of vectors to place is bounded by a multiple of the number of shards, whatever
-the corpus; they are placed on the driver, and the outcome is a table of that size.
+cannot be more than three times as many of those. The rows of such a group are counted and numbered in cells
+of a bundle's size, by a hash of the id, so that no task has to sort a whole group; cells are placed together. So the number
+of cells is bounded by a multiple of the number of shards, whatever the corpus; they are placed on the driver, and the
+outcome is a table of that size.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from quillon.session import stored
 
 SHARDS = 24
 BUNDLES_PER_SHARD = 64
+PIECE = 0.25  # of a shard: most that a piece of a group has that no shard can hold
 _MEASURES = ("size", "tokens", "rows")
 
 
@@ -70,7 +75,11 @@ def placed(docs: DataFrame, shards: int = SHARDS, bundles_per_shard: int = BUNDL
     bundles = shards * bundles_per_shard
     units = _units(keys, large, bundles).groupBy("_large", "_unit").agg(*measured)
     units = units.orderBy("_large", "_unit").toPandas()
-    shard = pack(units[list(_MEASURES)].to_numpy(np.float64), shards)
+    sizes = units[list(_MEASURES)].to_numpy(np.float64)
+    whole = _placed_as_one(units["_large"].to_numpy(), sizes, shards)
+    vectors = np.zeros((whole.max(initial=-1) + 1, len(_MEASURES)))
+    np.add.at(vectors, whole, sizes)
+    shard = pack(vectors, shards)[whole]
     offset = np.zeros(len(units), dtype=np.int64)
     for s in range(shards):
         own = shard == s
@@ -85,8 +94,25 @@ def placed(docs: DataFrame, shards: int = SHARDS, bundles_per_shard: int = BUNDL
     return rows.withColumn("slot", slot).drop("_a", "_b", "_id", "_large", "_unit", "_pieces", "_offset")
 
 
+def _placed_as_one(large: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
+    """For each unit, in order of groups, the number of what it is placed with: its group, if a shard can hold that, or a piece of it."""
+    room = np.maximum(sizes.sum(axis=0), 1) / shards
+    out = np.zeros(len(large), dtype=np.int64)
+    n = 0
+    for g in np.unique(large):
+        own = np.flatnonzero(large == g)
+        share = (sizes[own].sum(axis=0) / room).max()
+        if g < 0:
+            pieces = len(own)  # bundles of small groups
+        else:
+            pieces = 1 if share <= 1 else min(len(own), int(np.ceil(share / PIECE)))
+        out[own] = n + np.arange(len(own)) * pieces // len(own)
+        n += pieces
+    return out
+
+
 def _units(rows: DataFrame, large: DataFrame, bundles: int) -> DataFrame:
-    """With what is placed as one: a piece of a large group, or (``_large`` -1) a bundle of others."""
+    """With what is numbered as one: a cell of a large group, or (``_large`` -1) a bundle of others."""
     rows = rows.join(F.broadcast(large), ["_a", "_b"], "left")
     unit = F.when(F.col("_large").isNull(), F.pmod(F.col("_a"), F.lit(bundles))).otherwise(F.pmod("_id", F.col("_pieces")))
     return rows.withColumn("_unit", unit.cast("int")).withColumn("_large", F.coalesce("_large", F.lit(-1)))

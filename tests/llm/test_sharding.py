@@ -56,3 +56,23 @@ def test_a_group_with_a_third_of_all_rows_is_dealt_into_pieces(make_docs):
     load = Counter(r["shard"] for r in rows)
     assert max(load.values()) < 1.03 * min(load.values())
     assert rows == rows_of(placed(make_docs(docs), shards=4)) or sorted(map(str, rows)) == sorted(map(str, rows_of(placed(make_docs(docs), shards=4))))
+
+
+def test_copies_meet_in_one_of_24_shards_on_a_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = rows_of(placed(docs))
+    checked(rows, 24)
+    at = defaultdict(list)
+    for r in rows:
+        at[r["text"]].append(r["shard"])
+    copies = [s for s in at.values() if len(s) > 1]
+    assert len(copies) == 10 and all(len(set(s)) == 1 for s in copies)
+
+
+def test_a_group_larger_than_a_shard_is_cut_into_few_pieces(make_docs):
+    docs = [(i, "the same text everywhere" if i % 8 == 0 else f"text number {i} is other", "s") for i in range(4800)]
+    rows = rows_of(placed(make_docs(docs), shards=24))
+    checked(rows, 24)
+    assert len({r["shard"] for r in rows if r["text"] == "the same text everywhere"}) <= 13
+    load = Counter(r["shard"] for r in rows)
+    assert max(load.values()) < 1.05 * min(load.values())
