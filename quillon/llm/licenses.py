@@ -2,15 +2,17 @@
 
 Around every word that licences are named or granted with, the text is cut into a candidate block of
 a few words each way. Equal blocks are one. A block is compressed alone and with each known wording as a raw
-dictionary; the wording that saves most bytes is the likeliest. The three likeliest are laid over the block word by
-word: what is missing, what is put in and what is changed is listed exactly, and a wording counts
-as found only if enough of it is there in unbroken order.
+dictionary; the wording that saves most bytes is the likeliest. All wordings of which the block has enough words are
+laid over it word by word, at every place where they have a stretch of words in common: what is missing, what is put in and
+what is changed is listed exactly, and a wording counts as found only if enough of it is there in unbroken order. Of those
+that fit, the one with most words counts, then the likeliest.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +27,6 @@ from quillon.session import stored
 TRIGGER = re.compile(r"licen[sc]e|permission|redistribution|unencumbered|warrant|creative commons", re.IGNORECASE)
 LEAST_COVERED = 0.85  # of a wording's words
 MOST_PUT_IN = 0.15  # words within it that are not its own, as a share of its words
-RANKED = 3
 LEVEL = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[\W_]+")
@@ -65,6 +66,16 @@ def blocks_of(text: str | None) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b][1]) for a, b in out]
 
 
+def _stretches(wording: list[str], at: dict[str, list[int]], least: int) -> list[tuple[int, int, int]]:
+    """``a, b, size`` of the stretches that a wording and a block have in common and that go on neither way: longest, then first."""
+    found, open_ = [], {}
+    for a, w in enumerate([*wording, None]):
+        longer = {b: open_.pop(b, 0) + 1 for b in at.get(w, ())}
+        found += [(a - size, b - size, size) for b, size in open_.items() if size >= least]
+        open_ = {b + 1: size for b, size in longer.items()}
+    return sorted(found, key=lambda x: (-x[2], x[0], x[1]))
+
+
 class Scan:
     """The wordings with their dictionaries, and how blocks are compared with them."""
 
@@ -72,6 +83,7 @@ class Scan:
         import zstandard
 
         self.templates = [(name, _words(text)) for name, text in templates]
+        self.counts = [Counter(words) for _, words in self.templates]
         plain = [" ".join(words).encode() for _, words in self.templates]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         raw = zstandard.DICT_TYPE_RAWCONTENT
@@ -92,10 +104,17 @@ class Scan:
         while True:
             rest = ["\0" if t else w for w, t in zip(words, taken)]
             saved = self.saved([w for w in rest if w != "\0"])
-            ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))[:RANKED]
+            ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
+            at = defaultdict(list)
+            for k, w in enumerate(rest):
+                at[w].append(k)
             best = None
             for i in ranked:
-                fit = self._laid_over(self.templates[i][1], rest)
+                wording = self.templates[i][1]
+                there = sum(min(n, len(at.get(w, ()))) for w, n in self.counts[i].items())
+                if there < LEAST_COVERED * len(wording) or best is not None and there < best[0]["covered"]:
+                    continue
+                fit = self._laid_over(i, rest, at)
                 if fit and (best is None or (fit["covered"], saved[i]) > (best[0]["covered"], best[2])):
                     best = (fit, i, saved[i])
             if best is None:
@@ -108,14 +127,30 @@ class Scan:
                 "saved": bytes_saved, "missing": fit["missing"], "put_in": fit["put_in"],
             })
 
-    def _laid_over(self, wording: list[str], words: list[str]) -> dict | None:
-        """The exact differences, if enough of the wording is there."""
-        anchor = difflib.SequenceMatcher(None, wording, words, autojunk=False).find_longest_match()
-        if anchor.size < max(1, min(3, len(wording) // 2)):
-            return None
-        # Only the words beside the longest common stretch can belong to this place.
-        lo = max(0, anchor.b - int(anchor.a * (1 + MOST_PUT_IN)) - 1)
-        hi = min(len(words), anchor.b + int((len(wording) - anchor.a) * (1 + MOST_PUT_IN)) + 1)
+    def _laid_over(self, i: int, words: list[str], at: dict[str, list[int]]) -> dict | None:
+        """The exact differences at the first place with enough of a wording, the longest common stretches first.
+
+        ``at`` has the places of each word. A place that fits has at least one stretch of the least length: there are too few
+        breaks in it for shorter ones only.
+        """
+        wording, counts = self.templates[i][1], self.counts[i]
+        tried = set()
+        for a, b, _ in _stretches(wording, at, max(1, min(3, len(wording) // 2))):
+            # Only the words beside the common stretch can belong to this place.
+            lo = max(0, b - int(a * (1 + MOST_PUT_IN)) - 1)
+            hi = min(len(words), b + int((len(wording) - a) * (1 + MOST_PUT_IN)) + 1)
+            if (lo, hi) in tried:
+                continue
+            tried.add((lo, hi))
+            there = Counter(words[lo:hi])
+            if sum(min(n, there[w]) for w, n in counts.items()) < LEAST_COVERED * len(wording):
+                continue
+            fit = self._differences(wording, words, lo, hi)
+            if fit:
+                return fit
+        return None
+
+    def _differences(self, wording: list[str], words: list[str], lo: int, hi: int) -> dict | None:
         same = [m for m in difflib.SequenceMatcher(None, wording, words[lo:hi], autojunk=False).get_matching_blocks() if m.size]
         covered = sum(m.size for m in same)
         first, last = lo + same[0].b, lo + same[-1].b + same[-1].size - 1

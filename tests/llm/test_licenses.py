@@ -1,5 +1,5 @@
 from quillon.llm.license_texts import TEMPLATES
-from quillon.llm.licenses import Scan, blocks_of, licence_spans
+from quillon.llm.licenses import Scan, _stretches, blocks_of, licence_spans
 
 
 def spans(df):
@@ -24,6 +24,37 @@ def test_differences_are_listed():
     assert found[0]["missing"] == ["in", "writing"] and found[0]["put_in"] == ["and", "exact"]
 
 
+def test_a_whole_notice_is_found_beside_longer_texts_cut_short():
+    def cut(k):
+        words = TEMPLATES[k][1].split()
+        return " ".join(words[: len(words) * 7 // 10])
+
+    for name, notice in (("CC-BY-4.0", "Licensed under CC BY 4.0."), ("MIT", "Released under the MIT License."), TEMPLATES[8]):
+        block = f"{cut(1)} {cut(3)} {cut(5)} {notice} end"
+        found = Scan().found(block)
+        assert [(f["name"], block[f["start"] : f["end"]]) for f in found] == [
+            ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), (name, notice),
+        ]  # the header's first line is a notice by itself
+
+
+def test_a_wording_is_found_behind_a_longer_stretch_that_does_not_fit():
+    wording = TEMPLATES[8][1].split()
+    changed = [w for k, w in enumerate(wording) if k not in (12, 25)]
+    assert max(13, len(wording) - 26) < 20
+    block = " ".join(wording[:20]) + " something else altogether " * 3 + " ".join(changed)
+    found = Scan().found(block)
+    assert [(f["name"], len(f["missing"])) for f in found] == [("GPL-3.0-or-later", 2)]
+    assert block[found[0]["start"] : found[0]["end"]] == " ".join(changed)
+
+
+def test_stretches_are_the_longest_common_runs():
+    words = "a b c x a b y b c d a b c d".split()
+    at = {}
+    for k, w in enumerate(words):
+        at.setdefault(w, []).append(k)
+    assert _stretches("a b c d".split(), at, 2) == [(0, 10, 4), (0, 0, 3), (1, 7, 3), (0, 4, 2)]
+
+
 def test_versions_are_told_apart(make_docs):
     docs = make_docs([
         (1, "This work is licensed under the GNU General Public License, version 2.", "s"),
