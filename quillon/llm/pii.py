@@ -1,9 +1,10 @@
 """Personal data in texts: fixed forms, and more of it found by the contexts they are used in.
 
 The fixed forms (:data:`KINDS`) are found in every text and always reported. They are the seeds
-of a bootstrap. The words around a seed are lexical patterns: one or two words before it, one after it.
+of a bootstrap. The words around a seed are lexical patterns: one or two words before it, one after it; words
+end behind a colon, equals sign, quotation mark or opening bracket, and before a quotation mark or closing bracket.
 Other tokens that look a little like an identifier (digits that fail the check sum, a number
-without its plus, an address without a domain) are candidates. Patterns and values form a
+without its plus, an address without a domain) are candidates, and so are groups of digits with single blanks between. Patterns and values form a
 graph, which is scored in turns: a pattern is as good as the share of all its uses in the corpus
 that stand beside good values of one kind; a value is as good as its patterns together make it. Seeds
 stay certain. At the end a candidate that stands beside a pattern of high confidence is reported with the pattern's kind.
@@ -15,6 +16,7 @@ knows the patterns that matter, and the few words that pass it are joined with t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shingles import column_bytes, mix, text_words
+from quillon.llm.shingles import _SLICE, column_bytes, mix, text_words
 from quillon.operators.joins import lookup_join
 from quillon.session import stored
 
@@ -42,6 +44,11 @@ _DIGIT_OR_AT = re.compile("[0-9@]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AROUND = 200  # characters looked at for the words beside a value
+_OPENS, _CLOSES = ':=([{<"', ')]}>"'  # a word ends behind the one and before the other
+_APART = str.maketrans({c: " " * (c in _CLOSES) + c + " " * (c in _OPENS) for c in _OPENS + _CLOSES})
+_BREAK = re.compile(r'(?<=[:=(\[{<"])|(?=[)\]}>"])')
+_GROUPS = re.compile(r"[0-9(][0-9().-]*(?:\x20[0-9(][0-9().-]*)+")
+_STRIP_LEFT, _STRIP_RIGHT = "\"'([{<,;:", "\"')]}>,;:.!?"
 
 
 def _luhn(digits: str) -> bool:
@@ -97,7 +104,10 @@ def could_be(token: str) -> int:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """``start, end, kinds`` of tokens that look like identifiers and meet no fixed form."""
+    """``start, end, kinds`` of tokens and groups of digits that look like identifiers and meet no fixed form.
+
+    Those that overlap have the same end.
+    """
     found, at, nearest = [], 0, 0
     while (m := _DIGIT_OR_AT.search(text, at)) is not None:
         start = m.start()
@@ -105,18 +115,118 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             start -= 1
         stop = _BLANK.search(text, m.start())
         end = at = stop.start() if stop else len(text)
-        token = text[start:end]
-        left = len(token) - len(token.lstrip("\"'([{<,;:"))
-        start, end = start + left, start + len(token.rstrip("\"')]}>,;:.!?"))
         while nearest < len(base) and base[nearest][2] <= start:
             nearest += 1
-        if end > start and not any(s < end and e > start for s, _, e in base[nearest : nearest + 8]):
-            kinds = could_be(text[start:end])
-            if kinds:
-                found.append((start, end, kinds))
+        for s, e, kinds in _parts(text, start, end):
+            if not any(x < e and y > s for x, _, y in base[nearest : nearest + 8]):
+                found.append((s, e, kinds))
+    alone = {e for _, e, kinds in found if kinds & 12}
+    groups = _digit_groups(text, base, alone)
+    starts = [s for s, _, _ in groups]
+    for s, e, kinds in found:
+        k = bisect_left(starts, e) - 1
+        if k < 0 or groups[k][1] <= s or groups[k][1] == e:
+            groups.append((s, e, kinds))
+    return sorted(set(groups))
+
+
+def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    token = text[start:end]
+    start += len(token) - len(token.lstrip(_STRIP_LEFT))
+    return start, max(start, start + len(text[start:end].rstrip(_STRIP_RIGHT)))
+
+
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """``start, end, kinds`` of a token between blanks, or of what stands in it behind marks."""
+    s, e = _stripped(text, start, end)
+    whole = could_be(text[s:e])
+    if whole & ~1:
+        return [(s - (text[s:e].count(")") > text[s:e].count("(") and text[s - 1 : s] == "("), e, whole)]
+    cuts = [s, *(m.start() + s for m in _BREAK.finditer(text[s:e])), e]
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        a, b = _stripped(text, a, b)
+        if b > a and (kinds := could_be(text[a:b])):
+            parts.append((a, b, kinds))
+    return parts or ([(s, e, whole)] if whole else [])
+
+
+def _digit_groups(text: str, base: list[tuple[int, int, int]], alone: set[int]) -> list[tuple[int, int, int]]:
+    """``start, end, kinds`` of runs of groups of digits with single blanks between: the longest that look like one number.
+
+    A group at the end of which (``alone``) a candidate ends is the last of its run.
+    """
+    found, nearest = [], 0
+    for m in _GROUPS.finditer(text):
+        while nearest < len(base) and base[nearest][2] <= m.start():
+            nearest += 1
+        met = nearest
+        groups: list[tuple[int, int] | None] = []  # None where a run cannot go on
+        for g in re.finditer(r"[^\x20]+", m[0]):
+            start, end = m.start() + g.start(), m.start() + g.end()
+            close = start + len(text[start:end].rstrip(_STRIP_RIGHT.replace(")", "")))
+            while met < len(base) and base[met][2] <= start:
+                met += 1
+            whole = _starts(text, start) and (end == len(text) or _BLANK.match(text[end]) or text[end] in _STRIP_RIGHT)
+            if not whole or any(x < end and y > start for x, _, y in base[met : met + 8]):
+                groups.append(None)
+                continue
+            groups.append((start, close))
+            if close < end or close in alone or _stripped(text, start, close)[1] in alone:
+                groups.append(None)
+        at = 0
+        while at < len(groups):
+            best, digits = None, 0
+            for k in range(at, len(groups)):
+                if groups[k] is None:
+                    break
+                digits += sum(c.isdigit() for c in text[slice(*groups[k])])
+                if digits > 19:
+                    break
+                if k > at and (kinds := _grouped(text, groups[at][0], groups[k][1])):
+                    best = kinds, k
+            if best:
+                found.append(best[0])
+            at = best[1] + 1 if best else at + 1
     return found
 
 
+def _grouped(text: str, start: int, end: int) -> tuple[int, int, int] | None:
+    """``start, end, kinds`` of groups without the brackets around all of them."""
+    token = text[start:end]
+    while token.count(")") > token.count("(") and token.endswith(")"):
+        token = token[:-1]
+    while token.startswith("(") and (token.count("(") > token.count(")") or token.find(")") == len(token) - 1):
+        token, start = token[1:].removesuffix(")") if token.count("(") == token.count(")") else token[1:], start + 1
+    kinds = could_be(token.replace(" ", "")) & 12
+    return (start, start + len(token), kinds) if kinds else None
+
+
+def _starts(text: str, at: int) -> bool:
+    """Whether a word starts there."""
+    return at == 0 or text[at - 1] in _OPENS or text[at : at + 1] in tuple(_CLOSES) or _BLANK.match(text[at - 1]) is not None
+
+
+def _ends(text: str, at: int) -> bool:
+    """Whether a word ends there."""
+    return at == len(text) or text[at] in _CLOSES or text[at - 1 : at] in tuple(_OPENS) or _BLANK.match(text[at]) is not None
+
+
+def _apart(data: np.ndarray) -> np.ndarray:
+    """The bytes of a text with blanks put in where words end at marks."""
+    opens, closes = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    opens[[ord(c) for c in _OPENS]] = 1
+    closes[[ord(c) for c in _CLOSES]] = 1
+    parts = []
+    for k in range(0, len(data), _SLICE):
+        part = data[k : k + _SLICE]
+        ends = np.cumsum(1 + closes[part] + opens[part])
+        out = np.full(int(ends[-1]), 32, dtype=np.uint8)
+        out[ends - 1 - opens[part]] = part
+        parts.append(out)
+    return np.concatenate(parts) if parts else data
+
+
 def _numbers(words: list[str]) -> list[int]:
     return [int(x) for x in text_words(np.frombuffer(" ".join(words).encode("utf-8", "replace"), np.uint8))]
 
@@ -130,8 +240,12 @@ def _pattern(side: int, first, second=0):
 
 def patterns_beside(text: str, start: int, end: int) -> list[int]:
     """Patterns of a value's place: the word before, the two words before, the word after."""
-    before = _WORD.findall(text[max(0, start - _AROUND) : start])[-2:]
-    after = _WORD.findall(text[end : end + _AROUND])[:1]
+    lo, hi = max(0, start - _AROUND), min(len(text), end + _AROUND)
+    before = _WORD.findall(text[lo:start].translate(_APART)) if _starts(text, start) else []
+    after = _WORD.findall(text[end:hi].translate(_APART)) if _ends(text, end) else []
+    # Only whole words are counted in all texts.
+    before = before[0 if _starts(text, lo) else 1 :][-2:]
+    after = after[: len(after) if _ends(text, hi) else -1][:1]
     numbers = _numbers(before + after)
     out = []
     if before:
@@ -198,7 +312,7 @@ def _uses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             met = []
             for data in column_bytes(batch.column(0)):
                 if data is not None and len(data):
-                    p = _all_patterns(text_words(data))
+                    p = _all_patterns(text_words(_apart(data)))
                     met.append(p[known[p & ((1 << FIELD_BITS) - 1)]])
             pattern, uses = np.unique(np.concatenate(met) if met else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(uses.astype(np.int64))], names=["pattern", "uses"])
@@ -253,8 +367,10 @@ def personal_data(docs: DataFrame, confident: float = CONFIDENT, turns: int = TU
         "h", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.kinds").alias("kinds"), F.explode("p.patterns").alias("pattern")
     ).distinct()
     told = open_places.join(patterns, "pattern").where("shiftright(kinds, kind) & 1 = 1")
-    best = told.groupBy("h", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
-    added = best.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.k")).alias("kind"), "end"))).alias("added"))
+    # Candidates that overlap have one end: the surest counts, then the longest.
+    best = told.groupBy("h", "end").agg(F.max(F.struct("confidence", (-F.col("start")).alias("s"), (-F.col("kind")).alias("k"))).alias("b"))
+    span = F.struct((-F.col("b.s")).alias("start"), (-F.col("b.k")).alias("kind"), "end")
+    added = best.groupBy("h").agg(F.array_sort(F.collect_list(span)).alias("added"))
     rows = lookup_join(found.select("doc_id", "h", "base"), stored(added, "added"), "h", "left")
     return rows.withColumn("added", F.coalesce("added", F.filter("base", lambda s: F.lit(False))))
 

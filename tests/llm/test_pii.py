@@ -1,11 +1,13 @@
 import re
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm.pii import KINDS, base_spans, digest_columns, personal_data
+from quillon.llm.pii import KINDS, _all_patterns, _apart, base_spans, candidates, digest_columns, patterns_beside, personal_data
+from quillon.llm.shingles import text_words
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -64,3 +66,41 @@ def test_contexts_find_what_no_form_does(make_docs):
     found = {r.doc_id: [(s.start, KINDS[s.kind], s.end) for s in r.added] for r in personal_data(make_docs(rows)).collect()}
     assert found[100] == [(23, "phone", 35)] and found[101] == []
     assert all(found[k] == [] for k in range(20))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("my number: 555 123 4567, thanks", ["555 123 4567"]), ("card 4111 1111 1111 1112 ok", ["4111 1111 1111 1112"]),
+    ("at (555) 123-4567.", ["(555) 123-4567", "123-4567"]), ("tel:5551234567", ["5551234567"]), ("id=555 123 4567", ["555 123 4567"]),
+    ("(555)123-4567 (555 123 4567)", ["(555)123-4567", "555 123 4567"]), ("555-1234 555-1235", ["555-1234", "555-1235"]),
+    ("email:x@localhost <y@z>", ["x@localhost", "y@z"]), ("a1 234 567b x@y.de", []), ("(555) (123-4567)", ["(555) (123-4567)"]),
+])
+def test_candidates(text, want):
+    assert [text[s:e] for s, e, _ in candidates(text, base_spans(text))] == want
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab@.:=(<[)>]\"+ 0123456789-,é\n", max_size=60), st.integers(0, 250))
+def test_patterns_are_counted_for_the_same_words(text, n):
+    text = "x" * n + text
+    used = set(_all_patterns(text_words(_apart(np.frombuffer(text.encode(), np.uint8)))).tolist()) if text.strip() else set()
+    base = base_spans(text)
+    found = candidates(text, base)
+    assert all(a[1] <= b[0] or a[1] == b[1] for a, b in zip(found, found[1:]))
+    for s, e in [(s, e) for s, _, e in base] + [(s, e) for s, e, _ in found]:
+        assert set(patterns_beside(text, s, e)) <= used
+
+
+def test_contexts_find_groups_of_digits_and_glued_values(make_docs):
+    rows = [(k, f"some words {k} here my number: +1 (555) {100 + k}-{1000 + k} thanks and bye", "s") for k in range(20)]
+    rows += [(20 + k, f"some words {k} here tel:+1555{100 + k}{1000 + k} thanks and bye", "s") for k in range(20)]
+    rows += [(40 + k, f"some words {k} here my card is 4111-1111-1111-1111 or {c} but hush", "s") for k, c in enumerate(
+        ["4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100", "3782 822463 10005", "6011 1111 1111 1117"])]
+    texts = {
+        100: ("my number: 555 123 4567 thanks", "555 123 4567"), 101: ("my number: (555) 123-4567 thanks", "(555) 123-4567"),
+        102: ("here tel:5551234567 and", "5551234567"), 103: ("is or 4111 1111 1111 1112 but", "4111 1111 1111 1112"),
+    }
+    rows += [(k, t, "s") for k, (t, _) in texts.items()]
+    found = {r.doc_id: r.added for r in personal_data(make_docs(rows)).collect()}
+    for k, (text, want) in texts.items():
+        assert [text[s.start : s.end] for s in found[k]] == [want], text
+    assert all(found[k] == [] for k in range(45))
