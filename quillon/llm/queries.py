@@ -12,6 +12,7 @@ from quillon.llm.embedding_dedup import vector_classes
 from quillon.llm.fingerprints import with_edits
 from quillon.llm.licenses import licence_spans
 from quillon.llm.line_dedup import drop_repeated_runs
+from quillon.llm.merkle import checked_manifest
 from quillon.llm.mixing import with_copies
 from quillon.llm.ngram_join import jaccard_classes
 from quillon.llm.pieces import decode, with_pieces
@@ -81,6 +82,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -92,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_fingerprints": op9_fingerprints,
     "op10_source_mixing": op10_source_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
