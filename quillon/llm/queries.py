@@ -17,6 +17,7 @@ from quillon.llm.mixing import with_copies
 from quillon.llm.ngram_join import jaccard_classes
 from quillon.llm.pieces import decode, with_pieces
 from quillon.llm.pii import digest_columns, personal_data
+from quillon.llm.quality import with_quality
 from quillon.llm.sharding import placed
 from quillon.llm.toxicity import REJECT_AT, training_fold, with_score
 
@@ -86,6 +87,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -98,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_source_mixing": op10_source_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_rules": op12_quality_rules,
 }
