@@ -160,10 +160,98 @@ SELECT doc_id, n AS n_chars, sha256(changed) AS edited_sha256, own AS fingerprin
 FROM counted
 """
 
+_OP11 = """
+WITH RECURSIVE
+docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail, CAST(doc_id AS VARCHAR) AS name
+    FROM documents),
+checked AS (
+    SELECT rid, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ord(name[i]) AS BIGINT))),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT) FOR k IN range(8)]),
+            lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS c
+    FROM docs WHERE name IS NOT NULL),
+leaves AS (
+    SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS h,
+        CASE WHEN xor(c, 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+            THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS changed
+    FROM docs LEFT JOIN checked USING (rid)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS key
+    FROM leaves),
+nodes(tree, level, pos, h, before, after, n) AS (
+    SELECT key, 0, pos, h, lag(h) OVER w, lead(h) OVER w, count(*) OVER (PARTITION BY key) FROM placed WINDOW w AS (PARTITION BY key ORDER BY pos)
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(h || CASE WHEN after IS NULL THEN '' ELSE after END),
+        lag(sha256(h || coalesce(after, ''))) OVER w, lead(sha256(h || coalesce(after, ''))) OVER w, (n + 1) // 2
+    FROM nodes WHERE n > 1 AND pos % 2 = 0 WINDOW w AS (PARTITION BY tree ORDER BY pos)),
+subroots AS (SELECT tree, h FROM nodes WHERE n = 1),
+tops(level, pos, h, before, after, n) AS (
+    SELECT 0, tree, h, lag(h) OVER w, lead(h) OVER w, count(*) OVER () FROM subroots WINDOW w AS (ORDER BY tree)
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(h || coalesce(after, '')),
+        lag(sha256(h || coalesce(after, ''))) OVER w, lead(sha256(h || coalesce(after, ''))) OVER w, (n + 1) // 2
+    FROM tops WHERE n > 1 AND pos % 2 = 0 WINDOW w AS (ORDER BY pos)),
+root AS (SELECT h AS root FROM tops WHERE n = 1),
+steps AS (
+    SELECT p.rid, level, CASE WHEN n.pos % 2 = 1 THEN before ELSE '' END AS before, CASE WHEN n.pos % 2 = 0 THEN coalesce(after, '') ELSE '' END AS after
+    FROM placed p JOIN nodes n ON n.tree = p.key AND n.pos = p.pos >> level WHERE n > 1
+    UNION ALL
+    SELECT p.rid, 1000 + level, CASE WHEN t.pos % 2 = 1 THEN before ELSE '' END, CASE WHEN t.pos % 2 = 0 THEN coalesce(after, '') ELSE '' END
+    FROM placed p JOIN tops t ON t.pos = p.key >> level WHERE t.n > 1),
+paths AS (SELECT rid, list([before, after] ORDER BY level) AS path, string_agg(before || after, '' ORDER BY level) AS siblings FROM steps GROUP BY rid),
+folded(rid, k, x) AS (
+    SELECT rid, 1, coalesce(changed, h) FROM placed
+    UNION ALL
+    SELECT f.rid, k + 1, sha256(path[k][1] || x || path[k][2]) FROM folded f JOIN paths USING (rid) WHERE k <= len(path)),
+ends AS (SELECT f.rid, arg_max(x, k) AS folded_root FROM folded f GROUP BY f.rid)
+SELECT doc_id, p.h AS leaf, s.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s ON s.tree = key CROSS JOIN root JOIN ends USING (rid) LEFT JOIN paths USING (rid)
+"""
+
+_OP12 = r"""
+WITH
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (
+    SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+flat AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+windows AS (
+    SELECT rid, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS v
+    FROM flat WINDOW o AS (PARTITION BY rid ORDER BY i)),
+counted AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS c FROM windows WHERE v IS NOT NULL),
+covered AS (SELECT DISTINCT rid, i + k AS place FROM counted, (SELECT unnest(range(5)) AS k) WHERE c > 1),
+repeats AS (SELECT rid, count(*) AS n_repeat_words FROM covered GROUP BY rid),
+cut AS (SELECT rid, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+') AS t FROM docs),
+tokens AS (SELECT rid, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM cut),
+hashed AS (SELECT rid, i, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM tokens),
+pairs AS (SELECT rid, h, 31 * h + lead(h) OVER (PARTITION BY rid ORDER BY i) AS p FROM hashed),
+grams AS (SELECT rid, h & 262143 AS bin FROM pairs UNION ALL SELECT rid, p & 262143 FROM pairs WHERE p IS NOT NULL),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality > 0),
+marked AS (SELECT rid, t.doc_id IS NOT NULL AS good FROM docs d LEFT JOIN trusted t USING (doc_id)),
+bins AS (SELECT bin, CAST(count(*) FILTER (WHERE good) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS r FROM grams JOIN marked USING (rid) GROUP BY bin),
+sums AS (SELECT sum(t) AS tt, sum(r) AS rr FROM bins),
+weights AS (SELECT bin, CASE WHEN tt > 0 THEN CAST(floor(ln((t + 8.0) / (tt * r / rr + 8.0)) * 1048576 + 0.5) AS BIGINT) ELSE 0 END AS weight FROM bins, sums),
+scores AS (SELECT rid, sum(weight) AS s, count(*) AS n FROM grams JOIN weights USING (bin) GROUP BY rid),
+every AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(s, 0) AS s, coalesce(n, 0) AS n
+    FROM docs JOIN words USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN scores USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND s >= -125830 * n AS kept
+FROM every
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
     "op2_embedding_near_dedup": _OP2,
     "op4_line_dedup": _OP4,
     "op9_fingerprints": _OP9,
     "op10_source_mixing": _OP10,
+    "op11_merkle_manifest": _OP11,
+    "op12_quality_rules": _OP12,
 }
