@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from quillon.session import stored
 
 BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+# Fixed value: how a byte-level vocabulary cuts text into words.
+BYTE_LEVEL_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_DOCUMENTS = 4096
 BLOCK_LINKS = 3_000_000
 BATCH_DOCUMENTS = 256
@@ -54,6 +57,22 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _ranked(stated: dict, spelled: list[bytes]):
+    """A faster encoder with the same results, if ids of merged tokens ascend in the order of the merges; else nothing.
+
+    Such ids are ranks: of the pairs in a word, the one that spells the token with the lowest id is merged first.
+    """
+    model, before = stated["model"], stated.get("pre_tokenizer") or {}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    plain = not stated.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if model["type"] != "BPE" or model.get("ignore_merges") or not plain or merged != sorted(merged):
+        return None
+    import tiktoken
+
+    first = {t["id"] for t in stated["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={x: i for i, x in enumerate(spelled) if i not in first}, special_tokens={})
+
+
 class Tokenizers:
     """Both tokenizers and the bytes of their ids."""
 
@@ -66,7 +85,8 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         with open(byte_tokenizer, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            stated = json.load(file)
+        vocabulary = stated["model"]["vocab"]
         byte = _byte_of_character()
         self.bytes_a = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
@@ -74,17 +94,22 @@ class Tokenizers:
         spell = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = [spell(i) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in s], np.int64) for s in (self.bytes_a, self.bytes_b))
+        self.fast = _ranked(stated, self.bytes_a)
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], dtype=object).reshape(3, most)
 
     def cut(self, texts: list[str]) -> tuple[list, list]:
         """Ids of each text by both, or empty ones where their bytes are not those of a blank and the text."""
-        by_a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        led = [" " + t for t in texts]
+        if self.fast:
+            by_a = [self.fast.encode_ordinary(t) for t in led]
+        else:
+            by_a = [e.ids for e in self.a.encode_batch(led, add_special_tokens=False)]
         by_b = self.b.encode(texts, num_threads=1)
         for k, text in enumerate(texts):
             raw = b" " + text.encode()
             if not text or any(
-                raw != b"".join([spelled[i] for i in ids]) for ids, spelled in ((by_a[k], self.bytes_a), (by_b[k], self.bytes_b))
+                raw != b"".join(map(spelled.__getitem__, ids)) for ids, spelled in ((by_a[k], self.bytes_a), (by_b[k], self.bytes_b))
             ):
                 by_a[k], by_b[k] = [], []
         return by_a, by_b
@@ -114,7 +139,7 @@ def link(tokenizers: Tokenizers, texts: list[str]) -> Links:
     """The links of a batch of texts. Ends of both tokenizers meet at the end of every text, so the texts are treated as one."""
     by_a, by_b = tokenizers.cut(texts)
     n_a, n_b = (np.array([len(ids) for ids in by], np.int64) for by in (by_a, by_b))
-    a, b = (np.array([i for ids in by for i in ids], np.int64) for by in (by_a, by_b))
+    a, b = (np.fromiter(itertools.chain.from_iterable(by), np.int64, n.sum()) for by, n in ((by_a, n_a), (by_b, n_b)))
     end_a, end_b = np.cumsum(tokenizers.sizes_a[a]), np.cumsum(tokenizers.sizes_b[b])
     start_a, start_b = end_a - tokenizers.sizes_a[a], end_b - tokenizers.sizes_b[b]
     first, after = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a, "left")
