@@ -125,3 +125,9 @@ SQL_WORDS = (
     "RIGHT", "ROWS", "SELECT", "SET", "TABLE", "THEN", "TRUE", "UNBOUNDED", "UNION", "UNIQUE",
     "UPDATE", "USING", "VALUES", "WHEN", "WHERE", "WINDOW", "WITH",
 )
+
+# Words that make the literal after them one of a type, and names elsewhere.
+TYPED_LITERAL_WORDS = ("DATE", "TIME", "TIMESTAMP", "INTERVAL")
+
+# Words at the beginning of what TRIM is given, and names elsewhere.
+TRIM_WORDS = ("BOTH", "LEADING", "TRAILING")

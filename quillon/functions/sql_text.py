@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.fixed_values import CLAUSE_WORDS, REPAIR_WORDS, SQL_WORDS, TABLE_WORDS, WHITESPACE_CLASS
+from quillon.fixed_values import (
+    CLAUSE_WORDS, REPAIR_WORDS, SQL_WORDS, TRIM_WORDS, TYPED_LITERAL_WORDS, WHITESPACE_CLASS,
+)
 from quillon.functions.text import strip
 
 _S = f"[{WHITESPACE_CLASS}]"
@@ -119,70 +121,114 @@ def canonical_sql(sql: Column) -> Column:
     return F.rtrim(F.array_join(tokens, " "), F.lit("; "))
 
 
+_MARKED_WORDS = {
+    "FROM": "F", "JOIN": "T", "INTO": "I", "UPDATE": "I", "TABLE": "I", "SELECT": "S", "VALUES": "S", "WITH": "W", "WINDOW": "N",
+    "DISTINCT": "D", "COLLATE": "L", "OVER": "V", "ROWS": "R", "RANGE": "R", "GROUPS": "R", "AS": "A", "END": "E", "EXTRACT": "X",
+}
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def token_kinds(tokens: str) -> Column:
-    """One character per token, so that the rules below compare single characters.
+def token_line(tokens: str) -> Column:
+    """The tokens as one string with a character for the kind of each, so that the rules below compare single characters.
 
-    ``F`` FROM, ``T`` another word before a table name, ``C`` another clause word, ``A`` AS,
-    ``E`` END, ``k`` any other keyword, ``n`` a name, ``l`` a literal or number, ``. , ( ) *``
-    themselves, ``o`` anything else.
+    ``F`` FROM, ``T`` JOIN, ``I`` INTO, UPDATE, TABLE, ``S`` a word that opens a query in parentheses, ``W`` WITH, ``N`` WINDOW, ``C`` another clause
+    word, ``D`` DISTINCT, ``L`` COLLATE, ``V`` OVER, ``R`` a word that opens a window frame, ``A`` AS, ``E`` END, ``X`` EXTRACT before its parenthesis,
+    ``k`` any other keyword, ``n`` a name, ``l`` a literal or number, ``. , ( ) *`` themselves, ``o`` anything else.
     """
-    return F.expr(f"""
+    words = "".join(f"WHEN w = '{word}' THEN '{mark}' " for word, mark in _MARKED_WORDS.items())
+    kinds = f"""
         transform(transform({tokens}, t -> upper(t)), w -> CASE
             WHEN left(w, 1) IN ('.', ',', '(', ')', '*') THEN left(w, 1)
             WHEN left(w, 1) IN ('"', '`') THEN 'n'
-            WHEN w = 'FROM' THEN 'F'
-            WHEN w IN ({_listed(TABLE_WORDS)}) THEN 'T'
+            {words}
+            WHEN w IN ({_listed(TYPED_LITERAL_WORDS)}) THEN 'i'
+            WHEN w IN ({_listed(TRIM_WORDS)}) THEN 'b'
             WHEN w IN ({_listed(CLAUSE_WORDS)}) THEN 'C'
-            WHEN w = 'AS' THEN 'A'
-            WHEN w = 'END' THEN 'E'
             WHEN w IN ({_listed(SQL_WORDS)}) THEN 'k'
             WHEN left(w, 1) RLIKE r'[\\p{{L}}_]' THEN 'n'
             WHEN left(w, 1) RLIKE "['0-9]" THEN 'l'
-            ELSE 'o' END)""")
+            ELSE 'o' END)"""
+    line = F.array_join(F.expr(kinds), "")
+    # Words that are names unless their neighbours say otherwise.
+    settled = F.regexp_replace(line, r"(?<=\()b(?![,.)])|i(?=l)", "k")
+    return F.translate(F.regexp_replace(settled, r"X(?!\()", "n"), "ib", "nn")
 
 
-def kind_line(kinds: str) -> Column:
-    """The kinds as one string, with the commas of FROM lists as ``;``.
+def scoped_line(line: str) -> Column:
+    """The line with its parentheses told apart, by a left fold that keeps a stack of scopes.
 
-    A comma belongs to a FROM list if the last clause word in its own parenthesis is FROM. A
-    left fold carries a stack of one character per open parenthesis: linear in tokens. It is
-    left out where no comma follows a FROM.
+    A scope is what the last clause word of an open parenthesis makes of it, or what the parenthesis is: ``F`` a list of tables
+    (after FROM, or a parenthesis where a table is due that holds no query), ``W`` a list of WITH names, ``N`` a list of windows, ``f`` arguments of a function
+    (``X``: of EXTRACT), ``l`` a list of names (columns of a target, an alias or a WITH name), ``w`` a window, ``q`` its frame, ``-`` anything else.
+
+    In the result ``;`` is a comma and ``<`` a parenthesis with a table after it, ``{`` opens a list of names, ``k`` is a FROM that is no clause, and ``x``
+    a name that binds something or refers to a window, a unit or a frame, and so is no reference.
+
+    Marks are put together in pieces of about the square root of the length, as a fold that only ever
+    added to one text would copy it once per token. Lines without a parenthesis, a list or a binding word need no fold.
     """
-    outer = "left(s.stack, char_length(s.stack) - 1)"
-    moved = f"""CASE
-        WHEN k = '(' THEN concat(s.stack, '-')
-        WHEN k = ')' AND char_length(s.stack) > 1 THEN {outer}
-        WHEN k = 'F' THEN concat({outer}, 'F')
-        WHEN k = 'C' THEN concat({outer}, '-')
-        ELSE s.stack END"""
-    return F.expr(f"""
-        CASE WHEN array_join({kinds}, '') RLIKE 'F.*,' THEN
-            aggregate({kinds}, struct('-' AS stack, '' AS line),
-                (s, k) -> struct({moved} AS stack,
-                    concat(s.line, CASE WHEN k = ',' AND endswith(s.stack, 'F') THEN ';' ELSE k END) AS line),
-                s -> s.line)
-        ELSE array_join({kinds}, '') END""")
+    previous, following, before = "get(c, i - 1)", "get(c, i + 1)", "get(c, i - 2)"
+    tokens = f"transform({line}_c, (k, i) -> struct(k, coalesce({previous}, '') AS p, coalesce({following}, '') AS n, coalesce({before}, '') AS pp))"
+    tokens = tokens.replace("get(c,", f"get({line}_c,")
+    due = "(s.top = 'F' AND t.p IN ('F', 'T', ',', '(') OR t.p = 'T')"  # a table is due here
+    named_list = "(s.head = 'I' OR s.head = 'A' OR s.top = 'W' OR s.top = 'F' AND t.pp IN ('n', ')'))"
+    opened = f"""CASE
+        WHEN t.n IN ('S', 'W') THEN '-'
+        WHEN t.p = 'X' THEN 'X'
+        WHEN t.p = 'n' THEN CASE WHEN {named_list} THEN 'l' ELSE 'f' END
+        WHEN t.p = 'V' OR t.p = 'A' AND s.top = 'N' THEN 'w'
+        WHEN {due} THEN 'F'
+        ELSE '-' END"""
+    top = f"""CASE
+        WHEN t.k = '(' THEN {opened}
+        WHEN t.k = ')' THEN CASE WHEN s.under = '' THEN '-' ELSE right(s.under, 1) END
+        WHEN t.k = 'S' THEN '-'
+        WHEN s.top IN ('f', 'X', 'l', 'q') THEN s.top
+        WHEN s.top = 'w' THEN CASE WHEN t.k = 'R' THEN 'q' ELSE 'w' END
+        WHEN t.k = 'F' THEN CASE WHEN t.p = 'D' THEN s.top ELSE 'F' END
+        WHEN t.k IN ('W', 'N') THEN t.k
+        WHEN t.k = 'C' THEN '-'
+        ELSE s.top END"""
+    under = """CASE
+        WHEN t.k = '(' THEN concat(s.under, s.top)
+        WHEN t.k = ')' AND s.under <> '' THEN left(s.under, char_length(s.under) - 1)
+        ELSE s.under END"""
+    mark = f"""CASE
+        WHEN t.k = ',' AND s.top = 'F' THEN ';'
+        WHEN t.k = '(' AND t.p = 'n' AND t.n <> 'S' AND {named_list} THEN '{{'
+        WHEN t.k = '(' AND t.n NOT IN ('S', 'W') AND t.p NOT IN ('n', 'X', 'V') AND {due} THEN '<'
+        WHEN t.k = 'F' AND (s.top IN ('f', 'X', 'l', 'w', 'q') OR t.p = 'D') THEN 'k'
+        WHEN t.k = 'n' AND (s.top IN ('W', 'N', 'l', 'q') OR s.top IN ('w', 'X') AND t.p = '(') THEN 'x'
+        WHEN t.k = 'X' AND s.top IN ('W', 'N', 'l', 'q') THEN 'x'
+        ELSE t.k END"""
+    full = f"octet_length(s.piece) * octet_length(s.piece) > size({line}_c)"
+    folded = f"""
+        aggregate({tokens}, struct('-' AS top, '' AS under, '' AS head, '' AS done, '' AS piece),
+            (s, t) -> struct({top} AS top, {under} AS under, CASE WHEN t.k IN ('n', '.') THEN s.head ELSE t.k END AS head,
+                CASE WHEN {full} THEN concat(s.done, s.piece) ELSE s.done END AS done,
+                CASE WHEN {full} THEN {mark} ELSE concat(s.piece, {mark}) END AS piece),
+            s -> concat(s.done, s.piece))"""
+    return F.expr(f"CASE WHEN {line} RLIKE '[(WN]|F.*,|DF' THEN {folded} ELSE {line} END")
 
 
 def name_roles(line: Column) -> Column:
-    """One mark per token: ``t`` a table, ``c`` a column, anything else no reference.
+    """One mark per token of a :func:`scoped_line`: ``t`` a table, ``c`` a column, anything else no reference.
 
     The rules read a name's neighbours, which are characters of the line, so each group of
-    them is one replacement. First that fits: before ``.`` a qualifier; after FROM, JOIN, INTO,
-    UPDATE, TABLE, or after a comma of a FROM list, a table; after ``.`` a column, or a table if
-    the qualifier stands where a table does; before ``(`` a function and before ``AS (`` a WITH
-    name; after AS, ``)``, END, a name or a literal an alias; else a column. ``t.*`` is a
-    column ``*``.
+    them is one replacement. First that fits: before ``.`` a qualifier; where a table is due, and not before ``(``,
+    a table, as is the last of names with dots that stand there; after ``.`` a column; before ``(`` a function; after AS, ``)``, END, a
+    name or a literal an alias; after COLLATE or OVER no reference; else a column. ``t.*`` is a column ``*``.
 
-    Known limits: keywords used as names, vendor syntax, window frames.
+    Known limits: keywords used as names, vendor syntax.
     """
-    tables = F.regexp_replace(line, r"(?:(?<=[FT;])|(?<=[FT;].\.))n(?!\.)", "t")
-    qualified = F.regexp_replace(tables, r"(?<=\.)(?:n(?!\.)|\*)", "c")
-    marked = F.regexp_replace(qualified, r"(?<![.A)Enltc])n(?![.(]|A\()", "c")
+    due = "FTI;<"
+    starts = "|".join(f"(?<=[{due}]{'n.' * depth})".replace("n.", r"n\.") for depth in range(4))
+    tables = F.regexp_replace(line, rf"(?:{starts})n(?![.(])", "t")
+    qualified = F.regexp_replace(tables, r"(?<=\.)(?:n(?![.(])|\*)", "c")
+    marked = F.regexp_replace(qualified, r"(?<![.A)EnlxtcLV])n(?![.({]|A\()", "c")
     return F.split(marked, "")
 
 

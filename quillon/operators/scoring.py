@@ -60,9 +60,9 @@ def add_refs(df: DataFrame) -> DataFrame:
     )
     marked = (
         df.withColumn("_tokens", tokens)
-        .withColumn("_kinds", sql_text.token_kinds("_tokens"))
-        .withColumn("_line", sql_text.kind_line("_kinds"))
-        .withColumn("_marks", sql_text.name_roles(F.col("_line")))
+        .withColumn("_line", sql_text.token_line("_tokens"))
+        .withColumn("_line_c", F.split("_line", ""))
+        .withColumn("_marks", sql_text.name_roles(sql_text.scoped_line("_line")))
     )
     found = F.struct(
         sql_text.names_with_mark("_tokens", "_marks", "t").alias("tables"),
@@ -72,7 +72,7 @@ def add_refs(df: DataFrame) -> DataFrame:
         settled(marked.withColumn("_names", found), "_names", "_found")
         .withColumn("ref_tables", F.col("_found.tables"))
         .withColumn("ref_columns", F.col("_found.columns"))
-        .drop("_tokens", "_kinds", "_line", "_marks", "_found")
+        .drop("_tokens", "_line", "_line_c", "_marks", "_found")
     )
 
 

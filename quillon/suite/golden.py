@@ -74,3 +74,36 @@ TABLE_COLUMNS = {
     "benchmark": "item_id text",
     "labels": "doc_id quality toxic",
 }
+
+# --- fixed values: statement shapes, and the names each holds --------------------------
+
+# SQL with placeholders for names, then the placeholders that stand for tables and for columns.
+STATEMENTS = (
+    ("SELECT {c1}, {c2} FROM {t1} WHERE {c3} > 1", "t1", "c1 c2 c3"),
+    ("SELECT {c1} FROM ({t1} JOIN {t2} ON {t1}.{c2} = {t2}.{c3})", "t1 t2", "c1 c2 c3"),
+    ("SELECT x.{c1} FROM (({t1} a JOIN {t2} b ON a.{c2} = b.{c2}), {t3}) x, {t4}", "t1 t2 t3 t4", "c1 c2"),
+    ("SELECT {c1} FROM {t1} ORDER BY {c2} COLLATE NOCASE, {c3} DESC", "t1", "c1 c2 c3"),
+    ("SELECT {c1} FROM {t1} WHERE {c2} IS DISTINCT FROM {c3} AND {c4} IS NOT DISTINCT FROM 2", "t1", "c1 c2 c3 c4"),
+    ("SELECT sum({c1}) OVER {b1} FROM {t1} WINDOW {b1} AS (PARTITION BY {c2} ORDER BY {c3})", "t1", "c1 c2 c3"),
+    ("SELECT rank() OVER ({b1} ORDER BY {c1}) FROM {t1}, {t2} WINDOW {b1} AS (PARTITION BY {c2}), {b2} AS ({b1})", "t1 t2", "c1 c2"),
+    ("SELECT avg({c1}) OVER (ORDER BY {c2} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) FROM {t1}", "t1", "c1 c2"),
+    ("SELECT EXTRACT(year FROM {c1}), EXTRACT(month FROM {t1}.{c2}) FROM {t1} JOIN {t2} USING ({c3})", "t1 t2", "c1 c2 c3"),
+    ("SELECT substring({c1} FROM 2 FOR 3), trim(BOTH 'x' FROM {c2}) FROM {t1}", "t1", "c1 c2"),
+    ("WITH {b1}({b2}, {b3}) AS (SELECT {c1}, {c2} FROM {t1}) SELECT {c3} FROM {b1}", "t1 b1", "c1 c2 c3"),
+    ("WITH {b1} AS (SELECT {c1} FROM {t1}, {t2}), {b2} AS MATERIALIZED (SELECT {c2} FROM {b1}) SELECT * FROM {b1}, {b2}", "t1 t2 b1 b2", "c1 c2"),
+    ("INSERT INTO {t1} ({b1}, {b2}) SELECT {c1}, {c2} FROM {t2}", "t1 t2", "c1 c2"),
+    ("SELECT {b1}.{c1} FROM (VALUES (1, 2)) AS {b1}({b2}, {b3}) JOIN main.{t1} ON {b1}.{c1} = {c2}", "t1", "c1 c2"),
+    ("SELECT {c1} FROM {b1}({c2}, 'FROM {b2}') z, {t1} /* , {b3} */", "t1", "c1 c2"),
+    ("SELECT count(*) FILTER (WHERE {c1} > 1), date '2020-01-01', {c2} FROM {t1} -- , {b1}", "t1", "c1 c2"),
+    ("SELECT {c1}, (SELECT max({c2}) FROM {t2} WHERE {t2}.{c3} = {t1}.{c3}) {b1} FROM {t1} WHERE EXISTS (SELECT 1 FROM {t3})", "t1 t2 t3", "c1 c2 c3"),
+    ("SELECT {c1} FROM {t1} WHERE ({c2}, {c3}) IN (SELECT {c4}, lower({c5}) FROM ({t2})) AND {c6} = 1", "t1 t2", "c1 c2 c3 c4 c5 c6"),
+    ("UPDATE {t1} SET {c1} = {c2} + (SELECT min({c3}) FROM {t2}, {t3})", "t1 t2 t3", "c1 c2 c3"),
+    ("SELECT CAST({c1} AS DECIMAL(10, 2)) {b1}, CASE WHEN {c2} = 1 THEN 2 END {b2} FROM {t1} {b3}", "t1", "c1 c2"),
+    ('SELECT "{c1}", `{c2}` AS {b1} FROM "{t1}" AS {b2} LEFT JOIN {t2} ON {b2}.{c3} = 1, {t3} GROUP BY {c4}', "t1 t2 t3", "c1 c2 c3 c4"),
+    ("SELECT DISTINCT {c1} FROM {t1}; SELECT {c2} FROM {t2}", "t1 t2", "c1 c2"),
+    ("SELECT {c1} FROM a.b.{t1} UNION SELECT {c2} FROM b.{t2} {b1}, c.{t3}", "t1 t2 t3", "c1 c2"),
+)
+
+# A third of the names of a statement are unknown to the schema it is judged by.
+KNOWN_TABLES = ("t1", "t2")
+KNOWN_COLUMNS = ("c1", "c2", "c3")

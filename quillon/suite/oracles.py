@@ -6,7 +6,7 @@ from quillon.fixed_values import (
     BUILT_IN_WEIGHTS, CLAUSE_WORDS, DEFAULT_WEIGHTS, REPAIR_WORDS, SQL_WORDS, SYSTEM_PROMPT, TABLE_WORDS,
     WHITESPACE, WHITESPACE_CLASS,
 )
-from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED, TABLE_COLUMNS
+from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED, KNOWN_COLUMNS, KNOWN_TABLES, STATEMENTS, TABLE_COLUMNS
 
 def lit(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
@@ -393,6 +393,25 @@ FROM (
 )"""
 
 
+def _stated_references() -> str:
+    """The names that each generated statement was written with; no statement is read."""
+    listed = lambda names: "[" + words(names) + "]"
+    shapes = ", ".join(
+        f"({k}, {listed(t.split())}, {listed(c.split())}, {listed([n for n in t.split() if n in KNOWN_TABLES] + [n for n in c.split() if n in KNOWN_COLUMNS])})"
+        for k, (_, t, c) in enumerate(STATEMENTS)
+    )
+    named = "array_to_string(list_sort(list_transform({0}, lambda n: n || '_' || stem)), ',')"
+    share = "CAST(len(known) AS DOUBLE) / len(list_concat(t, c))"
+    penalty = f"CAST({DEFAULT_WEIGHTS['unknown_schema_item_penalty']!r} AS DOUBLE)"
+    return with_(
+        f"shapes(k, t, c, known) AS (VALUES {shapes})",
+        "stems AS (SELECT doc_id, lower(coalesce(regexp_extract(text, '[A-Za-z]+', 0), '')) AS stem FROM documents)",
+        select=f"""SELECT doc_id, {named.format('t')} AS ref_tables, {named.format('c')} AS ref_columns,
+  {_round4(f"{share} + {penalty} * (1.0::DOUBLE - {share})")} AS schema_fidelity
+FROM stems JOIN shapes ON k = doc_id % {len(STATEMENTS)}""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -576,6 +595,7 @@ FROM raw_examples""",
         select="SELECT row_id, array_to_string(list_sort(rt), ',') AS ref_tables, "
         "array_to_string(list_sort(rc), ',') AS ref_columns FROM scored",
     )
+    sql["schema_refs_by_scope"] = _stated_references()
     sql["score_fidelity"] = with_(*_SCORED, select="SELECT row_id, schema_fidelity FROM scored")
     sql["score_combined"] = with_(*_SCORED, select="SELECT row_id, combined FROM scored")
     sql["score_combined_built_in_weights"] = with_(

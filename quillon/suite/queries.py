@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.fixed_values import BUILT_IN_WEIGHTS, DEFAULT_WEIGHTS
 from quillon.functions import schema_text, sql_text, text
+from quillon.functions.numbers import round4
 from quillon.operators import checks, examples, groups, reports, scoring, split
 from quillon.operators import exec_check as exec_ops
 from quillon.operators.catalog import merge_catalogs as merge_by_rank
@@ -452,6 +453,18 @@ def schema_refs(spark, sf_dir):
     )
 
 
+@query
+def schema_refs_by_scope(spark, sf_dir):
+    rows = scoring.add_refs(scoring.add_format(views.statements(spark, sf_dir)))
+    scored = scoring.add_fidelity(rows, DEFAULT_WEIGHTS["unknown_schema_item_penalty"])
+    return scored.select(
+        "doc_id",
+        F.array_join(F.array_sort("ref_tables"), ",").alias("ref_tables"),
+        F.array_join(F.array_sort("ref_columns"), ",").alias("ref_columns"),
+        round4(F.col("schema_fidelity")).alias("schema_fidelity"),
+    )
+
+
 @query
 def score_fidelity(spark, sf_dir):
     rows = scoring.add_refs(scoring.add_format(_with_sql(spark, sf_dir)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions.schema_text import SCHEMA_TYPE, empty_tables_ddl
 from quillon.operators.catalog import nested_catalog
 from quillon.session import spread_input
-from quillon.suite.golden import ANSWERS, DATABASES, TABLE_COLUMNS
+from quillon.suite.golden import ANSWERS, DATABASES, KNOWN_COLUMNS, KNOWN_TABLES, STATEMENTS, TABLE_COLUMNS
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -79,6 +79,17 @@ def varied_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement per document, its names made of a word of the text: ``doc_id, sql, schema``."""
+    stem = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    shape = F.get(F.array(*[F.lit(s) for s, _, _ in STATEMENTS]), (F.col("doc_id") % len(STATEMENTS)).cast("int"))
+    named = F.regexp_replace(shape, r"\{(\w+)\}", F.concat(F.lit("$1_"), F.col("stem")))
+    known = lambda names: F.array(*[F.concat(F.lit(f"{n}_"), F.col("stem")) for n in names])
+    columns = F.transform(known(KNOWN_TABLES), lambda t: F.struct(t.alias("name"), known(KNOWN_COLUMNS).alias("columns")))
+    docs = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", stem.alias("stem"))
+    return docs.select("doc_id", named.alias("sql"), columns.alias("schema"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The completions of two runs; the tuned one differs on every fifth row."""
     base = completions(spark, sf_dir)

@@ -48,6 +48,28 @@ REFERENCES = {
     "SELECT CAST(a AS INTEGER) FROM T": ({"t"}, {"a"}),
     "SELECT 'open FROM t": (set(), set()),
     "SELECT a FROM t ORDER BY b LIMIT 1": ({"t"}, {"a", "b"}),
+    "SELECT a FROM (t JOIN u ON t.k = u.k) WHERE b > 1": ({"t", "u"}, {"a", "k", "b"}),
+    "SELECT a FROM ((t JOIN u USING (k)), v) x, w": ({"t", "u", "v", "w"}, {"a", "k"}),
+    "SELECT a FROM t ORDER BY a COLLATE NOCASE, b": ({"t"}, {"a", "b"}),
+    "SELECT a FROM t WHERE a IS DISTINCT FROM b AND c IS NOT DISTINCT FROM d": ({"t"}, {"a", "b", "c", "d"}),
+    "SELECT sum(a) OVER w, rank() OVER (w ORDER BY b) FROM t WINDOW w AS (PARTITION BY c), v AS (w ORDER BY d "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES)": ({"t"}, {"a", "b", "c", "d"}),
+    "SELECT EXTRACT(year FROM d), extract(month FROM t.e), extract FROM t": ({"t"}, {"d", "e", "extract"}),
+    "SELECT substring(s FROM 2 FOR 3), trim(BOTH 'x' FROM r), trim(leading), position(p IN q) FROM t, u":
+        ({"t", "u"}, {"s", "r", "leading", "p", "q"}),
+    "WITH r(n, m) AS (SELECT a, b FROM t), q AS MATERIALIZED (SELECT n FROM r) SELECT m FROM r, q":
+        ({"t", "r", "q"}, {"a", "b", "n", "m"}),
+    "INSERT INTO t (a, b) SELECT c, d FROM u": ({"t", "u"}, {"c", "d"}),
+    "SELECT x.a FROM (VALUES (1, 2)) AS x(a, b) JOIN f(c) y ON x.a = y.d, db.s.z": ({"z"}, {"a", "c", "d"}),
+    "SELECT count(*) FILTER (WHERE a > 1), string_agg(b, ',' ORDER BY c), date '2020-01-01', interval '1' day, date FROM t":
+        ({"t"}, {"a", "b", "c", "date"}),
+    "SELECT a, (SELECT max(b) FROM u WHERE u.k = t.k) m FROM t WHERE EXISTS (SELECT 1 FROM v) AND (c, d) IN (SELECT e, f FROM (w))":
+        ({"t", "u", "v", "w"}, {"a", "b", "k", "c", "d", "e", "f"}),
+    "DELETE FROM t WHERE a = (b + (c * (d)))": ({"t"}, {"a", "b", "c", "d"}),
+    "SELECT a FROM t1 x(p, q) LEFT JOIN lt ON lower(x.p) = lower(b)": ({"t1", "lt"}, {"a", "p", "b"}),
+    "SELECT DISTINCT a FROM t; SELECT b FROM u": ({"t", "u"}, {"a", "b"}),
+    "SELECT ) a, b FROM t) , u": ({"t"}, {"b", "u"}),
+    "": (set(), set()),
 }
 
 
@@ -58,6 +80,17 @@ def test_references(spark):
     assert got == REFERENCES
 
 
+@pytest.mark.parametrize("n", [3, 3000])
+def test_references_of_long_and_deep_statements(spark, n):
+    names = [f"c{k}" for k in range(n)]
+    wide = "SELECT " + ", ".join(f"f({c}, ({c}))" for c in names) + " FROM " + ", ".join(f"(t{k})" for k in range(n))
+    deep = "SELECT " + "(" * n + "a" + ")" * n + " FROM " + "(" * n + "t" + ")" * n + " JOIN u"
+    df = spark.createDataFrame([(0, wide), (1, deep)], "i int, sql string")
+    one, two = scoring.add_refs(scoring.add_format(df)).orderBy("i").collect()
+    assert one.ref_columns == names and one.ref_tables == [f"t{k}" for k in range(n)]
+    assert (two.ref_columns, two.ref_tables) == (["a"], ["t", "u"])
+
+
 def test_fence_and_format(spark):
     df = answers(spark, "```sql\nSELECT depth FROM lake;\n```", "No table fits this question.", "SELECT 7 * 6;")
     scored = scoring.add_format(scoring.add_fence(scoring.add_sql(df)))
