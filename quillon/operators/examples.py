@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.fixed_values import EXCLUDED_DATABASES, NOISE_COLUMNS_A, NOISE_COLUMNS_B
 from quillon.functions.text import ensure_question
 from quillon.operators.joins import lookup_join
+from quillon.operators.prefilter import with_membership
+from quillon.session import stored
 
 
 def normalise_examples(raw: DataFrame, source: str | None, noise: Iterable[str]) -> DataFrame:
@@ -45,16 +47,45 @@ def normalise_examples_b(raw: DataFrame, source: str = "bird") -> DataFrame:
 
 
 def dedupe_examples(examples: DataFrame) -> DataFrame:
-    """One of each set of equal rows, nulls equal; copies meet their first before the shuffle."""
-    return examples.dropDuplicates()
+    """One of each set of equal rows, nulls equal.
+
+    Only two hashes of a row are shuffled to find what repeats. Rows whose hashes are all their own are passed through
+    where they are; those that share them meet, copies first within their task, and are compared in full. So a
+    text crosses the network only if it (or, rarely, another with its bit) is there twice. The frame is read three times and has to give the same rows each time, as a scan does.
+    """
+    repeated = _repeated_digests(examples)
+    if repeated is None:
+        return examples
+    marked = with_membership(examples.withColumns(_digests(examples)), repeated, list(_DIGESTS))
+    alone = marked.where(~F.col("_maybe")).select(*examples.columns)
+    return alone.unionByName(marked.where(F.col("_maybe")).select(*examples.columns).dropDuplicates())
 
 
 def duplicate_count(examples: DataFrame) -> DataFrame:
-    """How many rows a dedupe drops."""
-    groups = examples.groupBy(*examples.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """How many rows a dedupe drops, with the same economy as :func:`dedupe_examples`."""
+    repeated = _repeated_digests(examples)
+    if repeated is None:
+        return examples.limit(0).agg(F.count(F.lit(1)).alias("duplicates"))
+    marked = with_membership(examples.withColumns(_digests(examples)), repeated, list(_DIGESTS)).where("_maybe")
+    groups = marked.groupBy(*examples.columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
+_DIGESTS = ("_digest_a", "_digest_b")
+
+
+def _digests(df: DataFrame) -> dict[str, Column]:
+    """Two hashes of a whole row. They skip nulls, which costs nothing but a comparison."""
+    return {name: F.xxhash64(F.lit(k), *df.columns) for k, name in enumerate(_DIGESTS)}
+
+
+def _repeated_digests(df: DataFrame) -> DataFrame | None:
+    """The digests that several rows share, stored; nothing if there are none."""
+    counts = df.select(*[column.alias(name) for name, column in _digests(df).items()]).groupBy(*_DIGESTS).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = stored(counts.where("_n > 1").select(*_DIGESTS), "repeated")
+    return None if repeated.isEmpty() else repeated
+
+
 def column_counts(df: DataFrame) -> DataFrame:
     """Non-null values per column, one wide row."""
     return df.agg(*[F.count(c).alias(c) for c in df.columns])
@@ -79,18 +110,52 @@ def exclude_groups(
     if not isinstance(values, DataFrame):
         chosen = list(values)
         return df.where(F.coalesce(~F.col(column).isin(*chosen), F.lit(True))) if chosen else df
-    return lookup_join(df, values.select(column).distinct(), column, "left_anti")
+    return lookup_join(df, stored(values.select(column).distinct(), "excluded"), column, "left_anti")
 
 
-def merge_examples_with_schemas(catalog: DataFrame, examples: DataFrame, guard: bool = True) -> DataFrame:
+def exclude_groups_counted(
+    df: DataFrame, values: Iterable[str] | DataFrame = EXCLUDED_DATABASES, column: str = "db_id"
+) -> tuple[DataFrame, Observation]:
+    """As :func:`exclude_groups`, and an observation of how many rows came in (``rows``) and were dropped (``dropped``).
+
+    Both are counted by the pass that filters: the observation is filled by the first action on the frame, and waits for it. That should be
+    one that reads the frame to its end, such as a write; where tasks below a later shuffle are run again, their rows may count again.
+    """
+    if isinstance(values, DataFrame):
+        unwanted = stored(values.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_dropped", F.lit(True)), "excluded")
+        marked = lookup_join(df, unwanted, column, "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
+        marked = marked.select(*df.columns, "_dropped")
+    else:
+        chosen = list(values)
+        listed = F.coalesce(F.col(column).isin(*chosen), F.lit(False)) if chosen else F.lit(False)
+        marked = df.withColumn("_dropped", listed)
+    seen = Observation()
+    counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_dropped")).alias("dropped"))
+    return counted.where(~F.col("_dropped")).drop("_dropped"), seen
+
+
+def exclusion_report(df: DataFrame, seen: Observation, path: str) -> DataFrame:
+    """Writes the kept rows to ``path`` and returns one row: ``rows, dropped, kept``. The counts come out of that write."""
+    df.write.parquet(path)
+    found = seen.get
+    counts = (found["rows"], found["dropped"], found["rows"] - found["dropped"])
+    return df.sparkSession.createDataFrame([counts], "rows long, dropped long, kept long")
+
+
+def merge_examples_with_schemas(
+    catalog: DataFrame, examples: DataFrame, guard: bool = True, weights: DataFrame | None = None, selective: bool = False,
+) -> DataFrame:
     """Inner join on ``db_id``: examples of unknown databases are dropped.
 
     ``guard`` makes the job fail on a row with a null in any column. The check is a filter, which stays
-    whatever columns are read, and needs no second pass.
+    whatever columns are read, and needs no second pass. ``weights`` and ``selective`` as in ``lookup_join``.
     """
-    merged = lookup_join(examples, catalog, "db_id")
-    if not guard:
-        return merged
+    merged = lookup_join(examples, catalog, "db_id", weights=weights, selective=selective)
+    return without_nulls(merged) if guard else merged
+
+
+def without_nulls(merged: DataFrame) -> DataFrame:
+    """The frame, whose job fails if a row has a null in any column."""
     missing = F.lit(False)
     for name in merged.columns:
         missing = missing | F.col(name).isNull()

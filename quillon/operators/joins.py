@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.prefilter import with_membership
+from quillon.session import stored
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 1 / 256
-SALTS = 64
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -20,17 +21,20 @@ def measured_bytes(df: DataFrame) -> int:
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner",
-    limit: int = BROADCAST_BYTES, weights: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES, weights: DataFrame | None = None, selective: bool = False,
 ) -> DataFrame:
     """Join rows to a lookup table that is expected, but not trusted, to be small.
 
     The lookup is measured. Within ``limit`` it is broadcast, so the rows are not shuffled;
-    beyond it the join is shuffled with hot keys spread, by ``weights`` as in :func:`spread_join`.
+    beyond it the join is shuffled with hot keys spread, by ``weights`` as in :func:`spread_join`. A ``selective`` inner or
+    semi join, which few of the rows come through, then first leaves out at the scan what has no partner, so it is not shuffled to be dropped.
     """
     if measured_bytes(lookup) <= limit:
         return rows.join(F.broadcast(lookup), on, how)
     if rows.isStreaming:
         return rows.join(lookup, on, how)
+    if selective and how in ("inner", "left_semi"):
+        rows = with_membership(rows, lookup, [on] if isinstance(on, str) else list(on)).where("_maybe").drop("_maybe")
     return spread_join(rows, lookup, on, how, weights=weights)
 
 
@@ -45,39 +49,44 @@ def settled(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name)).drop(column)
 
 
+def split_plan(weights: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """``keys, _parts``: the keys with more rows than a task should have, and in how many parts to take them.
+
+    ``weights`` has the rows of each key as ``rows_of_key``. A task should have the ``tasks``-th part of all
+    rows, so there are fewer than ``tasks`` keys with more than that, and all their parts together are fewer than twice as many,
+    whatever the data.
+    """
+    total = weights.agg(F.sum("rows_of_key").alias("total"))
+    parts = F.ceil(F.col("rows_of_key") * F.lit(float(tasks)) / total.scalar()).cast("int")
+    return weights.select(*keys, parts.alias("_parts")).where("_parts > 1")
+
+
 def spread_join(
     rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner",
-    weights: DataFrame | None = None, share: float = HOT_SHARE, salts: int = SALTS,
+    weights: DataFrame | None = None, salts: int | None = None,
 ) -> DataFrame:
-    """Shuffled equi join in which hot keys are spread over ``salts`` partitions.
+    """Shuffled equi join in which a key with many rows is taken in parts, as many as its size asks for.
 
-    A key is hot if it holds more than ``share`` of all rows, so there are fewer than
-    ``1 / share`` hot keys whatever the data, which is what makes broadcasting them safe.
-    Rows of a hot key get the number of their input partition as salt (the same on a rerun
-    of the task, whatever the order of rows, and different for exact copies), and the lookup
-    rows of hot keys are repeated once per salt. Rows with a null key match nothing and are
-    spread as well; everything else keeps salt 0.
+    ``salts`` (by default the session's shuffle partitions) is how many parts a key of all rows would have; see :func:`split_plan`, whose
+    bounded outcome is broadcast. A row of such a key is put into a part by a hash of its columns and of its input partition: the same on a rerun of
+    the task, whatever the order of rows. The lookup rows of such a key are repeated once per part. Rows with
+    a null key match nothing and are spread over all parts; everything else keeps part 0.
 
     ``weights`` may give the rows per key (columns of ``on`` and ``rows_of_key``) if they are
     known already; otherwise they are counted, which reads the key columns only.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if weights is None:
         weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    total = weights.agg(F.sum("rows_of_key").alias("total"))
-    hot = weights.where(F.col("rows_of_key") > total.scalar() * F.lit(share)).select(
-        *keys, F.lit(True).alias("_hot")
-    )
-    spread = F.coalesce(F.col("_hot"), F.lit(False))
+    plan = stored(split_plan(weights, keys, salts), "split-plan")
+    unmatched = F.lit(False)
     for key in keys:
-        spread = spread | F.col(key).isNull()
-    salted = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(spread, F.spark_partition_id() % salts).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = (
-        lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
+        unmatched = unmatched | F.col(key).isNull()
+    hashed = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    place = F.xxhash64(F.spark_partition_id(), *hashed)
+    parts = F.when(unmatched, F.lit(salts)).otherwise(F.coalesce("_parts", F.lit(1)))
+    salted = rows.join(F.broadcast(plan), keys, "left").withColumn("_salt", F.pmod(place, parts).cast("int")).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    repeated = lookup.join(F.broadcast(plan), keys, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

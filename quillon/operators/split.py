@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import lookup_join
+from quillon.operators.joins import BROADCAST_BYTES, lookup_join
 from quillon.session import stored
 
 RANK_DIGITS = 3
@@ -121,16 +121,16 @@ def stratified_split(
 
 
 def attach_split(
-    rows: DataFrame, chosen: DataFrame, group: str = "db_id", weights: DataFrame | None = None
+    rows: DataFrame, chosen: DataFrame, group: str = "db_id", weights: DataFrame | None = None, limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows joined to their group's split, without a whole hot group in one task.
 
-    Labels of measured, bounded size are broadcast and the rows stay where they are. Beyond
-    that, ``weights`` (``group, rows_of_key`` of all groups, so that hot ones that were not
+    Labels of measured size up to ``limit`` are broadcast and the rows stay where they are. Beyond
+    that, rows of groups that were not taken are left out where they are read, by a bitmap of those that were, and ``weights`` (``group, rows_of_key`` of all groups, so that hot ones that were not
     taken are spread too) say which groups to spread; without it the rows are counted.
     """
     weights = weights.select(group, "rows_of_key") if weights is not None else None
-    return lookup_join(rows, chosen.select(group, "split"), group, weights=weights)
+    return lookup_join(rows, chosen.select(group, "split"), group, limit=limit, weights=weights, selective=True)
 
 
 def split_profile(split_rows: DataFrame, group: str = "db_id", source: str = "source") -> DataFrame:

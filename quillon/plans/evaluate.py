@@ -11,6 +11,7 @@ from quillon.operators.catalog import with_schema_names
 from quillon.operators.joins import lookup_join
 from quillon.operators.reports import compare_runs, metric_rows, reward_report
 from quillon.operators.scoring import score_completions
+from quillon.session import stored
 from quillon.sources.splits import write_results, write_run_metrics
 
 
@@ -35,11 +36,12 @@ def evaluate(
     Reports are made from the written results, so nothing is scored twice, and only from the runs
     that ``completions`` has. Metrics are kept by run: a run evaluated again replaces its own.
     """
+    runs = stored(completions.select("run").distinct(), "runs")
     scored = score_completions(completions, weights, **options).withColumnRenamed("combined", "reward")
     kept = [c for c in completions.columns if c not in ("schema_tables", "schema_columns", "schema_ddl")]
     write_results(scored.select(*kept, "reward"), results_path)
     results = completions.sparkSession.read.parquet(results_path)
-    results = lookup_join(results, completions.select("run").distinct(), "run", "left_semi")
+    results = lookup_join(results, runs, "run", "left_semi")
     write_run_metrics(metric_rows(reward_report(results)), metrics_path)
     return compare_runs(results.select("run", "source", "reward"), base, other)
 

@@ -12,8 +12,10 @@ from quillon.fixed_values import (
 )
 from quillon.functions.schema_text import schema_literal
 from quillon.functions.text import prompt_record
-from quillon.operators.examples import exclude_groups, merge_examples_with_schemas, union_examples
-from quillon.operators.split import stratified_split
+from quillon.operators.examples import exclude_groups, merge_examples_with_schemas, union_examples, without_nulls
+from quillon.operators.joins import lookup_join
+from quillon.operators.split import group_frame, split_map
+from quillon.session import stored
 from quillon.sources.catalog import build_catalog, load_catalog, write_catalog
 from quillon.sources.examples import load_examples_a, load_examples_b
 from quillon.sources.splits import write_splits, write_splits_csv
@@ -38,15 +40,20 @@ def prompt_datasets(
     A database with examples of several sources counts for the first of them in
     ``source_order``.
 
-    Exclusion comes before the merge, and the split is taken from the merged rows, since a
-    database without a schema must not use up a place in a split.
+    Exclusion comes before the merge, and only databases with a schema are split, since one without must not
+    use up a place. Which databases those are, and their labels, is settled on ids and sources alone (this pass also
+    fails on a null in any column of an example that has a schema). The labels join the catalog, one row per database, and
+    the examples are merged with that, once: rows of databases that were not sampled meet no schema and are not shuffled.
     """
-    merged = merge_examples_with_schemas(catalog, exclude_groups(examples, excluded))
+    kept = exclude_groups(examples, excluded)
+    known = stored(catalog.select("db_id", F.col("schema").isNull().alias("_no_schema")), "known")
+    usable = without_nulls(lookup_join(kept, known.withColumn("_no_schema", F.nullif("_no_schema", F.lit(True))), "db_id"))
     order = F.array_position(F.array(*[F.lit(x) for x in source_order]), F.col("source"))
-    split = stratified_split(
-        merged, sample_size, train_ratio, val_ratio, seed, order=order, allocate=allocate
-    )
-    return prompt_records(split, system_prompt, keep=("split",))
+    groups = stored(group_frame(usable, order=order), "groups")
+    labels = stored(split_map(groups, sample_size, train_ratio, val_ratio, seed, allocate=allocate), "labels")
+    labelled = stored(lookup_join(catalog, labels.select("db_id", "split"), "db_id", selective=True), "labelled")
+    merged = merge_examples_with_schemas(labelled, kept, weights=groups.select("db_id", "rows_of_key"), selective=True)
+    return prompt_records(merged, system_prompt, keep=("split",))
 
 
 def prepare(

@@ -75,6 +75,18 @@ TABLE_COLUMNS = {
     "labels": "doc_id quality toxic",
 }
 
+# --- fixed values: answers whose quotes need repair, with a place for a word ------------
+
+QUOTED_ANSWERS = (
+    _fenced("SELECT name FROM {w} WHERE owner = 'the boys' {w} house' AND x = 'abc';"),
+    _fenced("SELECT * FROM {w} WHERE a = 'x' AND b = 'y'  or c = 'z'"),
+    "SELECT {w} FROM t WHERE note = 'it\\'s {w}' and done = 'no'; and more",
+    "I think: SELECT a FROM {w} WHERE b = 'don't' LIMIT 5; done",
+    _fenced("SELECT 'p' {w}, 'q' r FROM t WHERE k = 'm''", tag=""),
+    "No query, but {w}' {w} and ``` {w}",
+    _fenced("SELECT a FROM {w} WHERE b = 'girls' toys' {w}' ORDER BY 'c'' ;") + " ; SELECT 1;",
+)
+
 # --- fixed values: statement shapes, and the names each holds --------------------------
 
 # SQL with placeholders for names, then the placeholders that stand for tables and for columns.

@@ -6,7 +6,8 @@ from quillon.fixed_values import (
     BUILT_IN_WEIGHTS, CLAUSE_WORDS, DEFAULT_WEIGHTS, REPAIR_WORDS, SQL_WORDS, SYSTEM_PROMPT, TABLE_WORDS,
     WHITESPACE, WHITESPACE_CLASS,
 )
-from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED, KNOWN_COLUMNS, KNOWN_TABLES, STATEMENTS, TABLE_COLUMNS
+from quillon.operators.conversations import TURN_BYTES
+from quillon.suite.golden import ANSWERS, DATABASES, EXPECTED, KNOWN_COLUMNS, KNOWN_TABLES, QUOTED_ANSWERS, STATEMENTS, TABLE_COLUMNS
 
 def lit(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
@@ -17,6 +18,8 @@ def words(values) -> str:
 
 
 WS = lit(WHITESPACE)
+SPLIT_SIZE = 40
+CONVERSATION_BYTES = 2000
 _S = f"[{WHITESPACE_CLASS}]"
 _REPAIR = "|".join(REPAIR_WORDS)
 
@@ -343,6 +346,7 @@ _RECORDS = (
   FROM labelled JOIN literals ON labelled.db_id = literals.db_id
 )""",
 )
+_SAMPLED_RECORDS = (*_split(SPLIT_SIZE), *_RECORDS[-4:])
 _RECORD_DIGEST = "SELECT split, db_id, source, solution, user_text, tables FROM records"
 
 _EXAMPLES = f"""SELECT DISTINCT db_id, {CLEAN_QUESTION} AS question, "SQL", {{source}} AS source FROM raw_examples"""
@@ -412,6 +416,35 @@ FROM stems JOIN shapes ON k = doc_id % {len(STATEMENTS)}""",
     )
 
 
+def _quoted_extracts() -> str:
+    """Both repairing extractions; a quote before a keyword is set aside while spaced ones are doubled."""
+    texts = "[" + ", ".join(lit(a) for a in QUOTED_ANSWERS) + "]"
+    inner = lambda x: f"regexp_replace({x}, {lit("([A-Za-z])'([A-Za-z])")}, {lit(r"\1''\2")}, 'g')"
+    spaced = lambda x: f"regexp_replace({x}, {lit(rf"([A-Za-z])'{_S}+([A-Za-z])")}, {lit(r"\1'' \2")}, 'g')"
+    unescaped = f"replace(sql, {lit(chr(92) + chr(39))}, {lit(chr(39) * 2)})"
+    before_keyword = lit(rf"(?i)([A-Za-z])'({_S}+(?:{_REPAIR})\b)")
+    closing = lit(rf"(?i)'([^'\n\r]*)''({_S}*(?:{_REPAIR}|\z|;|,|\)))")
+    return with_(
+        f"""quoted AS (
+  SELECT doc_id, replace(({texts})[CAST(doc_id % {len(QUOTED_ANSWERS)} AS INTEGER) + 1], '{{w}}',
+    lower(coalesce(regexp_extract(text, '[A-Za-z]+', 0), ''))) AS answer
+  FROM documents
+)""",
+        _extracted("quoted"),
+        f"""simple AS (
+  SELECT doc_id, CASE WHEN regexp_matches(answer, {lit(_FENCE)}) THEN trim(regexp_extract(answer, {lit(_FENCE)}, 1), {WS})
+    WHEN regexp_matches(answer, {lit(_CLOSED)}) THEN trim(regexp_extract(answer, {lit(_CLOSED)}, 1), {WS}) END AS sql
+  FROM quoted
+)""",
+        f"""aside AS (
+  SELECT doc_id, regexp_replace({inner(inner(unescaped))}, {before_keyword}, '\\1' || chr(1) || '\\2', 'g') AS sql FROM simple
+)""",
+        f"doubled AS (SELECT doc_id, replace({spaced(spaced('sql'))}, chr(1), '''') AS sql FROM aside)",
+        f"closed AS (SELECT doc_id, regexp_replace(sql, {closing}, {lit(chr(39) + chr(92) + '1' + chr(39) + chr(92) + '2')}, 'g') AS spaced FROM doubled)",
+        select="SELECT doc_id, p.sql, spaced FROM parsed_quoted p JOIN closed USING (doc_id)",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -432,6 +465,7 @@ def oracle_sql() -> dict[str, str]:
     sql["load_examples_a"] = with_(RAW_EXAMPLES, select=_EXAMPLES.format(source="source") + " WHERE source = 'a'")
     sql["load_examples_b"] = with_(RAW_EXAMPLES, select=_EXAMPLES.format(source="'b'"))
     sql["read_splits"] = sql["prompt_records"] = with_(*_RECORDS, select=_RECORD_DIGEST)
+    sql["prompt_datasets"] = with_(*_SAMPLED_RECORDS, select=_RECORD_DIGEST)
     sql["write_splits"] = with_(
         *_RECORDS, select="SELECT split, source, count(*) AS rows FROM records GROUP BY split, source"
     )
@@ -440,11 +474,14 @@ def oracle_sql() -> dict[str, str]:
         *_REPORT,
         select="SELECT run, source, run || '_reward_' || source AS metric, mean_reward AS value FROM report",
     )
-    sql["write_metrics"] = sql["metric_rows"] = metrics
+    sql["write_metrics"] = sql["metric_rows"] = sql["write_metrics_merged"] = metrics
 
     sql["exclude_groups"] = with_(
         RAW_EXAMPLES, select="SELECT o_orderkey, db_id FROM raw_examples WHERE db_id NOT IN ('web')"
     )
+    counts = "SELECT count(*) AS rows, count(*) FILTER (WHERE {0}) AS dropped, count(*) FILTER (WHERE NOT {0}) AS kept FROM {1}"
+    sql["exclude_report"] = with_(RAW_EXAMPLES, select=counts.format("db_id = 'web'", "raw_examples"))
+    sql["exclude_listed_report"] = with_(SEGMENTED, GROUPS, select=counts.format("source = 'BUILDING'", "groups"))
     sql["exclude_listed_groups"] = with_(
         SEGMENTED, GROUPS,
         select="""SELECT db_id, source, o_orderkey FROM groups g WHERE NOT EXISTS
@@ -519,6 +556,7 @@ FROM records""",
     )
 
     sql["extract_sql"] = with_(*_PARSED, select="SELECT row_id, sql FROM parsed_completions")
+    sql["extract_sql_quotes"] = _quoted_extracts()
     sql["extract_sql_simple"] = with_(*_BASE, _SPACED, select="SELECT row_id, sql FROM spaced")
     spaced = (
         *_BASE, _SPACED,
@@ -567,6 +605,13 @@ FROM raw_examples""",
     sql["chat_messages"] = (
         "SELECT conv_id, turn, 1::BIGINT AS n, role, text AS content FROM conversations"
     )
+    sql["chat_conversations"] = f"""WITH turns AS (
+  SELECT *, CAST(coalesce(sum(strlen(coalesce(text, '')) + {TURN_BYTES}) OVER (
+      PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM conversations)
+SELECT conv_id, ahead // {CONVERSATION_BYTES} AS chunk, count(*) AS n, string_agg(role, ',' ORDER BY turn, role, text) AS roles,
+  md5(string_agg(text, chr(31) ORDER BY turn, role, text)) AS content_md5
+FROM turns GROUP BY conv_id, ahead // {CONVERSATION_BYTES}"""
     sql["canonical_sql"] = with_(*_PARSED, _CANONICAL, select="SELECT row_id, canonical FROM canonical")
     sql["distinct_completions"] = with_(
         *_PARSED, _CANONICAL,
@@ -659,7 +704,16 @@ FROM raw_examples""",
   floor(micro / 1e6::DOUBLE / rows * 3e5::DOUBLE * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE AS cost_per_month
 FROM priced""",
     )
-    sql["flatten_metrics"] = sql["flatten_metrics_stream"] = with_(
+    scale = "CASE event_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1e6::DOUBLE WHEN 2 THEN -1e3::DOUBLE ELSE 1e-3::DOUBLE END"
+    sql["metric_summary"] = with_(
+        FLAT_METRICS,
+        f"every AS (SELECT metric, value FROM flat_metrics UNION ALL SELECT 'raw_' || event_type, value * {scale} FROM events)",
+        select=f"""SELECT metric, count(*) AS count, {_round4("avg(value)")} AS mean, {_round4("stddev_samp(value)")} AS std,
+  {_round4("min(value)")} AS min, {_round4("quantile_cont(value, 0.25)")} AS p25, {_round4("quantile_cont(value, 0.5)")} AS p50,
+  {_round4("quantile_cont(value, 0.75)")} AS p75, {_round4("max(value)")} AS max
+FROM every GROUP BY metric""",
+    )
+    sql["flatten_metrics"] = sql["flatten_metrics_stream"] = sql["flatten_metrics_merged_stream"] = with_(
         FLAT_METRICS, select="SELECT step, metric, value FROM flat_metrics"
     )
     sql["reward_crossings"] = with_(

@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 from quillon.fixed_values import BUILT_IN_WEIGHTS, DEFAULT_WEIGHTS
 from quillon.functions import schema_text, sql_text, text
 from quillon.functions.numbers import round4
-from quillon.operators import checks, examples, groups, reports, scoring, split
+from quillon.operators import checks, examples, groups, quantiles, reports, scoring, split
 from quillon.operators import exec_check as exec_ops
 from quillon.operators.catalog import merge_catalogs as merge_by_rank
 from quillon.operators.catalog import schema_columns, with_schema_names
+from quillon.operators.conversations import conversation_lists
 from quillon.operators.joins import lookup_join
 from quillon.plans.evaluate import score_with_catalog
-from quillon.plans.prepare import prompt_records
+from quillon.plans.prepare import prompt_datasets, prompt_records
 from quillon.session import scratch_path, stored
 from quillon.sources import catalog as catalog_io
 from quillon.sources import examples as example_io
+from quillon.sources import metrics_table
 from quillon.sources import splits as split_io
-from quillon.streaming import append_metrics, append_to, metrics_stream, score_stream
+from quillon.streaming import append_metrics, append_metrics_merged, append_to, metrics_stream, score_stream
 from quillon.suite import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SPLIT_SIZE = 40
+CONVERSATION_BYTES = 2000  # shorter than most conversations of the tables, so that they are cut
 SOURCES = ("a", "b")
 
 
@@ -161,6 +164,15 @@ def write_metrics(spark, sf_dir):
     return spark.read.parquet(path).drop("batch")
 
 
+@query
+def write_metrics_merged(spark, sf_dir):
+    path = scratch_path(spark, "metrics-table")
+    rows = stored(reports.metric_rows(reports.reward_report(_run_scores(spark, sf_dir))), "metric-rows")
+    for name in ("baseline", "tuned", "baseline", "tuned", "baseline"):
+        metrics_table.append_batch(rows.where(F.col("run") == name), path, name)
+    return metrics_table.read_metrics(spark, path).drop("batch")
+
+
 # --- examples ------------------------------------------------------------------------
 
 
@@ -175,6 +187,19 @@ def exclude_listed_groups(spark, sf_dir):
     return examples.exclude_groups(views.groups(spark, sf_dir), unwanted)
 
 
+@query
+def exclude_report(spark, sf_dir):
+    kept, seen = examples.exclude_groups_counted(views.raw_examples(spark, sf_dir), ["web"])
+    return examples.exclusion_report(kept, seen, scratch_path(spark, "kept"))
+
+
+@query
+def exclude_listed_report(spark, sf_dir):
+    unwanted = views.groups(spark, sf_dir).where(F.col("source") == "BUILDING")
+    kept, seen = examples.exclude_groups_counted(views.groups(spark, sf_dir), unwanted)
+    return examples.exclusion_report(kept, seen, scratch_path(spark, "kept"))
+
+
 @query
 def merge_examples_with_schemas(spark, sf_dir):
     merged = _merged(spark, sf_dir)
@@ -290,6 +315,15 @@ def validate_split(spark, sf_dir):
     return checks.validate_split(_records(spark, sf_dir), "all", ("BUILDING", "AUTOMOBILE", "MACHINERY"))
 
 
+@query
+def prompt_datasets_query(spark, sf_dir):
+    rows = views.groups(spark, sf_dir)
+    sql = F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), F.col("o_orderkey").cast("string"))
+    question = text.ensure_question(F.concat(F.lit("Which order is "), F.col("o_orderkey").cast("string")))
+    asked = rows.select("db_id", question.alias("question"), sql.alias("SQL"), "source")
+    return _record_digest(prompt_datasets(views.databases(spark, sf_dir), asked, SPLIT_SIZE, excluded=()))
+
+
 # --- text ----------------------------------------------------------------------------
 
 
@@ -312,6 +346,14 @@ def extract_sql_spaced(spark, sf_dir):
     return _answers(spark, sf_dir).select("row_id", sql_text.extract_sql_spaced(F.col("answer")).alias("sql"))
 
 
+@query
+def extract_sql_quotes(spark, sf_dir):
+    answer = F.col("answer")
+    return views.quoted_answers(spark, sf_dir).select(
+        "doc_id", sql_text.extract_sql(answer).alias("sql"), sql_text.extract_sql_spaced(answer).alias("spaced")
+    )
+
+
 @query
 def ensure_question(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
@@ -381,6 +423,17 @@ def chat_messages(spark, sf_dir):
     )
 
 
+@query
+def chat_conversations(spark, sf_dir):
+    lists = conversation_lists(views.table(spark, sf_dir, "conversations"), CONVERSATION_BYTES)
+    messages = F.col("messages")
+    return lists.select(
+        "conv_id", "chunk", F.size(messages).cast("long").alias("n"),
+        F.array_join(F.transform(messages, lambda m: m["role"]), ",").alias("roles"),
+        F.md5(F.array_join(F.transform(messages, lambda m: m["content"]), "\x1f").cast("binary")).alias("content_md5"),
+    )
+
+
 @query
 def canonical_sql(spark, sf_dir):
     rows = scoring.add_sql(_answers(spark, sf_dir)).where(F.col("sql").isNotNull())
@@ -544,6 +597,11 @@ def reward_summary(spark, sf_dir):
     return reports.reward_summary(scored)
 
 
+@query
+def metric_summary(spark, sf_dir):
+    return quantiles.metric_summary(views.metric_values(spark, sf_dir))
+
+
 @query
 def rollout_summary(spark, sf_dir):
     scored = views.rollouts(spark, sf_dir).select((F.col("reward_units") / F.lit(1e4)).alias("reward"))
@@ -606,6 +664,14 @@ def flatten_metrics_stream(spark, sf_dir):
     return spark.read.parquet(path).drop("batch")
 
 
+@query
+def flatten_metrics_merged_stream(spark, sf_dir):
+    log = views.metric_log_of(_stream(spark, sf_dir, "events"))
+    path = scratch_path(spark, "metric-stream")
+    append_metrics_merged(metrics_stream(log), path, scratch_path(spark, "metric-progress")).awaitTermination()
+    return metrics_table.read_metrics(spark, path).drop("batch")
+
+
 @query
 def score_stream_query(spark, sf_dir):
     answers = views.completions_of(_stream(spark, sf_dir, "orders"), views.table(spark, sf_dir, "customer"))

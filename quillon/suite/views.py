@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.schema_text import SCHEMA_TYPE, empty_tables_ddl
 from quillon.operators.catalog import nested_catalog
+from quillon.operators.reports import flatten_metrics
 from quillon.session import spread_input
-from quillon.suite.golden import ANSWERS, DATABASES, KNOWN_COLUMNS, KNOWN_TABLES, STATEMENTS, TABLE_COLUMNS
+from quillon.suite.golden import ANSWERS, DATABASES, KNOWN_COLUMNS, KNOWN_TABLES, QUOTED_ANSWERS, STATEMENTS, TABLE_COLUMNS
 
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
 
@@ -79,6 +80,21 @@ def varied_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quoted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per document with quotes to repair around a word of the text: ``doc_id, answer``."""
+    stem = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    shape = F.get(F.array(*[F.lit(a) for a in QUOTED_ANSWERS]), (F.col("doc_id") % len(QUOTED_ANSWERS)).cast("int"))
+    docs = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.replace(shape, F.lit("{w}"), stem).alias("answer"))
+
+
+def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log values, and the events' own numbers scaled to many orders of magnitude: ``metric, value``."""
+    scale = F.element_at(F.array(*[F.lit(x) for x in (1.0, 1e6, -1e3, 1e-3)]), (F.col("event_id") % 4).cast("int") + 1)
+    raw = table(spark, sf_dir, "events").select(F.concat(F.lit("raw_"), "event_type").alias("metric"), (F.col("value") * scale).alias("value"))
+    return flatten_metrics(metric_log(spark, sf_dir)).select("metric", "value").unionByName(raw)
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement per document, its names made of a word of the text: ``doc_id, sql, schema``."""
     stem = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
