@@ -28,7 +28,7 @@ def _labelled(name: str) -> Column:
 
 
 def reward_report(scored: DataFrame, reward: str = "reward") -> DataFrame:
-    """Mean reward per run and source, and per run over all sources (``source`` = 'avg').
+    """Mean reward per run and source, and per run over all sources (``source`` = 'avg'; ``level`` = 'overall', for others 'source').
 
     Rows are summed per run and source once; the row-weighted overall mean is formed from
     those few sums and not from a second expansion of the rows. Rows without a source are a
@@ -41,6 +41,7 @@ def reward_report(scored: DataFrame, reward: str = "reward") -> DataFrame:
         .agg(F.sum("_n").alias("rows"), F.sum("_units").alias("_units"))
         .select(
             "run",
+            F.when(F.col("overall"), "overall").otherwise("source").alias("level"),
             _labelled("avg"),
             "rows",
             round4(mean_units(F.col("_units"), F.col("rows"))).alias("mean_reward"),
@@ -49,9 +50,12 @@ def reward_report(scored: DataFrame, reward: str = "reward") -> DataFrame:
 
 
 def metric_rows(report: DataFrame) -> DataFrame:
-    """Report rows as ``metric, value``: ``{run}_reward_{source}`` and ``{run}_reward_avg``."""
+    """Report rows as ``metric, value``: ``{run}_reward_{source}`` and ``{run}_reward_avg``.
+
+    ``level`` tells the mean over all sources from that of a source called ``avg``, and a null ``source`` from one called ``null``.
+    """
     name = F.concat(F.col("run"), F.lit("_reward_"), F.coalesce("source", F.lit("null")))
-    return report.select("run", "source", name.alias("metric"), F.col("mean_reward").alias("value"))
+    return report.select("run", "level", "source", name.alias("metric"), F.col("mean_reward").alias("value"))
 
 
 def compare_runs(

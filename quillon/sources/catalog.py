@@ -29,7 +29,10 @@ def read_tables_json(spark: SparkSession, path: str | list[str], lines: bool = F
 
 
 def read_listed_catalogs(spark: SparkSession, root: str, name: str = TABLES_JSON_NAME) -> DataFrame:
-    """Every table-list file under a folder; ``ordinal`` is the path, so later paths win."""
+    """Every table-list file under a folder; ``ordinal`` is the path and the place in the file, so later paths and later records win.
+
+    A file is one JSON text, so one task reads it and its rows are numbered in order.
+    """
     records = (
         spark.read.schema(RECORD_TYPE)
         .option("multiLine", True)
@@ -37,7 +40,7 @@ def read_listed_catalogs(spark: SparkSession, root: str, name: str = TABLES_JSON
         .option("pathGlobFilter", name)
         .json(root)
     )
-    return catalog_from_records(records.withColumn("ordinal", F.col("_metadata.file_path")), keep=["ordinal"])
+    return catalog_from_records(records.withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"))), keep=["ordinal"])
 
 
 # --- SQLite files --------------------------------------------------------------------

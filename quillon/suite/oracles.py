@@ -286,7 +286,8 @@ _RUN_SCORES = (
 _REPORT = (
     *_RUN_SCORES,
     f"""report AS (
-  SELECT run, CASE WHEN grouping(source) = 1 THEN 'avg' ELSE source END AS source, count(reward) AS rows,
+  SELECT run, CASE WHEN grouping(source) = 1 THEN 'overall' ELSE 'source' END AS level,
+         CASE WHEN grouping(source) = 1 THEN 'avg' ELSE source END AS source, count(reward) AS rows,
          {_round4(_mean(f"sum({_units('reward')})", "count(reward)"))} AS mean_reward
   FROM run_scores GROUP BY GROUPING SETS ((run, source), (run))
 )""",
@@ -472,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
     sql["write_results"] = with_(*_RUN_SCORES, select="SELECT run, row_id, source, reward FROM run_scores")
     metrics = with_(
         *_REPORT,
-        select="SELECT run, source, run || '_reward_' || source AS metric, mean_reward AS value FROM report",
+        select="SELECT run, level, source, run || '_reward_' || source AS metric, mean_reward AS value FROM report",
     )
     sql["write_metrics"] = sql["metric_rows"] = sql["write_metrics_merged"] = metrics
 
@@ -668,7 +669,7 @@ FROM turns GROUP BY conv_id, ahead // {CONVERSATION_BYTES}"""
         + " AS combined FROM named",
     )
 
-    sql["reward_report"] = with_(*_REPORT, select="SELECT run, source, rows, mean_reward FROM report")
+    sql["reward_report"] = with_(*_REPORT, select="SELECT run, level, source, rows, mean_reward FROM report")
     sql["reward_summary"] = with_(
         *_SCORED, select=_summary("scored", _units("combined"))
     )

@@ -140,3 +140,9 @@ def test_rows_without_a_source_count_once(spark):
     usage = spark.createDataFrame([("a", 60, 40), (None, 5, 5)], "source string, prompt_tokens long, completion_tokens long")
     totals = {r["source"]: r["total_tokens"] for r in reports.token_usage(usage).collect()}
     assert totals == {"a": 100, None: 10, "total": 110}
+
+
+def test_levels_tell_names_apart(spark):
+    rows = spark.createDataFrame([("r", "avg", 1.0), ("r", None, 0.0), ("r", "null", 0.5)], "run string, source string, reward double")
+    got = {(r["level"], r["source"]): r["value"] for r in reports.metric_rows(reports.reward_report(rows)).collect()}
+    assert got == {("overall", "avg"): 0.5, ("source", "avg"): 1.0, ("source", None): 0.0, ("source", "null"): 0.5}

@@ -256,3 +256,12 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
         split_io.write_results(spark.range(n).withColumn("run", F.lit(run)), str(tmp_path / "r"))
     counts = spark.read.parquet(str(tmp_path / "r")).groupBy("run").count().collect()
     assert {r["run"]: r["count"] for r in counts} == {"baseline": 2, "tuned": 1}
+
+
+def test_a_later_record_of_a_file_wins(spark, tmp_path):
+    record = lambda table: {"db_id": "d", "table_names_original": [table], "column_names_original": [[-1, "*"], [0, "c"]]}
+    names = [f"t{k}" for k in range(40)]
+    (tmp_path / "dev_tables.json").write_text(json.dumps([record(n) for n in names]))
+    listed = catalog_io.read_listed_catalogs(spark, str(tmp_path))
+    none = listed.limit(0).withColumn("ordinal", F.lit("x"))
+    assert [t["name"] for t in merge_catalogs(listed, none).first()["schema"]] == ["t39"]
