@@ -12,7 +12,8 @@ from quillon.functions import schema_text, sql_text
 from quillon.functions.numbers import round4
 from quillon.functions.text import last_message_text
 from quillon.operators import exec_check
-from quillon.operators.joins import settled
+from quillon.operators.joins import lookup_join, settled
+from quillon.session import stored
 
 Scorer = Callable[[DataFrame], Column]
 
@@ -163,18 +164,38 @@ def combined(weights: Mapping[str, float]) -> Column:
     return weighted_sum({n: F.col(n) for n in names}, weights)
 
 
+def add_recorded_exec(scored: DataFrame, outcomes: DataFrame, no_sql_penalty: float = -1.0) -> DataFrame:
+    """Adds ``exec_status`` and ``exec`` from a table of outcomes: ``db_id, sql, exec_status`` (the largest of several counts).
+
+    Statements were run elsewhere, by whatever engine they are for. One the table does not have is ``not_run`` and scores
+    as one that failed. Only a hash of the statement is matched first, so that long texts are no join keys; equal hashes are told apart by the
+    text itself. A statement that a third of the answers hold is joined in parts.
+    """
+    known = outcomes.groupBy("db_id", "sql").agg(F.max("exec_status").alias("exec_status"))
+    by_hash = known.groupBy("db_id", F.xxhash64("sql").alias("_sql")).agg(F.collect_list(F.struct("sql", "exec_status")).alias("_known"))
+    rows = lookup_join(scored.withColumn("_sql", F.xxhash64("sql")), stored(by_hash, "outcomes"), ["db_id", "_sql"], "left")
+    same = F.filter("_known", lambda o: o["sql"] == F.col("sql"))
+    status = F.when(F.col("sql").isNull(), "no_sql").otherwise(F.coalesce(F.get(same, F.lit(0))["exec_status"], F.lit("not_run")))
+    rows = rows.withColumn("exec_status", status).drop("_sql", "_known")
+    return rows.withColumn("exec", exec_check.exec_score(F.col("sql"), F.col("exec_status"), no_sql_penalty))
+
+
 def score_answers(
     df: DataFrame, weights: Mapping[str, float] | None = None, exec_outcome: Column | None = None,
-    strict_fence: bool = False, extract: Callable[[Column], Column] | None = None,
+    strict_fence: bool = False, extract: Callable[[Column], Column] | None = None, outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """All scores of a frame with an ``answer`` column, in one pass without a shuffle.
 
+    With ``outcomes``, see :func:`add_recorded_exec`, nothing is run.
+
     ``exec_outcome`` is one of the outcome columns of ``exec_check``, written over ``sql``;
     without it, SQL is not run and counts as not runnable.
     """
     w = resolve_weights(weights)
     scored = add_format(add_fence(add_sql(df, extract=extract), strict_fence))
-    if exec_outcome is None:
+    if outcomes is not None:
+        scored = add_recorded_exec(scored, outcomes, w["no_sql_penalty"])
+    elif exec_outcome is None:
         scored = scored.withColumn(
             "exec", exec_check.exec_score(F.col("sql"), F.lit("not_run"), w["no_sql_penalty"])
         )
@@ -188,10 +209,12 @@ def score_completions(
     df: DataFrame, weights: Mapping[str, float] | None = None, backend: str = "catalog",
     database_root: str | None = None, messages: str = "messages", completion: str | None = None,
     strict_fence: bool = False, dialect: str = "sqlite",
-    extract: Callable[[Column], Column] | None = None,
+    extract: Callable[[Column], Column] | None = None, outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of a table of completions.
 
+    With a table of ``outcomes`` (``db_id, sql, exec_status``) the scores of execution are taken from there, and ``backend`` is not used.
+
     The answer is the last of ``messages``, or the text column ``completion``. ``backend``:
     ``catalog`` runs SQL on empty copies made from the row's schema, ``files`` on database
     files under ``database_root``, ``none`` not at all. SQL is never translated, so the only
@@ -203,6 +226,8 @@ def score_completions(
         answered = df.withColumn("answer", F.coalesce(F.col(completion), F.lit("")))
     else:
         answered = add_answer(df, messages)
+    if outcomes is not None:
+        return score_answers(answered, weights, None, strict_fence, extract, outcomes)
     if backend == "catalog":
         if "schema_ddl" not in answered.columns:
             answered = answered.withColumn("schema_ddl", schema_text.empty_tables_ddl(F.col("schema")))

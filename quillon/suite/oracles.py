@@ -398,8 +398,29 @@ FROM (
 )"""
 
 
-def _stated_references() -> str:
+def _stated_scores() -> str:
+    """Scores of the answers that hold generated statements, from how each answer was made."""
+    w = {k: f"CAST({v!r} AS DOUBLE)" for k, v in DEFAULT_WEIGHTS.items()}
+    return f"""WITH stated AS ({_stated_references(rounded=False)}),
+made AS (
+  SELECT doc_id, doc_id % 5 > 0 AS has_sql, CASE WHEN doc_id % 5 = 0 THEN 'no_sql' WHEN doc_id % 6 < 4 THEN 'ok' WHEN doc_id % 6 < 5 THEN 'error'
+    ELSE 'not_run' END AS exec_status, schema_fidelity AS f
+  FROM stated
+),
+parts AS (
+  SELECT doc_id, exec_status, CASE WHEN has_sql THEN 1.0::DOUBLE ELSE 0.0 END AS form,
+    CASE exec_status WHEN 'no_sql' THEN {w["no_sql_penalty"]} WHEN 'ok' THEN 1.0::DOUBLE ELSE 0.0 END AS exec,
+    CASE WHEN has_sql THEN f ELSE 0.0::DOUBLE END AS f
+  FROM made
+)
+SELECT doc_id, exec_status, form AS sql_fence, form AS format, exec, {_round4("f")} AS schema_fidelity,
+  {_round4(f"{w['format']} * form + {w['exec']} * exec + {w['schema_fidelity']} * f + {w['sql_fence']} * form")} AS combined
+FROM parts"""
+
+
+def _stated_references(rounded: bool = True) -> str:
     """The names that each generated statement was written with; no statement is read."""
+    finish = _round4 if rounded else str
     listed = lambda names: "[" + words(names) + "]"
     shapes = ", ".join(
         f"({k}, {listed(t.split())}, {listed(c.split())}, {listed([n for n in t.split() if n in KNOWN_TABLES] + [n for n in c.split() if n in KNOWN_COLUMNS])})"
@@ -412,7 +433,7 @@ def _stated_references() -> str:
         f"shapes(k, t, c, known) AS (VALUES {shapes})",
         "stems AS (SELECT doc_id, lower(coalesce(regexp_extract(text, '[A-Za-z]+', 0), '')) AS stem FROM documents)",
         select=f"""SELECT doc_id, {named.format('t')} AS ref_tables, {named.format('c')} AS ref_columns,
-  {_round4(f"{share} + {penalty} * (1.0::DOUBLE - {share})")} AS schema_fidelity
+  {finish(f"{share} + {penalty} * (1.0::DOUBLE - {share})")} AS schema_fidelity
 FROM stems JOIN shapes ON k = doc_id % {len(STATEMENTS)}""",
     )
 
@@ -642,6 +663,7 @@ FROM turns GROUP BY conv_id, ahead // {CONVERSATION_BYTES}"""
         "array_to_string(list_sort(rc), ',') AS ref_columns FROM scored",
     )
     sql["schema_refs_by_scope"] = _stated_references()
+    sql["score_statements"] = _stated_scores()
     sql["score_fidelity"] = with_(*_SCORED, select="SELECT row_id, schema_fidelity FROM scored")
     sql["score_combined"] = with_(*_SCORED, select="SELECT row_id, combined FROM scored")
     sql["score_combined_built_in_weights"] = with_(

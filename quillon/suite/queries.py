@@ -549,6 +549,13 @@ def score_completions(spark, sf_dir):
     return _scores(spark, sf_dir, None).select(*SCORE_COLUMNS)
 
 
+@query
+def score_statements(spark, sf_dir):
+    answers, outcomes = views.statement_answers(spark, sf_dir), views.statement_outcomes(spark, sf_dir)
+    scored = scoring.score_completions(answers, completion="answer", outcomes=outcomes)
+    return scored.select("doc_id", "exec_status", "sql_fence", "format", "exec", round4(F.col("schema_fidelity")).alias("schema_fidelity"), "combined")
+
+
 @query
 def score_completions_static(spark, sf_dir):
     scored = score_with_catalog(

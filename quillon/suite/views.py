@@ -106,6 +106,25 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", named.alias("sql"), columns.alias("schema"))
 
 
+def statement_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that hold the statements: fenced, fenced without a tag, or a refusal: ``doc_id, db_id, schema, answer``."""
+    way = F.col("doc_id") % 5
+    answer = F.when(way == 0, "I cannot tell").when(way < 3, F.concat(F.lit("Like so:\n```\n"), "sql", F.lit("\n```"))).otherwise(
+        F.concat(F.lit("```sql\n"), "sql", F.lit("\n```\nDone."))
+    )
+    return statements(spark, sf_dir).select("doc_id", _database(), "schema", answer.alias("answer"))
+
+
+def statement_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the statements fared: two thirds ran, a sixth failed, the others were not run: ``db_id, sql, exec_status``."""
+    status = F.when(F.col("doc_id") % 6 < 4, "ok").otherwise("error")
+    return statements(spark, sf_dir).where("doc_id % 6 < 5").select(_database(), "sql", status.alias("exec_status"))
+
+
+def _database() -> Column:
+    return F.concat(F.lit("db_"), (F.col("doc_id") % 1000).cast("string"), F.lit("_"), F.col("doc_id").cast("string")).alias("db_id")
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The completions of two runs; the tuned one differs on every fifth row."""
     base = completions(spark, sf_dir)

@@ -246,3 +246,18 @@ def test_weights_from_config():
         "unknown_schema_item_penalty": 0.0,
     }
     assert scoring.weights_from_config({}) == BUILT_IN_WEIGHTS
+
+
+def test_recorded_outcomes(spark):
+    df = answers(spark, "```sql\nSELECT 1\n```", "```sql\nSELECT 2\n```", "none", "```sql\nSELECT 1\n```", "```sql\nSELECT 1\n```").withColumn(
+        "db_id", F.when(F.col("i") == 3, "other").when(F.col("i") < 4, "d")
+    )
+    outcomes = spark.createDataFrame(
+        [("d", "SELECT 1", "ok"), ("d", "SELECT 1", "error"), ("other", "SELECT 1", "error"), (None, "SELECT 1", "ok"), ("d", None, "ok")],
+        "db_id string, sql string, exec_status string",
+    )
+    scored = scoring.score_completions(df, completion="answer", outcomes=outcomes)
+    assert scores(scored, "exec_status") == ["ok", "not_run", "no_sql", "error", "not_run"]
+    assert scores(scored, "exec") == [1.0, 0.0, -1.0, 0.0, 0.0]
+    none = scoring.score_completions(df, completion="answer", outcomes=outcomes.limit(0))
+    assert scores(none, "exec_status") == ["not_run", "not_run", "no_sql", "not_run", "not_run"]
