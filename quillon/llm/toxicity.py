@@ -3,10 +3,10 @@
 The features of a text are the distinct n-grams of its characters (lower case, all but letters as
 blanks), hashed into ``2 ** BITS`` bins. From labelled texts each bin gets its log-count ratio, the
 logarithm of how much more often toxic texts have it than others. Logistic regression is
-then fitted on features of that size instead of one, so an n-gram that says nothing has no say. Only
-bins that stand for toxicity beyond chance are used: the rest of a long text has many n-grams that a few toxic
-texts happen to share, and they would speak louder than one telling word. All toxic texts of the sample together have a
-fixed weight against all others, so the score does not shift with their share.
+then fitted on features of that size instead of one, so an n-gram that says nothing has no say. Bins that speak for toxicity
+and bins that speak against it are used alike, if they do so beyond chance: the rest of a long text has many n-grams that a few toxic
+texts happen to share, and they would speak louder than one telling word. Toxic texts of the sample together weigh as much
+as all others, so the score does not shift with their share.
 
 The fit reads a bounded sample: ``ROWS_PER_CLASS`` labelled texts of each class, those with
 the smallest hashes of their ids, however many there are. Spark counts their n-grams and picks the telling bins; only
@@ -30,12 +30,12 @@ ROWS_PER_CLASS = 2000
 SIZES = (4, 5, 6, 7, 8)
 BITS = 20
 REJECT_AT = 0.7
-_LEAST_TEXTS = 3  # of the sample that have an n-gram
-_LEAST_RATIO = 1.0
-_LEAST_G2 = 20.0  # log-likelihood ratio statistic of an n-gram and the label
-_TOXIC_WEIGHT = 0.4  # of all toxic texts together, to that of all others
+_LEAST_TEXTS = 2  # of the sample that have an n-gram
+_LEAST_RATIO = 0.5  # of either sign
+_LEAST_G2 = 8.0  # log-likelihood ratio statistic of an n-gram and the label
 _DECAY = 1e-3
-_STEPS = 200
+_STEPS = 300
+_RATE = 0.05
 
 _PLAIN = np.arange(128, dtype=np.uint32)
 _PLAIN[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -74,8 +74,8 @@ def training_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """A model from the rows of ``labels`` (``doc_id, toxic``) in the training fold.
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, every_label: bool = False) -> Model:
+    """A model from the rows of ``labels`` (``doc_id, toxic``) in the training fold, or from every one.
 
     Null labels and ids are passed over; of several labels of a document the largest counts. Documents without
     text are learned from as empty ones. If one class has no rows, the score is the smoothed share
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("toxic IS NOT NULL").where(training_fold(F.col("doc_id")))
+        .where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.lit(every_label) | training_fold(F.col("doc_id")))
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -150,14 +150,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _telling(n_toxic: int, n_other: int):
-    """Of counted bins (``bin, toxic, texts``), those that stand for toxicity beyond chance, with their log-count ratios."""
+    """Of counted bins (``bin, toxic, texts``), those that go with either label beyond chance, with their log-count ratios."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             toxic = batch["toxic"].to_numpy(np.float64)
             other = batch["texts"].to_numpy(np.float64) - toxic
             ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((other + 1) / (n_other + 2))
-            used = (ratio >= _LEAST_RATIO) & (_g2(toxic, other, n_toxic, n_other) >= _LEAST_G2)
+            used = (np.abs(ratio) >= _LEAST_RATIO) & (_g2(toxic, other, n_toxic, n_other) >= _LEAST_G2)
             yield pd.DataFrame({"bin": batch["bin"][used], "ratio": ratio[used]})
 
     return run
@@ -181,16 +181,16 @@ def _fit(y: np.ndarray, features: list[np.ndarray], at: np.ndarray, ratio: np.nd
     row = np.repeat(np.arange(len(y)), [len(f) for f in features])
     column = np.concatenate(features).astype(np.int64)
     value = ratio[column]
-    weight = np.where(y == 1, _TOXIC_WEIGHT * (len(y) - positive) / positive, 1.0)
+    weight = np.where(y == 1, 0.5 / positive, 0.5 / (len(y) - positive))
     w, bias = np.zeros(len(at)), 0.0
     slope, size = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, _STEPS + 1):
         odds = np.bincount(row, value * w[column], len(y)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(odds, -60, 60))) - y)
-        gradient = np.append(np.bincount(column, value * error[row], len(at)) / len(y) + _DECAY * w, error.mean())
+        gradient = np.append(np.bincount(column, value * error[row], len(at)) + _DECAY * w, error.sum())
         slope = 0.9 * slope + 0.1 * gradient
         size = 0.99 * size + 0.01 * gradient * gradient
-        move = 0.02 * (slope / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
+        move = _RATE * (slope / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     weights = (w * ratio).astype(np.float32)
     told = np.abs(weights) > 1e-4
@@ -216,11 +216,11 @@ def score(model: Model):
     return scored
 
 
-def with_score(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """``docs`` with ``score``: how likely each whole text is toxic, learned from ``labels``.
+def with_score(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, every_label: bool = False) -> DataFrame:
+    """``docs`` with ``score``: how likely each whole text is toxic, learned from ``labels`` of the training fold, or from every one.
 
     Null and empty texts get the score of no n-grams; repeated rows get equal scores; columns other than ``doc_id`` and ``text``
     are passed through unread, and a column ``score`` is replaced. An empty table gives an empty result.
     """
-    model = fit(docs, labels, rows_per_class)
+    model = fit(docs, labels, rows_per_class, every_label)
     return docs.withColumn("score", score(model)(F.col("text").cast("string")))
