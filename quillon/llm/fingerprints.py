@@ -5,7 +5,8 @@ too few (as slips are) are left out: what remains, the lexicon, is a band of inv
 frequency. A text's terms in the lexicon, distinct and sorted, are hashed; so are those in each of several
 random parts of the lexicon, from half-size parts that react to any change to small ones that most changes
 miss. Two texts are as alike as the share of parts, among those where either has a term, in which both have
-the same ones.
+the same ones. A text without a term in the lexicon, as short ones of rare words are, or copies that make up a large
+share of the corpus, is told apart by all its terms instead (by the text itself if it has none): each of its parts has the digest of those.
 
 The lower bound of the band is a share of the documents, so the lexicon is bounded whatever their number: documents have
 ``d`` distinct terms on average, so at most ``d / LEAST_SHARE`` terms are in that share of them. That
@@ -71,17 +72,26 @@ def fingerprints(texts: DataFrame, words: DataFrame, *ids: str, extra: tuple[str
     """``ids, fingerprint`` per distinct ``ids`` of ``texts``, a row of binary digests of four bytes.
 
     ``words`` is a :func:`lexicon`; ``extra`` columns, which ``ids`` settle, are passed through. A part in which a text has no
-    term has the digest ``00000000``.
+    term has the digest ``00000000``, but where no part has any, all have that of all terms.
     """
     spark = texts.sparkSession
     always = spark.range(1).select(F.lit(_ALWAYS).alias("term"), F.lit(0).cast("long").alias("key"))
     words = stored(words.unionByName(always).coalesce(8), "lexicon")
-    rows = texts.select(*ids, *extra, F.explode(F.concat(terms(F.col("text")), F.array(F.lit(_ALWAYS)))).alias("term"))
+    rows = texts.select(*ids, *extra, "text", terms(F.col("text")).alias("terms"))
+    rows = rows.select(*ids, *extra, "terms", _plain(F.col("terms"), F.col("text")).alias("plain"))  # before unfolding: no text in a row per term
+    rows = rows.select(*ids, *extra, "plain", F.explode(F.concat("terms", F.array(F.lit(_ALWAYS)))).alias("term"))
     found = lookup_join(rows, words, "term").groupBy(*ids).agg(
-        F.sort_array(F.collect_list("key")).alias("keys"), *[F.first(c).alias(c) for c in extra]
+        F.sort_array(F.collect_list("key")).alias("keys"), F.first("plain").alias("plain"), *[F.first(c).alias(c) for c in extra]
     )
     digests = F.concat(*[_digest(F.expr(f"filter(keys, k -> k & {1 << part}L != 0)")) for part in range(N_PARTS)])
-    return found.select(*ids, *extra, F.unhex(digests).alias("fingerprint"))
+    bare = F.size("keys") == 1  # only the one that stands in every text
+    return found.select(*ids, *extra, F.unhex(F.when(bare, F.repeat("plain", F.lit(N_PARTS))).otherwise(digests)).alias("fingerprint"))
+
+
+def _plain(found: Column, text: Column) -> Column:
+    """Eight hexadecimal digits of the digest of all terms, or of a text without any."""
+    whole = F.when(F.size(found) > 0, F.array_join(F.array_sort(found), " ")).otherwise(text)
+    return F.substring(F.md5(whole.cast("binary")), 1, 8)
 
 
 def _digest(keys: Column) -> Column:
@@ -90,7 +100,7 @@ def _digest(keys: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal parts, of those where either text has a term; 1 if there are none."""
+    """Share of equal parts, of those where either text has a term; no fingerprint of a text is without any."""
     digests = lambda x: F.regexp_extract_all(F.lower(F.hex(x)), F.lit("[0-9a-f]{8}"), F.lit(0))
     nothing = F.lit("00000000")
     equal = F.zip_with(digests(a), digests(b), lambda x, y: F.when((x != nothing) | (y != nothing), x == y))
@@ -124,7 +134,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` (long) and ``text``; other columns are ignored. The edited text has the first half of the text, middle character
     included, then as many characters of the next document's text as are missing, or all it has. The next document is that with the next
     smaller id; after the smallest comes the largest; a null id counts as the smallest. Of several texts of one id the one with the
-    smallest hash is the next document. A null text counts as empty; texts without lexicon terms have likeness 1 to each other. Rows that repeat both id and text
+    smallest hash is the next document. A null text counts as empty; texts without lexicon terms are alike if they have the same terms, or are equal and have none. Rows that repeat both id and text
     come out once. An empty table gives an empty result.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.

@@ -126,7 +126,10 @@ following AS (
     FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
 edited AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS changed FROM following),
 texts AS (SELECT doc_id, 'own' AS kind, text FROM edited UNION ALL SELECT doc_id, 'edited', changed FROM edited),
-terms AS (SELECT doc_id, kind, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM texts),
+found AS (SELECT doc_id, kind, text, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS l FROM texts),
+plain AS (
+    SELECT doc_id, kind, substr(md5(CASE WHEN len(l) > 0 THEN array_to_string(list_sort(l), ' ') ELSE text END), 1, 8) AS whole FROM found),
+terms AS (SELECT doc_id, kind, unnest(l) AS term FROM found),
 total AS (SELECT count(*) AS t FROM docs),
 band AS (
     SELECT term FROM terms, total WHERE kind = 'own' GROUP BY term, t
@@ -141,8 +144,9 @@ digests AS (
     SELECT doc_id, kind, part, substr(md5(CAST(list_sort(list(key)) AS VARCHAR)), 1, 8) AS digest
     FROM keyed, parts WHERE key & (CAST(1 AS BIGINT) << part) <> 0 GROUP BY ALL),
 every AS (
-    SELECT t.doc_id, t.kind, part, coalesce(digest, '00000000') AS digest
-    FROM texts t CROSS JOIN parts p LEFT JOIN digests d USING (doc_id, kind, part)),
+    SELECT t.doc_id, t.kind, part, coalesce(digest, CASE WHEN k.doc_id IS NULL THEN whole ELSE '00000000' END) AS digest
+    FROM plain t CROSS JOIN parts p LEFT JOIN digests d USING (doc_id, kind, part)
+    LEFT JOIN (SELECT DISTINCT doc_id, kind FROM keyed) k USING (doc_id, kind)),
 prints AS (SELECT doc_id, kind, string_agg(digest, '' ORDER BY part) AS print, list(digest ORDER BY part) AS l FROM every GROUP BY ALL),
 three AS (
     SELECT e.doc_id, e.n, e.changed, o.print AS own, c.print AS edited, o.l AS a, c.l AS b, x.l AS c

@@ -47,3 +47,18 @@ def test_equal_texts_have_equal_fingerprints_and_edits_are_nearer_than_others(sp
         assert by.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
     mean = lambda name: sum(r[name] for r in rows) / len(rows)
     assert mean("near_edited") > 2 * mean("near_next")
+
+
+def test_texts_without_common_terms_are_told_apart(make_docs):
+    """Words that no other text has, no words at all, and near copies that make up most of the table: no unlike texts are alike."""
+    from conftest import words
+
+    rows = [(i, words(1000 * i, 20), "s") for i in range(50)] + [(100 + i, "!" * (i + 1), "s") for i in range(3)]
+    rows += [(200 + i, words(90_000, 30) + f" own{i}", "s") for i in range(60)] + [(300, words(90_000, 30), "s"), (301, words(90_000, 30), "s")]
+    texts = {i: t for i, t, _ in rows}
+    found = {r.doc_id: r for r in with_edits(make_docs(rows)).collect()}
+    ids = sorted(texts, reverse=True)
+    for here, after in zip(ids, ids[1:] + ids[:1]):
+        assert (found[here].near_next == 1) == (texts[here] == texts[after])
+    assert not any(set(r.fingerprint) == {"0"} for r in found.values())
+    assert len({r.fingerprint for r in found.values()}) == len(set(texts.values()))
