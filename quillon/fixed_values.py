@@ -22,6 +22,19 @@ WHITESPACE_CLASS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# Patterns of a fenced block, of a bare SELECT, and of quotes to repair, as Java regular expressions.
+_BLANK = f"[{WHITESPACE_CLASS}]"
+_REPAIR = "|".join(REPAIR_WORDS)
+FENCE = rf"(?isu)```(?:sql)?{_BLANK}*.*?```"
+FENCE_TAGGED = r"(?isu)```sql(?![\p{L}\p{N}_]).*?```"
+FENCE_HEAD = rf"(?iu)\A```(?:sql)?{_BLANK}*"
+BARE_SELECT = r"(?isu)(SELECT\b.+?)(?:;|\n\n|\z)"
+BARE_SELECT_CLOSED = rf"(?isu)(SELECT{_BLANK}+.+?;)"
+IN_WORD_QUOTE = "(?<=[A-Za-z])'(?=[A-Za-z])"
+CLOSING_QUOTE = rf"(?iu)'([^'\n\r]*)''(?={_BLANK}*(?:{_REPAIR}|;|,|\)))"
+SPACED_QUOTE = rf"(?iu)(?<=[A-Za-z])'{_BLANK}+(?!(?:{_REPAIR})\b)(?=[A-Za-z])"
+CLOSING_QUOTE_OR_END = rf"(?iu)'([^'\n\r]*)''(?={_BLANK}*(?:{_REPAIR}|\n?\z|;|,|\)))"
+
 PREVIEW_LIMIT = 240
 
 # --- fixed values: chat prompts ------------------------------------------------------

@@ -10,25 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.fixed_values import (
-    CLAUSE_WORDS, REPAIR_WORDS, SQL_WORDS, TRIM_WORDS, TYPED_LITERAL_WORDS, WHITESPACE_CLASS,
+    BARE_SELECT, BARE_SELECT_CLOSED, CLAUSE_WORDS, CLOSING_QUOTE, CLOSING_QUOTE_OR_END, FENCE, FENCE_HEAD, FENCE_TAGGED, IN_WORD_QUOTE,
+    SPACED_QUOTE, SQL_WORDS, TRIM_WORDS, TYPED_LITERAL_WORDS,
 )
 from quillon.functions.text import strip
 
-_S = f"[{WHITESPACE_CLASS}]"
-_WORDS = "|".join(REPAIR_WORDS)
-
-FENCE = rf"(?isu)```(?:sql)?{_S}*.*?```"
-FENCE_TAGGED = rf"(?isu)```sql(?![\p{{L}}\p{{N}}_]).*?```"
-_FENCE_HEAD = rf"(?iu)\A```(?:sql)?{_S}*"
-
-BARE_SELECT = r"(?isu)(SELECT\b.+?)(?:;|\n\n|\z)"
-BARE_SELECT_CLOSED = rf"(?isu)(SELECT{_S}+.+?;)"
-
-_IN_WORD_QUOTE = "(?<=[A-Za-z])'(?=[A-Za-z])"
-_CLOSING_QUOTE = rf"(?iu)'([^'\n\r]*)''(?={_S}*(?:{_WORDS}|;|,|\)))"
-_SPACED_QUOTE = rf"(?iu)(?<=[A-Za-z])'{_S}+(?!(?:{_WORDS})\b)(?=[A-Za-z])"
-_CLOSING_QUOTE_OR_END = rf"(?iu)'([^'\n\r]*)''(?={_S}*(?:{_WORDS}|\n?\z|;|,|\)))"
-
 
 def fence_block(text: Column) -> Column:
     """The first fenced block with its fences, or ''. One scan serves all that follows."""
@@ -42,12 +28,12 @@ def has_fence(text: Column, strict: bool = False) -> Column:
 
 def _fence_body(block: Column) -> Column:
     inner = F.substring(block, F.lit(1), F.char_length(block) - 3)
-    return F.regexp_replace(inner, _FENCE_HEAD, "")
+    return F.regexp_replace(inner, FENCE_HEAD, "")
 
 
 def _repair_quotes(sql: Column) -> Column:
     sql = F.replace(sql, F.lit("\\'"), F.lit("''"))
-    return F.regexp_replace(sql, _IN_WORD_QUOTE, "''")
+    return F.regexp_replace(sql, IN_WORD_QUOTE, "''")
 
 
 def unrepaired_sql(text: Column, block: Column) -> Column:
@@ -58,7 +44,7 @@ def unrepaired_sql(text: Column, block: Column) -> Column:
 
 def repaired_sql(bare: Column) -> Column:
     """:func:`unrepaired_sql`, held in a column, with its quotes repaired; '' gives null."""
-    repaired = F.regexp_replace(_repair_quotes(bare), _CLOSING_QUOTE, "'$1'")
+    repaired = F.regexp_replace(_repair_quotes(bare), CLOSING_QUOTE, "'$1'")
     return F.when(F.contains(bare, F.lit("'")), repaired).when(bare != "", bare)
 
 
@@ -82,8 +68,8 @@ def extract_sql_spaced(text: Column) -> Column:
     """As :func:`extract_sql_simple`, with repairs that also know spaced apostrophes and
     a doubled quote at the end of the text."""
     sql = _repair_quotes(extract_sql_simple(text))
-    sql = F.regexp_replace(sql, _SPACED_QUOTE, "'' ")
-    return F.regexp_replace(sql, _CLOSING_QUOTE_OR_END, "'$1'")
+    sql = F.regexp_replace(sql, SPACED_QUOTE, "'' ")
+    return F.regexp_replace(sql, CLOSING_QUOTE_OR_END, "'$1'")
 
 
 # --- reading SQL text ----------------------------------------------------------------
