@@ -53,27 +53,34 @@ def dedupe_examples(examples: DataFrame) -> DataFrame:
     where they are; those that share them meet, copies first within their task, and are compared in full. So a
     text crosses the network only if it (or, rarely, another with its bit) is there twice. The frame is read three times and has to give the same rows each time, as a scan does.
     """
-    repeated = _repeated_digests(examples)
+    rows = _by_place(examples)
+    repeated = _repeated_digests(rows)
     if repeated is None:
         return examples
-    marked = with_membership(examples.withColumns(_digests(examples)), repeated, list(_DIGESTS))
-    alone = marked.where(~F.col("_maybe")).select(*examples.columns)
-    return alone.unionByName(marked.where(F.col("_maybe")).select(*examples.columns).dropDuplicates())
+    marked = with_membership(rows.withColumns(_digests(rows)), repeated, list(_DIGESTS))
+    alone = marked.where(~F.col("_maybe")).select(*rows.columns)
+    return alone.union(marked.where(F.col("_maybe")).select(*rows.columns).dropDuplicates()).toDF(*examples.columns)
 
 
 def duplicate_count(examples: DataFrame) -> DataFrame:
     """How many rows a dedupe drops, with the same economy as :func:`dedupe_examples`."""
-    repeated = _repeated_digests(examples)
+    rows = _by_place(examples)
+    repeated = _repeated_digests(rows)
     if repeated is None:
-        return examples.limit(0).agg(F.count(F.lit(1)).alias("duplicates"))
-    marked = with_membership(examples.withColumns(_digests(examples)), repeated, list(_DIGESTS)).where("_maybe")
-    groups = marked.groupBy(*examples.columns).agg(F.count(F.lit(1)).alias("_n"))
+        return rows.limit(0).agg(F.count(F.lit(1)).alias("duplicates"))
+    marked = with_membership(rows.withColumns(_digests(rows)), repeated, list(_DIGESTS)).where("_maybe")
+    groups = marked.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
 _DIGESTS = ("_digest_a", "_digest_b")
 
 
+def _by_place(df: DataFrame) -> DataFrame:
+    """The frame with its columns named by their place, since names may differ in case only or hold dots."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
 def _digests(df: DataFrame) -> dict[str, Column]:
     """Two hashes of a whole row. They skip nulls, which costs nothing but a comparison."""
     return {name: F.xxhash64(F.lit(k), *df.columns) for k, name in enumerate(_DIGESTS)}

@@ -65,6 +65,13 @@ def test_dedupe_keeps_one_of_equal_rows(spark):
     assert examples.dedupe_examples(none).isEmpty() and examples.duplicate_count(none).first()[0] == 0
 
 
+def test_dedupe_of_columns_with_awkward_names(spark):
+    rows = spark.createDataFrame([(1, 2, [3]), (1, 2, [3]), (2, 1, None)], "`a.b` int, A int, a array<int>")
+    got = examples.dedupe_examples(rows)
+    assert got.columns == ["a.b", "A", "a"] and sorted(map(tuple, got.collect())) == [(1, 2, [3]), (2, 1, None)]
+    assert examples.duplicate_count(rows).first()[0] == 1
+
+
 def test_rows_that_do_not_repeat_are_not_shuffled(spark, tmp_path):
     """Of 900 rows with a text of their own, next to none reach the exchange."""
     repeated_rows(spark).write.parquet(str(tmp_path / "rows"))
