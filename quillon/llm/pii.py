@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_OR_AT = re.compile("[0-9@]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_AROUND = 200  # characters looked at for the words beside a value
+_AROUND = 200  # characters looked at first for the words beside a value
 _OPENS, _CLOSES = ':=([{<"', ')]}>"'  # a word ends behind the one and before the other
 _APART = str.maketrans({c: " " * (c in _CLOSES) + c + " " * (c in _OPENS) for c in _OPENS + _CLOSES})
 _BREAK = re.compile(r'(?<=[:=(\[{<"])|(?=[)\]}>"])')
@@ -108,20 +109,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
     Those that overlap have the same end.
     """
-    found, at, nearest = [], 0, 0
+    found, at, meets = [], 0, _meeting(base)
     while (m := _DIGIT_OR_AT.search(text, at)) is not None:
         start = m.start()
         while start > at and not _BLANK.match(text[start - 1]):
             start -= 1
         stop = _BLANK.search(text, m.start())
         end = at = stop.start() if stop else len(text)
-        while nearest < len(base) and base[nearest][2] <= start:
-            nearest += 1
-        for s, e, kinds in _parts(text, start, end):
-            if not any(x < e and y > s for x, _, y in base[nearest : nearest + 8]):
-                found.append((s, e, kinds))
+        found += [(s, e, kinds) for s, e, kinds in _parts(text, start, end) if not meets(s, e)]
     alone = {e for _, e, kinds in found if kinds & 12}
-    groups = _digit_groups(text, base, alone)
+    groups = _digit_groups(text, meets, alone)
     starts = [s for s, _, _ in groups]
     for s, e, kinds in found:
         k = bisect_left(starts, e) - 1
@@ -130,6 +127,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(set(groups))
 
 
+def _meeting(base: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch meets any of the sorted spans: whether the furthest end of those that start before its end is beyond its start."""
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def meets(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k > 0 and furthest[k - 1] > start
+
+    return meets
+
+
 def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
     token = text[start:end]
     start += len(token) - len(token.lstrip(_STRIP_LEFT))
@@ -151,24 +159,19 @@ def _parts(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
     return parts or ([(s, e, whole)] if whole else [])
 
 
-def _digit_groups(text: str, base: list[tuple[int, int, int]], alone: set[int]) -> list[tuple[int, int, int]]:
+def _digit_groups(text: str, meets: Callable[[int, int], bool], alone: set[int]) -> list[tuple[int, int, int]]:
     """``start, end, kinds`` of runs of groups of digits with single blanks between: the longest that look like one number.
 
     A group at the end of which (``alone``) a candidate ends is the last of its run.
     """
-    found, nearest = [], 0
+    found = []
     for m in _GROUPS.finditer(text):
-        while nearest < len(base) and base[nearest][2] <= m.start():
-            nearest += 1
-        met = nearest
         groups: list[tuple[int, int] | None] = []  # None where a run cannot go on
         for g in re.finditer(r"[^\x20]+", m[0]):
             start, end = m.start() + g.start(), m.start() + g.end()
             close = start + len(text[start:end].rstrip(_STRIP_RIGHT.replace(")", "")))
-            while met < len(base) and base[met][2] <= start:
-                met += 1
             whole = _starts(text, start) and (end == len(text) or _BLANK.match(text[end]) or text[end] in _STRIP_RIGHT)
-            if not whole or any(x < end and y > start for x, _, y in base[met : met + 8]):
+            if not whole or meets(start, end):
                 groups.append(None)
                 continue
             groups.append((start, close))
@@ -238,14 +241,34 @@ def _pattern(side: int, first, second=0):
         return mix(x + mix(np.asarray(second, np.uint64))).astype(np.int64)
 
 
+def _words_before(text: str, start: int) -> list[str]:
+    """The two whole words before a place, however far away."""
+    reach = _AROUND
+    while True:
+        lo = max(0, start - reach)
+        words = _WORD.findall(text[lo:start].translate(_APART))
+        words = words[0 if lo == 0 or _starts(text, lo) else 1 :]
+        if lo == 0 or len(words) >= 2:
+            return words[-2:]
+        reach *= 4
+
+
+def _words_after(text: str, end: int) -> list[str]:
+    """The whole word after a place, however far away."""
+    reach = _AROUND
+    while True:
+        hi = min(len(text), end + reach)
+        words = _WORD.findall(text[end:hi].translate(_APART))
+        words = words[: len(words) if hi == len(text) or _ends(text, hi) else -1]
+        if hi == len(text) or words:
+            return words[:1]
+        reach *= 4
+
+
 def patterns_beside(text: str, start: int, end: int) -> list[int]:
     """Patterns of a value's place: the word before, the two words before, the word after."""
-    lo, hi = max(0, start - _AROUND), min(len(text), end + _AROUND)
-    before = _WORD.findall(text[lo:start].translate(_APART)) if _starts(text, start) else []
-    after = _WORD.findall(text[end:hi].translate(_APART)) if _ends(text, end) else []
-    # Only whole words are counted in all texts.
-    before = before[0 if _starts(text, lo) else 1 :][-2:]
-    after = after[: len(after) if _ends(text, hi) else -1][:1]
+    before = _words_before(text, start) if _starts(text, start) else []
+    after = _words_after(text, end) if _ends(text, end) else []
     numbers = _numbers(before + after)
     out = []
     if before:

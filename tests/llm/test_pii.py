@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillon.llm import pii
 from quillon.llm.pii import KINDS, _all_patterns, _apart, base_spans, candidates, digest_columns, patterns_beside, personal_data
 from quillon.llm.shingles import text_words
 
@@ -104,3 +105,17 @@ def test_contexts_find_groups_of_digits_and_glued_values(make_docs):
     for k, (text, want) in texts.items():
         assert [text[s.start : s.end] for s in found[k]] == [want], text
     assert all(found[k] == [] for k in range(45))
+
+
+def test_a_token_with_many_fixed_forms_has_no_candidate_on_them():
+    text = "k=" + "=".join(["x@y.de"] * 14) + " 1.2.3.4 " + " ".join(["+49 151 1234567"] * 12) + " 4111 1111 1111 1112"
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) > 20 and not any(s < e2 and e > s2 for s, e, _ in found for s2, _, e2 in base)
+
+
+def test_words_beside_a_value_are_found_however_far_away():
+    near, far = "my number: 555 today", "my number:" + " " * 5000 + "555" + "\n" * 3000 + "today"
+    assert pii.patterns_beside(near, 11, 14) == pii.patterns_beside(far, far.index("555"), far.index("555") + 3)
+    long_word = "w" * 3000
+    assert pii.patterns_beside(f"a {long_word} 555", 3003, 3006) == pii.patterns_beside(f"zz a {long_word} 555", 3006, 3009)
