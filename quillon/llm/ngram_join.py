@@ -59,8 +59,8 @@ def _sum(h: np.ndarray) -> int:
     return int(mix(h + np.uint64(0x51ED)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``; with ``by_text`` also ``text_hash, class_id``.
 
     ``docs`` has ``doc_id`` (long) and ``text``; other columns are ignored. Two documents are
     linked if ``100 * shared >= percent * united`` of their sets of ``words``-word shingles
@@ -70,9 +70,12 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Null and wordless texts have an empty set and are linked with nothing, so their component is
     their own id. Rows without an id get their size, a null component, and take no part. Repeated
     rows come out as often as they went in; rows that share an id but not the text are compared
-    as documents of their own. An empty input gives an empty result.
+    as documents of their own: ``class_id``, unlike ``component_id``, tells their components apart, and ``text_hash`` (``xxhash64``) the texts. An empty
+    input gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if by_text:
+        docs = docs.withColumn("text_hash", F.xxhash64("text"))
     sizes = stored(_sizes(docs, words), "sizes")
     classes = stored(
         sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles")
@@ -83,10 +86,11 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linked = classes.join(links.withColumnRenamed("id", "cid"), "cid", "left")
     linked = linked.withColumn("component", F.coalesce("component", "cid"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = stored(linked.join(smallest, "component").select("s1", "s2", "n_shingles", "component_id"), "found")
+    found = stored(linked.join(smallest, "component").select("s1", "s2", "n_shingles", "component_id", "component"), "found")
     named = sizes.join(found, ["s1", "s2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id"))
+    more = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("class_id")] if by_text else []
+    return named.select("doc_id", "n_shingles", own.alias("component_id"), *more)
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
@@ -100,11 +104,12 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                 s1.append(_sum(h))
                 s2.append(int(mix(h ^ np.uint64(0xA3C59AC2B7F4D1E6)).sum(dtype=np.uint64).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())],
-                names=["doc_id", "n_shingles", "s1", "s2"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "s1", "s2", *batch.schema.names[2:]],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    more = "".join(f", {name} long" for name in docs.columns[2:])
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long" + more)
 
 
 def _first_shingles(docs: DataFrame, words: int, percent: int, keyed: bool) -> DataFrame:
