@@ -29,7 +29,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of runs of lines. A document of which no line with words is left goes; ``n_chars`` follows the text."""
+    """Texts without later copies of runs of lines. A document of which no line with words is left goes; ``n_chars`` follows the text.
+
+    A null, empty or wordless text stays as it is."""
     rows = drop_repeated_runs(docs)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,19 +39,32 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
-    classes = jaccard_classes(docs)
-    copies = stored(classes.where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    return lookup_join(docs, copies, "doc_id", "left_anti")
+    """One document of each class of near duplicates: of those with the smallest id, the one whose text has the smallest hash, once.
+
+    Rows are told apart by id and text, so a row that shares only its id with a copy is judged by its own text. Texts without
+    words and rows without an id are in no class and stay, as often as they are there.
+    """
+    rows = stored(jaccard_classes(docs, by_text=True).where("class_id IS NOT NULL").select("doc_id", "text_hash", "class_id"), "rows")
+    each = F.struct("doc_id", "text_hash")
+    firsts = rows.groupBy("class_id").agg(F.min(each).alias("first"))
+    pairs = rows.groupBy("doc_id", "text_hash", "class_id").agg(F.count(F.lit(1)).alias("n")).join(firsts, "class_id")
+    pairs = stored(pairs.select("doc_id", "text_hash", "n", (each == F.col("first")).alias("is_first")), "pairs")
+    hashed = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = lookup_join(hashed, pairs.where("NOT is_first").select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
+    repeated = pairs.where("is_first AND n > 1").select("doc_id", "text_hash")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = lookup_join(kept, repeated, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return lookup_join(kept, repeated, ["doc_id", "text_hash"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. A text without words takes its turn like any other and counts nothing."""
     return mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the best segmentation of each text, its score and those of the next best."""
+    """Ids of the best segmentation of each text, its score and those of the next best. A null text gives nulls, an empty one no ids."""
     rows = with_pieces(docs.select("doc_id", "source", "text"))
     scores = F.transform("n_best", lambda x: x["score"]).alias("n_best_scores")
     return rows.select("doc_id", "source", "ids", "score", scores)
