@@ -44,3 +44,18 @@ def test_awkward_rows_pass_all_stages(spark, make_docs, awkward):
 
 def test_empty_table_passes_all_stages(spark, make_docs):
     assert all(df.count() == 0 for df in states(spark, make_docs([])))
+
+
+def test_one_of_each_class_goes_by_id_and_text(spark, make_docs):
+    from conftest import words
+
+    base, other = words(0, 60), words(5000, 60)
+    rows = [
+        (1, base, "a"), (14, base, "a"), (14, other, "b"), (15, other, "b"), (15, words(9000, 40), "b"), (None, base, "a"), (None, base, "a"),
+        (20, words(7000, 50), "c"), (20, words(7000, 50), "c"), (21, None, "c"), (21, "", "c"), (21, "", "c"), (22, " ", None),
+    ]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.one_of_each_class(spark, make_docs(rows, extra=("text_hash", "n")), SF).collect()), key=repr)
+    want = [
+        (1, base), (14, other), (15, words(9000, 40)), (None, base), (None, base), (20, words(7000, 50)), (21, None), (21, ""), (21, ""), (22, " "),
+    ]
+    assert got == sorted(want, key=repr)
