@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-_REMEMBERED = 400_000  # stretches per worker, of at most _LONGEST_REMEMBERED characters
+_REMEMBERED = 200_000  # stretches, of at most _LONGEST_REMEMBERED characters, before the older half of what a worker knows is forgotten
 _LONGEST_REMEMBERED = 40
+_FACTORS, _WORD64 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (1 << 64) - 1
+_BATCH_TEXTS = 512  # texts whose results are in memory as Python objects
+_BATCH_CHARACTERS = 1_000_000
 
 #: One way to write a text: its score, and where it differs from the best one: from piece ``at`` on, ``n`` pieces are ``ids`` instead.
 N_BEST_TYPE = "array<struct<score:double,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
@@ -44,6 +47,12 @@ class Pieces:
         self.edges = {p: s for p, s in pieces}
         self.ids = {p: np.array([i], np.int32).tobytes() for (p, _), i in zip(pieces, ids)}
         self.longest = max(map(len, self.edges), default=1)
+        ends: dict[str, set[int]] = {}
+        for piece in self.edges:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in ends.items()}  # of pieces that end so
+        self._index()
         self.unknown = min(self.edges.values(), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids, self.unknown_id = byte_ids, unknown_id
         self.spelled = {i: p.encode() for (p, _), i in zip(pieces, ids)}
@@ -54,6 +63,7 @@ class Pieces:
         stretch = "(?s).+" if inner else " +[^ ]*|[^ ]+" if lines else r"\n| +[^ \n]*|[^ \n]+"
         self.stretches = re.compile(stretch).findall
         self.remembered: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -78,30 +88,104 @@ class Pieces:
 
     def forward(self, text: str) -> tuple[list[float], list[int], float]:
         """Best score up to each position, the start of the best last piece, and the second best score at the end."""
-        edges, longest, unknown = self.edges.get, self.longest, self.unknown
+        edges, lengths, unknown = self.edges.get, self.lengths.get, self.unknown
         lowest = float("-inf")
         best, second, start = [0.0], [lowest], [0]
         for j in range(1, len(text) + 1):
             b1 = b2 = lowest
             at = j - 1
-            for i in range(j - longest if j > longest else 0, j):
-                s = edges(text[i:j])
-                if s is None:
-                    if i < j - 1:
-                        continue
-                    s = unknown
-                v = best[i] + s
-                if v > b1:
-                    w = second[i] + s
-                    b2 = b1 if b1 > w else w
-                    b1, at = v, i
-                elif v > b2:
-                    b2 = v
+            if j > 1:
+                for size in lengths(text[j - 2 : j], ()):  # longest first: it wins ties
+                    i = j - size
+                    if i >= 0 and (s := edges(text[i:j])) is not None:
+                        v = best[i] + s
+                        if v > b1:
+                            w = second[i] + s
+                            b2 = b1 if b1 > w else w
+                            b1, at = v, i
+                        elif v > b2:
+                            b2 = v
+            s = edges(text[j - 1])
+            if s is None:
+                s = unknown
+            v = best[j - 1] + s
+            if v > b1:
+                w = second[j - 1] + s
+                b2 = b1 if b1 > w else w
+                b1, at = v, j - 1
+            elif v > b2:
+                b2 = v
             best.append(b1)
             second.append(b2)
             start.append(at)
         return best, start, second[-1]
 
+    def _index(self) -> None:
+        """The pieces by two hashes of their characters, and their scores, for looking up many stretches at once."""
+        hashes = np.zeros((2, len(self.edges)), np.uint64)
+        for k, piece in enumerate(self.edges):
+            for row in range(2):
+                h = 0
+                for c in piece:
+                    h = (h * _FACTORS[row] + ord(c) + 1) & _WORD64
+                hashes[row, k] = h
+        order = np.argsort(hashes[0], kind="stable")
+        self.hashes, self.checks = hashes[0, order], hashes[1, order]
+        self.scores = np.array(list(self.edges.values()), np.float64)[order]
+
+    def _scores_of(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The scores of the pieces with these hashes, minus infinity where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == hashes) & (self.checks[at] == checks), self.scores[at], -np.inf)
+
+    def best_paths(self, texts: list[str]) -> list[tuple[bytes, float, float]]:
+        """:meth:`best_path` of texts of one length: the same forward pass, one position of all texts at a time."""
+        n, m = len(texts[0]), len(texts)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
+        best, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        start, best[0] = np.zeros((n + 1, m), np.int64), 0.0
+        hashes, checks = np.zeros((n, m), np.uint64), np.zeros((n, m), np.uint64)  # of what starts at each position
+        for j in range(1, n + 1):
+            hashes[:j] = hashes[:j] * np.uint64(_FACTORS[0]) + codes[:, j - 1]
+            checks[:j] = checks[:j] * np.uint64(_FACTORS[1]) + codes[:, j - 1]
+            b1, b2, at = np.full(m, -np.inf), np.full(m, -np.inf), np.full(m, j - 1)
+            first = max(0, j - self.longest)
+            scores = self._scores_of(hashes[first:j], checks[first:j]) if len(self.hashes) else np.full((j - first, m), -np.inf)
+            scores[-1] = np.where(np.isinf(scores[-1]), self.unknown, scores[-1])
+            for i, s in enumerate(scores, first):  # longest first: it wins ties
+                v, better = best[i] + s, best[i] + s > b1
+                b2 = np.where(better, np.maximum(b1, second[i] + s), np.maximum(b2, v))
+                b1, at = np.where(better, v, b1), np.where(better, i, at)
+            best[j], second[j], start[j] = b1, b2, at
+        out = []
+        for text, starts, total, loss in zip(texts, start.T.tolist(), best[n].tolist(), (best[n] - second[n]).tolist()):
+            spelled, j = [], n
+            while j:
+                spelled.append(self._spell(text[starts[j] : j]))
+                j = starts[j]
+            out.append((b"".join(reversed(spelled)), total, loss))
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        """Remembers the best paths of stretches, by length."""
+        by_length: dict[int, list[str]] = {}
+        for part in parts:
+            if len(part) <= _LONGEST_REMEMBERED and part not in self.remembered:
+                if part in self.older:
+                    self.remembered[part] = self.older[part]
+                else:
+                    by_length.setdefault(len(part), []).append(part)
+        for group in by_length.values():
+            self.remembered.update(zip(group, self.best_paths(group)))
+        if len(self.remembered) > _REMEMBERED:
+            self.older, self.remembered = self.remembered, {}
+
+    def encode_all(self, texts: list[str], n: int = N_BEST) -> list[tuple[np.ndarray, float, list[tuple[float, list]]]]:
+        """:meth:`encode` of several texts; stretches that are new to the worker are searched together."""
+        parts = [self.stretches(" " + t) if t else [] for t in texts]
+        self._learn(set().union(*parts))
+        return [self._encoded(p, n) for p in parts]
+
     def best_path(self, text: str) -> tuple[bytes, float, float]:
         """Ids of the best path, its score, and what the second best loses; of equal paths, that with longer pieces at the end."""
         best, start, second = self.forward(text)
@@ -138,19 +222,13 @@ class Pieces:
 
         A blank is put before the text. Equal scores: fewer changed stretches first, then earlier ones.
         """
-        if not text:
+        return self.encode_all([text], n)[0]
+
+    def _encoded(self, parts: list[str], n: int) -> tuple[np.ndarray, float, list[tuple[float, list]]]:
+        if not parts:
             return np.zeros(0, np.int32), 0.0, [(0.0, [])]
-        known, parts = self.remembered, self.stretches(" " + text)
-        paths = []
-        for part in parts:
-            path = known.get(part)
-            if path is None:
-                path = self.best_path(part)
-                if len(part) <= _LONGEST_REMEMBERED:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[part] = path
-            paths.append(path)
+        known, older = self.remembered.get, self.older.get
+        paths = [known(part) or older(part) or self.best_path(part) for part in parts]
         ids = np.frombuffer(b"".join([p[0] for p in paths]), np.int32)
         score = float(sum([p[1] for p in paths]))
         if n < 2:
@@ -197,6 +275,19 @@ def loaded(model_file: str) -> Pieces:
     return Pieces.load(model_file)
 
 
+def _parts(texts: pd.Series) -> Iterator[pd.Series]:
+    """A batch in pieces of few texts and characters, or of one long text."""
+    sizes = texts.str.len().fillna(0).to_numpy()
+    start = size = 0
+    for k, length in enumerate(sizes):
+        if k > start and (k - start >= _BATCH_TEXTS or size + length > _BATCH_CHARACTERS):
+            yield texts[start:k]
+            start, size = k, 0
+        size += length
+    if start < len(texts):
+        yield texts[start:]
+
+
 def encode(model_file: str = MODEL_FILE, n: int = N_BEST) -> Callable[[Column], Column]:
     """A column function from a text to :data:`ENCODED_TYPE`: ids and score of the best segmentation, and the n best.
 
@@ -208,13 +299,15 @@ def encode(model_file: str = MODEL_FILE, n: int = N_BEST) -> Callable[[Column],
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = loaded(model_file)
         for texts in batches:
-            rows = [(None, None, None) if t is None else pieces.encode(t, n) for t in texts]
-            best = [
-                None if r[2] is None else [
-                    {"score": s, "changes": [{"at": at, "n": k, "ids": ids} for at, k, ids in changes]} for s, changes in r[2]
-                ] for r in rows
-            ]
-            yield pd.DataFrame({"ids": [r[0] for r in rows], "score": [r[1] for r in rows], "n_best": best})
+            for part in _parts(texts):
+                found = iter(pieces.encode_all([t for t in part if t is not None], n))
+                rows = [(None, None, None) if t is None else next(found) for t in part]
+                best = [
+                    None if r[2] is None else [
+                        {"score": s, "changes": [{"at": at, "n": k, "ids": ids} for at, k, ids in changes]} for s, changes in r[2]
+                    ] for r in rows
+                ]
+                yield pd.DataFrame({"ids": [r[0] for r in rows], "score": [r[1] for r in rows], "n_best": best})
 
     return encoded
 

@@ -94,3 +94,30 @@ def test_awkward_rows(make_docs, awkward):
 
 def test_empty_table(make_docs):
     assert with_pieces(make_docs([])).collect() == []
+
+
+def test_stretches_searched_together_have_the_same_paths():
+    import random
+
+    from quillon.llm.pieces import MODEL_FILE, Pieces, loaded
+
+    rng = random.Random(2)
+    known = loaded(MODEL_FILE)
+    toy = Pieces([("a", -1.0), ("aa", -2.0), ("aab", -3.0), ("b", -1.0), ("ba", -2.0)], None, 9)
+    for pieces, letters in ((known, " theéan日▁x\n😀ing"), (toy, "aabc")):
+        for n in (1, 2, 7, 20):
+            texts = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(60)]
+            for got, want in zip(pieces.best_paths(texts), map(pieces.best_path, texts)):
+                assert got[:2] == want[:2] and repr(got[2]) == repr(want[2])
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    from quillon.llm import pieces as module
+
+    texts = [f"word{k} and other{k % 7} words {'x' * (k % 60)}" for k in range(80)] + [""]
+    plain = module.Pieces.load(module.MODEL_FILE)
+    want = [(ids.tolist(), score, best) for ids, score, best in map(plain.encode, texts)]
+    monkeypatch.setattr(module, "_REMEMBERED", 5)
+    short = module.Pieces.load(module.MODEL_FILE)
+    got = [(ids.tolist(), score, best) for k in range(0, len(texts), 9) for ids, score, best in short.encode_all(texts[k : k + 9])]
+    assert got == want
