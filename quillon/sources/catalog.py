@@ -66,10 +66,26 @@ def _describe(open_database) -> tuple[list[dict] | None, str | None]:
         return None, str(exc)
 
 
-def _open_image(content: bytes) -> sqlite3.Connection:
-    conn = sqlite3.connect(":memory:")
-    conn.deserialize(content)
-    return conn
+class _ImageReader:
+    """Describes images one after the other over one connection, as opening one costs as much as describing a small image.
+
+    No statement is kept from one image to the next, and after an error the connection is a new one.
+    """
+
+    def __init__(self):
+        self.conn = None
+
+    def describe(self, content: bytes) -> tuple[list[dict] | None, str | None]:
+        try:
+            if self.conn is None:
+                self.conn = sqlite3.connect(":memory:", cached_statements=0)
+            self.conn.deserialize(content)
+            return _tables_of(self.conn), None
+        except Exception as exc:  # an unreadable image is a row with an error, not a failed job
+            if self.conn is not None:
+                self.conn.close()
+            self.conn = None
+            return None, str(exc)
 
 
 SCAN_TYPE = f"path string, db_id string, schema {SCHEMA_TYPE}, error string"
@@ -95,24 +111,21 @@ def scan_images(images: DataFrame) -> DataFrame:
     """Catalog rows from database images: ``path`` and ``content``.
 
     Images without the SQLite header are left out; unreadable ones give an ``error``. Each
-    image is described by itself, one at a time, wherever it lies.
+    image is described by itself, one at a time, wherever it lies. A row function without Arrow gets a hundred rows at a time,
+    so a worker never holds thousands of images.
     """
     header = F.substring("content", 1, len(SQLITE_MAGIC))
     wanted = images.where(is_database_path(F.col("path")) & (header == F.lit(SQLITE_MAGIC.encode())))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_describe(lambda c=content: _open_image(bytes(c))) for content in batch["content"]]
-            yield pd.DataFrame(
-                {
-                    "path": batch["path"],
-                    "db_id": [_database_name(p) for p in batch["path"]],
-                    "schema": [tables for tables, _ in found],
-                    "error": [error for _, error in found],
-                }
-            )
-
-    return wanted.select("path", "content").mapInPandas(describe, SCAN_TYPE)
+    reader = _ImageReader()
+
+    @F.udf(f"struct<schema:{SCHEMA_TYPE},error:string>", useArrow=False)
+    def described(content):
+        return reader.describe(bytes(content))
+
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*\z", "")
+    # Unfolding a list of one keeps filters on what was found above the function, which runs once.
+    return wanted.select("path", name.alias("db_id"), F.inline(F.array(described("content"))))
 
 
 def scan_sqlite_folder(spark: SparkSession, root: str, mounted: bool = True) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import sqlite3
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,17 +208,20 @@ def table_list_lines(catalog: DataFrame) -> DataFrame:
 def database_images(catalog: DataFrame) -> DataFrame:
     """SQLite images of the databases; every tenth has a shadow name, every tenth is broken."""
 
-    @F.pandas_udf("binary")
-    def image(ddl: pd.Series, broken: pd.Series) -> pd.Series:
-        def build(text: str, bad: bool) -> bytes:
-            conn = sqlite3.connect(":memory:")
-            conn.execute("PRAGMA page_size = 512")
-            conn.executescript(text)
-            content = conn.serialize()
-            conn.close()
-            return content[:16] + b"\xff" * 200 if bad else content
-
-        return pd.Series([build(t, b) for t, b in zip(ddl, broken)])
+    opened = []
+
+    # A row function without Arrow: a hundred images at a time, and not ten thousand. The connection serves one after the other.
+    @F.udf("binary", useArrow=False)
+    def image(ddl, broken):
+        if not opened:
+            conn = sqlite3.connect(":memory:", isolation_level=None)
+            conn.executescript("PRAGMA page_size = 512; CREATE TABLE t (c); DROP TABLE t;")
+            opened.extend((conn, conn.serialize()))
+        conn, empty = opened
+        conn.deserialize(empty)
+        conn.executescript(f"BEGIN; {ddl} COMMIT;")
+        content = conn.serialize()
+        return content[:16] + b"\xff" * 200 if broken else content
 
     number = F.substring("db_id", 4, 20).cast("long")
     prefix = F.when(number % 10 == 3, "databases/._").otherwise("databases/")
