@@ -33,3 +33,17 @@ def test_images_come_to_python_in_small_batches(spark):
     found = {r["db_id"]: (r["schema"], r["error"]) for r in scan.collect()}
     assert set(found) == {f"x.y{i}" for i in range(20)}
     assert all((schema is None) == (i % 5 == 0) == (error is not None) for i in range(20) for schema, error in [found[f"x.y{i}"]])
+
+
+def test_images_share_a_connection_and_nothing_else(monkeypatch):
+    made, connect = [], sqlite3.connect
+    # Equal numbers of statements: their schema versions are the same.
+    images = [image(f"CREATE TABLE t{i} (a{i}, b);", f"CREATE TABLE u (c{i});") for i in range(20)]
+    monkeypatch.setattr(catalog_io.sqlite3, "connect", lambda *a, **k: made.append(1) or connect(*a, **k))
+    reader = catalog_io._ImageReader()
+    for i, content in enumerate(images):
+        if i == 10:
+            assert reader.describe(broken(content))[0] is None
+        expected = [{"name": f"t{i}", "columns": [f"a{i}", "b"]}, {"name": "u", "columns": [f"c{i}"]}]
+        assert reader.describe(content) == (expected, None)
+    assert len(made) == 2
