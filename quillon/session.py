@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def open_writers(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, a task that writes folders by a column keeps up to ``most`` files open and does not sort its rows by the column first.
+
+    Rows of prompt records are wide, so that sort is what a task's memory goes to. A task that meets more folders than that sorts the rest.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread_input(scan: DataFrame) -> DataFrame:
     """A file scan with at least one partition per core.
 

@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from quillon.fixed_values import PROMPT_RECORD_COLUMNS
 from quillon.functions.schema_text import SCHEMA_TYPE
+from quillon.session import open_writers
 
 PROMPT_TYPE = "array<struct<role:string,content:string>>"
 _CSV = {"header": True, "quote": '"', "escape": '"'}
+OPEN_FILES = 4  # of a task that writes: one for each split, or for the first runs or batches it meets
+CSV_RECORDS = 10_000  # of a file, which one task reads; a record is a prompt and has to fit a model's context
 
 
 def write_splits(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Prompt records with a ``split`` column as Parquet, one folder per split."""
-    records.write.mode(mode).partitionBy("split").parquet(path)
+    with open_writers(records.sparkSession, OPEN_FILES):
+        records.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def write_splits_csv(
-    records: DataFrame, path: str, mode: str = "errorifexists", named_tables: bool = False
+    records: DataFrame, path: str, mode: str = "errorifexists", named_tables: bool = False,
+    records_per_file: int = CSV_RECORDS,
 ) -> None:
     """The same as CSV, nested columns as JSON text, one folder per split.
 
+    A file cannot be split between the tasks that read it, so none has more than ``records_per_file`` records.
+
     With ``named_tables`` a schema is written as one object of table name to column list. Such
     text, and that of a prompt, is a Python literal as well as JSON.
     """
@@ -31,7 +38,9 @@ def write_splits_csv(
     if named_tables:
         schema = F.map_from_entries(F.transform(schema, lambda t: F.struct(t["name"], t["columns"])))
     text = records.withColumn("prompt", F.to_json("prompt")).withColumn("schema", F.to_json(schema))
-    text.write.mode(mode).options(**_CSV).partitionBy("split").csv(path)
+    writer = text.write.mode(mode).options(**_CSV).option("maxRecordsPerFile", records_per_file)
+    with open_writers(records.sparkSession, OPEN_FILES):
+        writer.partitionBy("split").csv(path)
 
 
 def _decoded(text: Column, kind: str) -> Column:
@@ -58,7 +67,7 @@ def read_splits(spark: SparkSession, path: str, format: str = "parquet") -> Data
     if format == "parquet":
         df = spark.read.parquet(path)
     elif format == "csv":
-        # Lines of a record may hold line breaks, so a CSV file is read by one task.
+        # Lines of a record may hold line breaks, so a CSV file is read by one task; those written here are short.
         df = spark.read.options(**_CSV, multiLine=True).csv(path)
     else:
         raise ValueError(f"unknown format {format!r}")
@@ -95,4 +104,5 @@ def write_run_metrics(metrics: DataFrame, path: str) -> None:
 
 def _replace_partitions(df: DataFrame, path: str, column: str) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(column).parquet(path)
+    with open_writers(df.sparkSession, OPEN_FILES):
+        writer.partitionBy(column).parquet(path)

@@ -2,9 +2,11 @@
 
 import sqlite3
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from quillon.sources import catalog as catalog_io
+from quillon.sources import splits as split_io
 
 
 def plan_of(df):
@@ -47,3 +49,20 @@ def test_images_share_a_connection_and_nothing_else(monkeypatch):
         expected = [{"name": f"t{i}", "columns": [f"a{i}", "b"]}, {"name": "u", "columns": [f"c{i}"]}]
         assert reader.describe(content) == (expected, None)
     assert len(made) == 2
+
+
+RECORDS = """concat('db_', id) AS db_id, 'a' AS source, concat('SELECT ', id, chr(10), '"x"') AS solution,
+    array(named_struct('role', 'user', 'content', concat('q', chr(10), id))) AS prompt,
+    array(named_struct('name', 't', 'columns', array('a', 'b'))) AS schema,
+    element_at(array('train', 'val', 'test'), cast(id % 3 AS int) + 1) AS split"""
+
+
+def test_csv_files_are_short(spark, tmp_path):
+    records = spark.sql(f"SELECT {RECORDS} FROM range(0, 300, 1, 1)")
+    path = str(tmp_path / "csv")
+    split_io.write_splits_csv(records, path, records_per_file=20)
+    back = split_io.read_splits(spark, path, "csv")
+    per_file = back.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(per_file) == (20, 15)
+    columns = sorted(records.columns)
+    assert sorted(back.select(columns).collect()) == sorted(records.select(columns).collect())
