@@ -66,3 +66,20 @@ def test_csv_files_are_short(spark, tmp_path):
     assert tuple(per_file) == (20, 15)
     columns = sorted(records.columns)
     assert sorted(back.select(columns).collect()) == sorted(records.select(columns).collect())
+
+
+def test_writing_splits_does_not_sort_the_records(spark, tmp_path, monkeypatch):
+    seen = []
+    for kind in ("parquet", "csv"):
+        write = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(
+            DataFrameWriter, kind,
+            lambda self, *a, _write=write, **k: seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))) or _write(self, *a, **k),
+        )
+    records = spark.sql(f"SELECT {RECORDS} FROM range(0, 30, 1, 1)")
+    split_io.write_splits(records, str(tmp_path / "parquet"))
+    split_io.write_splits_csv(records, str(tmp_path / "csv"))
+    split_io.write_results(records.withColumnRenamed("split", "run"), str(tmp_path / "results"))
+    assert len(seen) == 3 and min(seen) >= 3
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+    assert split_io.read_splits(spark, str(tmp_path / "parquet")).count() == 30
