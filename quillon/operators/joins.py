@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.prefilter import with_membership
@@ -38,6 +38,13 @@ def lookup_join(
     return spread_join(rows, lookup, on, how, weights=weights)
 
 
+def row_digest(*columns: str) -> Column:
+    """SHA-256 of the named columns, with lengths between them: only equal values, null among them, share one."""
+    texts = [F.col(c).cast("string") for c in columns]
+    sized = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat(*sized), 256)
+
+
 def settled(df: DataFrame, column: str, name: str) -> DataFrame:
     """``column`` under a new name, as a value that later filters cannot be pushed through.
 

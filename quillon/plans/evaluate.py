@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.catalog import with_schema_names
-from quillon.operators.joins import lookup_join
+from quillon.operators.joins import lookup_join, row_digest
 from quillon.operators.reports import compare_runs, metric_rows, reward_report
-from quillon.operators.scoring import score_completions
-from quillon.session import stored
+from quillon.operators.scoring import add_answer, score_completions
+from quillon.session import spread_input, stored
 from quillon.sources.splits import write_results, write_run_metrics
 
 
@@ -27,6 +27,29 @@ def score_with_catalog(
     return score_completions(lookup_join(completions, prepared, "db_id", "left"), weights, **options)
 
 
+REPEATS = 4
+
+
+def score_repeated(
+    completions: DataFrame, catalog: DataFrame, weights: Mapping[str, float] | None = None, messages: str = "messages",
+    **options,
+) -> DataFrame:
+    """As :func:`score_with_catalog`, for answers that come many times, such as those of several runs to the same prompts.
+
+    Whether they do is measured first, by a bounded sketch over hashes. If rows are ``REPEATS`` times as many as distinct answers to a
+    database, or more, each of those is scored once, and its scores are joined to the rows by a digest; else every row is scored where it is.
+    """
+    keys = [c for c in ("source", "db_id") if c in completions.columns] + ["answer"]
+    answered = add_answer(completions, messages)
+    seen = answered.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*keys)).alias("answers")).first()
+    if seen["answers"] * REPEATS > seen["rows"]:
+        return score_with_catalog(completions, catalog, weights, messages=messages, **options)
+    keyed = answered.withColumn("_answer", row_digest(*keys))
+    distinct = spread_input(stored(keyed.select("_answer", *keys).distinct(), "answers"))
+    scores = stored(score_with_catalog(distinct, catalog, weights, completion="answer", **options).drop(*keys), "scores")
+    return lookup_join(keyed, scores, "_answer").drop("_answer")
+
+
 def evaluate(
     completions: DataFrame, results_path: str, metrics_path: str, weights: Mapping[str, float] | None = None,
     base: str = "baseline", other: str = "tuned", **options,

@@ -16,7 +16,7 @@ from quillon.operators.catalog import merge_catalogs as merge_by_rank
 from quillon.operators.catalog import schema_columns, with_schema_names
 from quillon.operators.conversations import conversation_lists
 from quillon.operators.joins import lookup_join
-from quillon.plans.evaluate import score_with_catalog
+from quillon.plans.evaluate import score_repeated, score_with_catalog
 from quillon.plans.prepare import prompt_datasets, prompt_records
 from quillon.session import scratch_path, stored
 from quillon.sources import catalog as catalog_io
@@ -144,7 +144,7 @@ def write_splits(spark, sf_dir):
 
 
 def _run_scores(spark, sf_dir) -> DataFrame:
-    scored = score_with_catalog(views.runs(spark, sf_dir), views.table_catalog(spark, sf_dir))
+    scored = score_repeated(views.runs(spark, sf_dir), views.table_catalog(spark, sf_dir))
     return scored.select("run", "row_id", "source", F.col("combined").alias("reward"))
 
 

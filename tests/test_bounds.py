@@ -5,8 +5,10 @@ import sqlite3
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from quillon.plans import evaluate
 from quillon.sources import catalog as catalog_io
 from quillon.sources import splits as split_io
+from quillon.suite.queries import QUERIES
 
 
 def plan_of(df):
@@ -83,3 +85,37 @@ def test_writing_splits_does_not_sort_the_records(spark, tmp_path, monkeypatch):
     assert len(seen) == 3 and min(seen) >= 3
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
     assert split_io.read_splits(spark, str(tmp_path / "parquet")).count() == 30
+
+
+CATALOG = """SELECT d AS db_id, array(named_struct('name', 't', 'columns', array('a'))) AS schema FROM VALUES ('x'), ('y') AS v(d)"""
+
+
+def answers(spark, rows, kinds):
+    """Answers that run or not, to a known, an unknown and no database, some without text."""
+    return spark.range(0, rows, 1, 4).selectExpr(
+        "id AS row_id", "element_at(array('one', 'two'), cast(id % 2 AS int) + 1) AS run", "element_at(array('s', null), cast(id % 7 % 2 AS int) + 1) AS source",
+        "element_at(array('x', 'y', 'z', null), cast(id % 4 AS int) + 1) AS db_id",
+        f"CASE WHEN id % 11 = 0 THEN array() ELSE array(named_struct('role', 'a', 'content', concat('SELECT ', element_at(array('a', 'b'), cast(id % 3 % 2 AS int) + 1), ' FROM t WHERE a = ', id % {kinds}, ';'))) END AS messages",
+    )
+
+
+def test_repeated_answers_are_scored_once(spark, monkeypatch):
+    scored_rows = []
+    plain = evaluate.score_with_catalog
+    monkeypatch.setattr(evaluate, "score_with_catalog", lambda rows, *a, **k: scored_rows.append(rows.count()) or plain(rows, *a, **k))
+    columns = ["row_id", "run", "source", "db_id", "sql", "sql_fence", "format", "exec_status", "exec", "schema_fidelity", "combined"]
+    catalog = spark.sql(CATALOG)
+    for kinds, most in ((3, 500), (5000, 2000)):  # the second has hardly any answer twice, and every row is scored where it is
+        rows = answers(spark, 2000, kinds)
+        once = evaluate.score_repeated(rows, catalog).select(columns)
+        assert scored_rows.pop() <= most
+        assert sorted(map(repr, once.collect())) == sorted(map(repr, plain(rows, catalog).select(columns).collect()))
+
+
+def test_run_scores_score_each_answer_once(spark, monkeypatch):
+    scored_rows = []
+    plain = evaluate.score_with_catalog
+    monkeypatch.setattr(evaluate, "score_with_catalog", lambda rows, *a, **k: scored_rows.append(rows.count()) or plain(rows, *a, **k))
+    for name in ("metric_rows", "compare_runs"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert 0 < scored_rows.pop() < 200
