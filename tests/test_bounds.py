@@ -5,6 +5,7 @@ import sqlite3
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from quillon.operators import exec_check
 from quillon.plans import evaluate
 from quillon.sources import catalog as catalog_io
 from quillon.sources import splits as split_io
@@ -119,3 +120,15 @@ def test_run_scores_score_each_answer_once(spark, monkeypatch):
     for name in ("metric_rows", "compare_runs"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert 0 < scored_rows.pop() < 200
+
+
+def test_outcomes_of_few_statements_move_no_rows(spark):
+    keys = [("d", "s"), (None, "s"), ("\x00", "s"), ("a\x01b", "c"), ("a", "b\x01c"), ("d", None)]
+    rows = spark.createDataFrame([(i, *keys[i % len(keys)]) for i in range(60)], "row_id int, place string, sql string")
+    outcome = F.struct(F.coalesce("place", F.lit("none")).alias("status"), F.col("sql").alias("error"))
+    scored = exec_check.add_exec_once(rows, outcome, ["place", "sql"])
+    assert "SortMergeJoin" not in plan_of(scored) and "BroadcastHashJoin" in plan_of(scored)
+    found = {(r["place"], r["sql"]): (r["exec_status"], r["exec_error"]) for r in scored.collect()}
+    # Keys that only differ in null, or in where a separator stands, are statements of their own.
+    assert found == {(p, s): ("no_sql", None) if s is None else ("none" if p is None else p, s) for p, s in keys}
+    assert scored.count() == 60
