@@ -117,7 +117,7 @@ def test_run_scores_score_each_answer_once(spark, monkeypatch):
     scored_rows = []
     plain = evaluate.score_with_catalog
     monkeypatch.setattr(evaluate, "score_with_catalog", lambda rows, *a, **k: scored_rows.append(rows.count()) or plain(rows, *a, **k))
-    for name in ("metric_rows", "compare_runs"):
+    for name in ("metric_rows", "compare_runs", "write_metrics", "write_metrics_merged"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert 0 < scored_rows.pop() < 200
 
