@@ -16,8 +16,8 @@ How the work is kept in proportion to the input:
 * Shingles that occur once fill a prefix but can match nothing, so they are never indexed; a
   document whose prefix is all of that kind has no partner and leaves.
 * A family of thousands of near copies would make all its pairs candidates, most of which only
-  confirm what is known. So members are first compared with one pivot each, in a few rounds; then
-  all remaining pairs of groups are compared whose components still differ. Every pair of sets
+  confirm what is known. So members are first compared with one pivot each, in a few rounds, of which the
+  first takes the set in the middle of a family as its pivot; then all remaining pairs of groups are compared whose components still differ. Every pair of sets
   that could join two components is looked at, so no link that matters is lost.
 """
 
@@ -197,7 +197,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
         sets = stored(sets.dropDuplicates(["cid"]), "sets")
     ordered = stored(_ordered(sets, percent), "ordered")
     groups = stored(_groups(ordered), "groups")
-    index = stored(groups.where("cid = gid").select("gid", "n", "u", F.posexplode("prefix").alias("pos", "t")), "index")
+    index = stored(groups.where("cid = gid").select("gid", "n", "u", "central", F.posexplode("prefix").alias("pos", "t")), "index")
     edges = groups.where("cid != gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     edges = stored(_verified(edges.unionByName(_pivots(index, None, 0)), ordered, percent), "links")
     for turn in range(1, PIVOT_ROUNDS + 1):
@@ -217,10 +217,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """Repeated shingles of each set, rarest first: ``cid, n, u, k, shared``.
+    """Repeated shingles of each set, rarest first: ``cid, n, u, k, central, shared``.
 
     ``u`` shingles occur in no other set and come first; ``k`` of the shared ones belong to the
-    prefix. Sets without any are left out, they have no partner.
+    prefix. ``central`` is the mean logarithm of how many sets hold each shingle: within a family of near copies it is highest for
+    the set the others come from, which lacks none of the common ones. Sets without any are left out, they have no partner.
     """
     tokens = sets.select("cid", "n", F.explode("h").alias("t"))
     counts = stored(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
@@ -231,15 +232,16 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     prefix = n - F.floor((n * percent + 99) / 100) + 1
     u = n - F.size("l")
     return lists.select(
-        "cid", "n", u.alias("u"), (prefix - u).cast("int").alias("k"), F.transform("l", lambda x: x["t"]).alias("shared")
+        "cid", "n", u.alias("u"), (prefix - u).cast("int").alias("k"),
+        (F.aggregate("l", F.lit(0.0), lambda total, x: total + F.log(x["c"].cast("double"))) / n).alias("central"), F.transform("l", lambda x: x["t"]).alias("shared")
     ).where("k > 0")
 
 
 def _groups(ordered: DataFrame) -> DataFrame:
     """``cid`` with its group ``gid``: the smallest class of the same size and prefix."""
-    rows = ordered.select("cid", "n", "u", F.slice("shared", F.lit(1), F.col("k")).alias("prefix"))
+    rows = ordered.select("cid", "n", "u", "central", F.slice("shared", F.lit(1), F.col("k")).alias("prefix"))
     heads = stored(rows.groupBy("n", "prefix").agg(F.min("cid").alias("gid")), "heads")
-    return rows.join(heads, ["n", "prefix"]).select("cid", "gid", "n", "u", "prefix")
+    return rows.join(heads, ["n", "prefix"]).select("cid", "gid", "n", "u", "central", "prefix")
 
 
 def _units(groups: DataFrame, comps: DataFrame) -> DataFrame:
@@ -249,14 +251,18 @@ def _units(groups: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _pivots(index: DataFrame, units: DataFrame | None, turn: int) -> DataFrame:
-    """Each group with one pivot: the one that most of its prefix shingles have in common."""
-    rows = index.select("t", "gid", "n")
+    """Each group with one pivot: the one that most of its prefix shingles have in common.
+
+    The pivot of a shingle is the most central set that holds it: a set at the edge of a family is linked with few of
+    the others, and all pairs of the rest would be left to compare. Later rounds take any other.
+    """
+    rows = index.select("t", "gid", "n", "central")
     comp = F.col("gid") if units is None else F.col("comp")
     if units is not None:
         heads = units.where("cid = gid").select("gid", "comp")
         rows = rows.join(heads, "gid")
-    rows = rows.select("t", "gid", "n", comp.alias("comp"))
-    order = F.col("gid") if turn == 0 else F.xxhash64(F.col("gid"), F.lit(turn))
+    rows = rows.select("t", "gid", "n", "central", comp.alias("comp"))
+    order = -F.col("central") if turn == 0 else F.xxhash64(F.col("gid"), F.lit(turn))
     first = F.min(F.struct(order.alias("o"), "gid", "comp", "n"))
     pivots = stored(
         rows.groupBy("t").agg(first.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))

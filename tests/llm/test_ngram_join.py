@@ -2,9 +2,10 @@ import random
 import re
 
 from quillon.llm.common import components
-from quillon.llm.ngram_join import jaccard_classes
+from quillon.llm.ngram_join import _groups, _ordered, _pivots, jaccard_classes
 from quillon.llm.shingles import shingle_set, text_words
 import numpy as np
+from pyspark.sql import functions as F
 
 
 def brute(rows, percent=75):
@@ -102,3 +103,15 @@ def test_words_cut_between_slices(monkeypatch):
     whole = text_words(text)
     monkeypatch.setattr(module, "_SLICE", 64)
     assert (text_words(text) == whole).all()
+
+
+def test_the_pivot_of_a_family_is_the_set_its_copies_come_from(spark):
+    base = list(range(1000, 1100))
+    # Every copy lacks four runs of three, in places of its own, so two copies are mostly not similar enough but each is to the base.
+    lost = lambda k: {base[(k * 7 + run * 29 + i) % 100] for run in range(4) for i in range(3)}
+    rows = [(k, 100, [t for t in base if t not in lost(k)] + list(range(k * 12 + 2000, k * 12 + 2000 + len(lost(k))))) for k in range(40)]
+    sets = spark.createDataFrame([*rows, (40, 100, base)], "cid long, n long, h array<long>")
+    index = _groups(_ordered(sets, 75)).where("cid = gid").select("gid", "n", "u", "central", F.posexplode("prefix").alias("pos", "t"))
+    heads = {r.gid for r in index.select("gid").collect()} - {40}
+    pivots = [r for r in _pivots(index, None, 0).collect() if r.b != 40]
+    assert len(heads) > 20 and {r.b for r in pivots} == heads and {r.a for r in pivots} == {40}
