@@ -14,6 +14,7 @@ only those are searched backward. That is exact, whatever the length of the text
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import re
@@ -29,6 +30,10 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 _REMEMBERED = 200_000  # stretches, of at most _LONGEST_REMEMBERED characters, before the older half of what a worker knows is forgotten
 _LONGEST_REMEMBERED = 40
+_LENGTHS = (4, 6, 8, 10, 12, 14, 17, 22, 30, _LONGEST_REMEMBERED)  # up to which stretches are searched together
+_SEARCHED = 16_384  # stretches at most in one search, which bounds its arrays
+_SEEN_BITS = 20
+_RANKED = 10_000  # stretches whose n best are remembered
 _FACTORS, _WORD64 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (1 << 64) - 1
 _BATCH_TEXTS = 512  # texts whose results are in memory as Python objects
 _BATCH_CHARACTERS = 1_000_000
@@ -38,6 +43,11 @@ N_BEST_TYPE = "array<struct<score:double,changes:array<struct<at:int,n:int,ids:a
 ENCODED_TYPE = f"struct<ids:array<int>,score:double,n_best:{N_BEST_TYPE}>"
 
 
+def _packed(ids: bytes, score: float, loss: float) -> bytes:
+    """A path as remembered: its ids, its score, and what the second best loses."""
+    return ids + np.array([score, loss], np.float64).tobytes()
+
+
 class Pieces:
     """A vocabulary as a lattice: pieces with blanks written as blanks, their ids and scores."""
 
@@ -62,8 +72,9 @@ class Pieces:
         lines = any("\n" in p and len(p) > 1 for p in self.edges)
         stretch = "(?s).+" if inner else " +[^ ]*|[^ ]+" if lines else r"\n| +[^ \n]*|[^ \n]+"
         self.stretches = re.compile(stretch).findall
-        self.remembered: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -132,53 +143,89 @@ class Pieces:
         order = np.argsort(hashes[0], kind="stable")
         self.hashes, self.checks = hashes[0, order], hashes[1, order]
         self.scores = np.array(list(self.edges.values()), np.float64)[order]
-
-    def _scores_of(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """The scores of the pieces with these hashes, minus infinity where there is none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where((self.hashes[at] == hashes) & (self.checks[at] == checks), self.scores[at], -np.inf)
+        self.places = np.frombuffer(b"".join(self.ids.values()), np.int32)[order]
+        self.seen = np.zeros(1 << _SEEN_BITS, bool)  # tells most strings that are no piece from the pieces, in one step
+        self.seen[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(_FACTORS[0])) >> np.uint64(64 - _SEEN_BITS)
+
+    def _looked_up(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores and ids of the pieces with these hashes, minus infinity and -1 where there is none."""
+        scores, ids = np.full(hashes.size, -np.inf), np.full(hashes.size, -1, np.int32)
+        maybe = np.flatnonzero(self.seen[self._slot(hashes)])
+        wanted, check = hashes.ravel()[maybe], checks.ravel()[maybe]
+        if len(wanted):
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            found = (self.hashes[at] == wanted) & (self.checks[at] == check)
+            scores[maybe[found]], ids[maybe[found]] = self.scores[at[found]], self.places[at[found]]
+        return scores.reshape(hashes.shape), ids.reshape(hashes.shape)
 
     def best_paths(self, texts: list[str]) -> list[tuple[bytes, float, float]]:
-        """:meth:`best_path` of texts of one length: the same forward pass, one position of all texts at a time."""
-        n, m = len(texts[0]), len(texts)
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
+        """:meth:`best_path` of several texts."""
+        return [(path[:-16], *map(float, np.frombuffer(path[-16:], np.float64))) for path in self._packed_paths(texts)]
+
+    def _packed_paths(self, texts: list[str]) -> list[bytes]:
+        """:meth:`best_path` of several texts, each packed by :func:`_packed`: the same forward pass, one position of all texts at a time.
+
+        Shorter texts are filled up; no score depends on what comes behind it.
+        """
+        sizes, m = np.array([len(t) for t in texts]), len(texts)
+        n, every = int(sizes.max()), np.arange(m)
+        filled = "".join([t.ljust(n, "\0") for t in texts]).encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(filled, np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
         best, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
-        start, best[0] = np.zeros((n + 1, m), np.int64), 0.0
+        start, last, best[0] = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int32), 0.0
         hashes, checks = np.zeros((n, m), np.uint64), np.zeros((n, m), np.uint64)  # of what starts at each position
         for j in range(1, n + 1):
-            hashes[:j] = hashes[:j] * np.uint64(_FACTORS[0]) + codes[:, j - 1]
-            checks[:j] = checks[:j] * np.uint64(_FACTORS[1]) + codes[:, j - 1]
-            b1, b2, at = np.full(m, -np.inf), np.full(m, -np.inf), np.full(m, j - 1)
             first = max(0, j - self.longest)
-            scores = self._scores_of(hashes[first:j], checks[first:j]) if len(self.hashes) else np.full((j - first, m), -np.inf)
-            scores[-1] = np.where(np.isinf(scores[-1]), self.unknown, scores[-1])
-            for i, s in enumerate(scores, first):  # longest first: it wins ties
-                v, better = best[i] + s, best[i] + s > b1
-                b2 = np.where(better, np.maximum(b1, second[i] + s), np.maximum(b2, v))
-                b1, at = np.where(better, v, b1), np.where(better, i, at)
-            best[j], second[j], start[j] = b1, b2, at
-        out = []
-        for text, starts, total, loss in zip(texts, start.T.tolist(), best[n].tolist(), (best[n] - second[n]).tolist()):
-            spelled, j = [], n
+            hashes[first:j] = hashes[first:j] * np.uint64(_FACTORS[0]) + codes[j - 1]
+            checks[first:j] = checks[first:j] * np.uint64(_FACTORS[1]) + codes[j - 1]
+            b1, b2, at, of = np.full(m, -np.inf), np.full(m, -np.inf), np.full(m, j - 1), np.full(m, -1, np.int32)
+            scores, ids = self._looked_up(hashes[first:j], checks[first:j])
+            scores[-1] = np.where(ids[-1] < 0, self.unknown, scores[-1])
+            for i in np.flatnonzero((scores > -np.inf).any(axis=1)).tolist():  # longest first: it wins ties
+                s, i = scores[i], i + first
+                v, w = best[i] + s, second[i] + s
+                better = v > b1
+                b2 = np.where(better, np.maximum(b1, w), np.maximum(b2, v))
+                b1, at, of = np.where(better, v, b1), np.where(better, i, at), np.where(better, ids[i - first], of)
+            best[j], second[j], start[j], last[j] = b1, b2, at, of
+        total = best[sizes, every]
+        found, fewest, plain = np.zeros((m, n + 4), np.int32), np.full(m, n), np.ones(m, bool)  # a text's ids before the two numbers that end its row
+        found[:, n:] = np.stack([total, total - second[sizes, every]], axis=1).view(np.int32)
+        at, going = sizes, every
+        while len(going):
+            fewest[going] -= 1
+            found[going, fewest[going]] = last[at, going]
+            plain[going] &= last[at, going] >= 0
+            at = start[at, going]
+            going, at = going[at > 0], at[at > 0]
+        whole, row = found.tobytes(), 4 * (n + 4)
+        out = [whole[at:end] for at, end in zip((every * row + 4 * fewest).tolist(), range(row, (m + 1) * row, row))]
+        for k in np.flatnonzero(~plain).tolist():  # characters outside the vocabulary
+            pieces, j = [], len(texts[k])
             while j:
-                spelled.append(self._spell(text[starts[j] : j]))
-                j = starts[j]
-            out.append((b"".join(reversed(spelled)), total, loss))
+                pieces.append(self._spell(texts[k][start[j, k] : j]))
+                j = int(start[j, k])
+            out[k] = b"".join(reversed(pieces)) + out[k][-16:]
         return out
 
     def _learn(self, parts: set[str]) -> None:
-        """Remembers the best paths of stretches, by length."""
-        by_length: dict[int, list[str]] = {}
-        for part in parts:
-            if len(part) <= _LONGEST_REMEMBERED and part not in self.remembered:
-                if part in self.older:
-                    self.remembered[part] = self.older[part]
-                else:
-                    by_length.setdefault(len(part), []).append(part)
-        for group in by_length.values():
-            self.remembered.update(zip(group, self.best_paths(group)))
+        """Remembers the best paths of stretches; those of about one length are searched together."""
         if len(self.remembered) > _REMEMBERED:
             self.older, self.remembered = self.remembered, {}
+        by_length: dict[int, list[str]] = {}
+        for part in parts.difference(self.remembered):
+            if part in self.older:
+                self.remembered[part] = self.older[part]
+            elif len(part) <= _LONGEST_REMEMBERED:
+                by_length.setdefault(bisect.bisect_left(_LENGTHS, len(part)), []).append(part)
+        for group in by_length.values():
+            for k in range(0, len(group), _SEARCHED):
+                some = group[k : k + _SEARCHED]
+                self.remembered.update(zip(some, self._packed_paths(some)))
 
     def encode_all(self, texts: list[str], n: int = N_BEST) -> list[tuple[np.ndarray, float, list[tuple[float, list]]]]:
         """:meth:`encode` of several texts; stretches that are new to the worker are searched together."""
@@ -217,6 +264,17 @@ class Pieces:
                     heapq.heappush(heap, (-(score + s + best[i]), order, i, score + s, (text[i:j], path)))
         return found
 
+    def _ranked(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """:meth:`n_best`, remembered for short stretches: those that lose little recur."""
+        known = self.ranked.get((part, n))
+        if known is None:
+            known = self.n_best(part, n)
+            if len(part) <= _LONGEST_REMEMBERED:
+                if len(self.ranked) >= _RANKED:
+                    self.ranked.clear()
+                self.ranked[part, n] = known
+        return known
+
     def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, float, list[tuple[float, list]]]:
         """Ids and score of the best segmentation, and the ``n`` best as scores with changes (:data:`N_BEST_TYPE`).
 
@@ -227,36 +285,41 @@ class Pieces:
     def _encoded(self, parts: list[str], n: int) -> tuple[np.ndarray, float, list[tuple[float, list]]]:
         if not parts:
             return np.zeros(0, np.int32), 0.0, [(0.0, [])]
-        known, older = self.remembered.get, self.older.get
-        paths = [known(part) or older(part) or self.best_path(part) for part in parts]
-        ids = np.frombuffer(b"".join([p[0] for p in paths]), np.int32)
-        score = float(sum([p[1] for p in paths]))
+        paths = list(map(self.remembered.get, parts))
+        if None in paths:
+            paths = [path or _packed(*self.best_path(part)) for path, part in zip(paths, parts)]
+        joined = np.frombuffer(b"".join(paths), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths))) // 4
+        tails = ends[:, None] + np.arange(-4, 0)
+        totals, losses = joined[tails].view(np.float64).T
+        plain = np.ones(len(joined), bool)
+        plain[tails] = False
+        ids, score = joined[plain], float(sum(totals.tolist()))
         if n < 2:
             return ids, score, [(score, [])]
-        losses = np.array([p[2] for p in paths])
         nearest = np.flatnonzero(np.isfinite(losses))
         if len(nearest) >= n:
             edge = np.partition(losses[nearest], n - 2)[n - 2]
             nearest = nearest[losses[nearest] <= edge]
             nearest = np.sort(nearest[np.argsort(losses[nearest], kind="stable")][: n - 1])
-        return ids, score, self._combined(parts, paths, nearest.tolist(), score, n)
+        return ids, score, self._combined(parts, (ends - 4 * np.arange(1, len(ends) + 1)).tolist(), nearest.tolist(), score, n)
 
-    def _combined(self, parts: list[str], paths: list, nearest: list[int], score: float, n: int) -> list[tuple[float, list]]:
-        """The ``n`` best combinations of the paths of a few stretches."""
+    def _combined(self, parts: list[str], ends: list[int], nearest: list[int], score: float, n: int) -> list[tuple[float, list]]:
+        """The ``n`` best combinations of the paths of a few stretches; ``ends`` says where the ids of each stretch end."""
         kept = [(0.0, 0, (), ())]  # loss, changed stretches, order, choices
         options = {}
         for k in nearest:
-            options[k] = self.n_best(parts[k], n)
+            options[k] = self._ranked(parts[k], n)
             more = []
             for loss, changed, order, choice in kept:
                 for c, (path_score, _) in enumerate(options[k]):
                     more.append((loss + options[k][0][0] - path_score, changed + (c > 0), (*order, -1 if c else 0, c), (*choice, c)))
             kept = heapq.nsmallest(n, more)
-        sizes = np.cumsum([0] + [len(p[0]) // 4 for p in paths]) if nearest else []
+        starts = {k: ends[k - 1] if k else 0 for k in nearest}
         out = []
         for loss, _, _, choice in kept:
             changes = [
-                (int(sizes[k]), int(sizes[k + 1] - sizes[k]), np.frombuffer(options[k][c][1], np.int32).tolist())
+                (starts[k], ends[k] - starts[k], np.frombuffer(options[k][c][1], np.int32).tolist())
                 for k, c in zip(nearest, choice) if c
             ]
             out.append((score - loss, changes))

@@ -121,3 +121,12 @@ def test_forgetting_changes_nothing(monkeypatch):
     short = module.Pieces.load(module.MODEL_FILE)
     got = [(ids.tolist(), score, best) for k in range(0, len(texts), 9) for ids, score, best in short.encode_all(texts[k : k + 9])]
     assert got == want
+
+
+def test_stretches_of_any_lengths_are_searched_together():
+    pieces = Pieces([("a", -1.0), ("b", -1.5), ("ab", -2.0), ("ba", -2.5), ("aba", -3.0), (" a", -0.5), ("bbbb", -1.0)], None, 99)
+    texts = ["a", " abab", "bbbbbab", "", "日a", "ab" * 9, " a\0b", "b"]
+    texts = [t for t in texts if t]
+    assert pieces.best_paths(texts) == [pieces.best_path(t) for t in texts]
+    pieces.encode_all(["ab abab bbbbb"])
+    assert all(isinstance(path, bytes) for path in pieces.remembered.values())
