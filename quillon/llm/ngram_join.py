@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components
-from quillon.llm.shingles import mix, text_sets
+from quillon.llm.shingles import mix, places, segment_sums, set_blocks
 from quillon.operators.joins import lookup_join
 from quillon.session import stored
 
 WORDS = 5
 PERCENT = 75
 PIVOT_ROUNDS = 2
+_NONE = np.zeros(0, np.int64)
 
 
 def _needed(n, percent: int):
@@ -45,7 +46,7 @@ def _needed(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _hash_prefix(n: int, percent: int) -> int:
+def _hash_prefix(n, percent: int):
     """Length of the prefix in hash order in which similar sets share :func:`_shared_there`."""
     return n - _needed(n, percent) + _shared_there(n)
 
@@ -54,9 +55,13 @@ def _shared_there(n):
     return np.maximum(1, n // 12)
 
 
-def _sum(h: np.ndarray) -> int:
-    """A 64-bit sum of a set that depends on all its members."""
-    return int(mix(h + np.uint64(0x51ED)).sum(dtype=np.uint64).astype(np.int64))
+def _sums(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A 64-bit sum of each set that depends on all its members; the sets lie one after the other."""
+    return segment_sums(mix(h + np.uint64(0x51ED)), sizes).view(np.int64)
+
+
+def _other_sums(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return segment_sums(mix(h ^ np.uint64(0xA3C59AC2B7F4D1E6)), sizes).view(np.int64)
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
@@ -98,13 +103,10 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2 = [], [], []
-            for h in text_sets(batch.column(1), words):
-                n.append(len(h))
-                s1.append(_sum(h))
-                s2.append(int(mix(h ^ np.uint64(0xA3C59AC2B7F4D1E6)).sum(dtype=np.uint64).astype(np.int64)))
+            found = [(sizes, _sums(sizes, h), _other_sums(sizes, h)) for sizes, h in set_blocks(batch.column(1), words)]
+            n, s1, s2 = (pa.array(np.concatenate([_NONE, *x])) for x in (list(zip(*found)) or [()] * 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *batch.columns[2:]],
+                [batch.column(0), n, s1, s2, *batch.columns[2:]],
                 names=["doc_id", "n_shingles", "s1", "s2", *batch.schema.names[2:]],
             )
 
@@ -115,27 +117,22 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
 def _first_shingles(docs: DataFrame, words: int, percent: int, keyed: bool) -> DataFrame:
     """The first shingles ``t`` of each set in hash order, if ``keyed`` with the sum ``s1`` of the set."""
 
-    def batch_of(tokens: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(tokens).view(np.int64))]
-        if keyed:
-            columns.append(pa.array(np.repeat(np.array(keys, np.int64), [len(t) for t in tokens])))
+    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*parts)]
         return pa.RecordBatch.from_arrays(columns, names=["t", "s1"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, keys, size = [], [], 0
-            for h in text_sets(batch.column(1), words):
-                if not len(h):
-                    continue
-                tokens.append(h[: _hash_prefix(len(h), percent)])
-                if keyed:
-                    keys.append(_sum(h))
-                size += len(tokens[-1])
+            parts, size = [], 0
+            for sizes, h in set_blocks(batch.column(1), words):
+                first = places(sizes) < np.repeat(_hash_prefix(sizes, percent), sizes)
+                parts.append((h[first], np.repeat(_sums(sizes, h), sizes)[first]) if keyed else (h[first],))
+                size += len(parts[-1][0])
                 if size > 500_000:
-                    yield batch_of(tokens, keys)
-                    tokens, keys, size = [], [], 0
-            if tokens:
-                yield batch_of(tokens, keys)
+                    yield batch_of(parts)
+                    parts, size = [], 0
+            if size:
+                yield batch_of(parts)
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, "t long, s1 long" if keyed else "t long")
 
@@ -145,27 +142,26 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, rows, size = [], [], 0
+            sets, size, row = [], 0, 0
 
             def out():
-                ends = np.cumsum([0] + [len(h) for h in sets]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
+                rows, lens, flat = (np.concatenate(x) for x in zip(*sets))
+                ends = np.cumsum(np.append(0, lens)).astype(np.int32)
                 return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(np.diff(ends).astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    [batch.column(0).take(pa.array(rows)), pa.array(lens), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
                     names=["cid", "n", "h"],
                 )
 
-            for i, h in enumerate(text_sets(batch.column(1), words)):
-                if _sum(h) != batch.column(2)[i].as_py():
-                    continue
-                sets.append(h)
-                rows.append(i)
-                size += len(h)
+            asked = batch.column(2).to_numpy()
+            for sizes, h in set_blocks(batch.column(1), words):
+                right = _sums(sizes, h) == asked[row : row + len(sizes)]
+                sets.append((row + np.flatnonzero(right), sizes[right], h[np.repeat(right, sizes)]))
+                row += len(sizes)
+                size += len(sets[-1][2])
                 if size > 500_000:
                     yield out()
-                    sets, rows, size = [], [], 0
-            if rows:
+                    sets, size = [], 0
+            if size:
                 yield out()
 
     return docs.select("cid", "text", "s1").mapInArrow(run, "cid long, n long, h array<long>")

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 _SLICE = 1 << 22  # bytes handled at a time, cut at white space: bounds the temporaries, not the text
+_BLOCK = 1 << 17  # bytes of short texts numbered together: their temporaries stay in a core's cache
+_NO_BYTES, _BLANK = np.zeros(0, np.uint8), np.full(1, 32, np.uint8)
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,7 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _words(data: np.ndarray) -> np.ndarray:
-    """One number per word of a stretch of bytes, with A-Z lower-cased.
+    return _words_at(data)[0]
+
+
+def _words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number per word of a stretch of bytes, with A-Z lower-cased, and where the words start.
 
     A word is a polynomial in its bytes, taken from running sums, so its number does not depend
     on where it stands.
@@ -45,7 +51,7 @@ def _words(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[lower] * _powers(_P, n), dtype=np.uint64, out=sums[1:])
     back = _powers(pow(_P, -1, 1 << 64), n)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start
 
 
 def text_words(data: np.ndarray) -> np.ndarray:
@@ -90,8 +96,70 @@ def column_bytes(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield raw[at[i] : at[i + 1]] if valid[i] else None
 
 
-def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The shingle set of each text; null and wordless texts have an empty one."""
-    none = np.zeros(0, dtype=np.uint64)
+def set_blocks(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle sets of the texts of an Arrow column, block by block: the size of each, and all one after the other.
+
+    A set is sorted and distinct; null and wordless texts have an empty one. Short texts are numbered together, as a call of NumPy
+    costs more than the work on one of them; a text beyond ``_BLOCK`` bytes is a block of its own.
+    """
+    for block in _blocks(column):
+        if len(block) == 1:
+            found = shingle_set(text_words(block[0]), size)
+            yield np.array([len(found)]), found
+        else:
+            yield _block_sets(block, size)
+
+
+def _blocks(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    block, held = [], 0
     for data in column_bytes(column):
-        yield none if data is None else shingle_set(text_words(data), size)
+        data = _NO_BYTES if data is None else data
+        if block and held + len(data) > _BLOCK:
+            yield block
+            block, held = [], 0
+        block.append(data)
+        held += len(data)
+    if block:
+        yield block
+
+
+def _block_sets(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingle_set` of each text."""
+    # A blank after each text ends its last word.
+    lens = np.array([len(x) for x in texts])
+    first = np.cumsum(lens + 1) - lens - 1
+    words, start = _words_at(np.concatenate([x for text in texts for x in (text, _BLANK)]))
+    at = np.searchsorted(start, np.append(first, first[-1] + lens[-1] + 1))
+    n = np.diff(at)
+    out = np.zeros(max(len(words) - size + 1, 0), dtype=np.uint64)
+    for i in range(size):
+        out = mix(out * np.uint64(_P) + words[i : i + len(out)])
+    # Places where a shingle of one text begins, in the order of the texts.
+    sizes = np.maximum(n - size + 1, 0)
+    flat = out[np.repeat(at[:-1], sizes) + places(sizes)]
+    short = np.flatnonzero((n > 0) & (n < size))
+    if len(short):
+        sets = np.split(flat, np.cumsum(sizes)[:-1])
+        for i in short:
+            sets[i] = shingle_set(words[at[i] : at[i + 1]], size)
+        flat, sizes = np.concatenate(sets), np.where((n > 0) & (n < size), 1, sizes)
+    ends = np.cumsum(sizes)
+    for i, j in zip((ends - sizes).tolist(), ends.tolist()):
+        flat[i:j].sort()
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    return segment_sums(new.astype(np.int64), sizes), flat[new]
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, … anew for each of the stretches of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each of the stretches of these sizes, modulo 2^64; that of an empty one is 0."""
+    sums = np.zeros(len(values) + 1, dtype=values.dtype)
+    np.cumsum(values, out=sums[1:])
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]

@@ -3,8 +3,9 @@ import re
 
 from quillon.llm.common import components
 from quillon.llm.ngram_join import _groups, _ordered, _pivots, jaccard_classes
-from quillon.llm.shingles import shingle_set, text_words
+from quillon.llm.shingles import set_blocks, shingle_set, text_words
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -105,6 +106,26 @@ def test_words_cut_between_slices(monkeypatch):
     assert (text_words(text) == whole).all()
 
 
+def test_sets_of_many_texts_together(monkeypatch):
+    import quillon.llm.shingles as module
+
+    rng = random.Random(3)
+    parts = [None, "", " \n", "a", " A b\tc d ", "a b c d e", "x y " * 40, "é Zz " * 9, " ".join(f"w{k}" for k in range(300))]
+    texts = [rng.choice(parts) for _ in range(400)]
+    own = [shingle_set(text_words(np.frombuffer((t or "").encode(), np.uint8)), 5) for t in texts]
+    calls = []
+    alone = module.shingle_set
+    monkeypatch.setattr(module, "shingle_set", lambda w, size: calls.append(len(w)) or alone(w, size))
+    for limit, column in ((1 << 17, pa.array(texts)), (1000, pa.array(texts, pa.large_string())), (1 << 17, pa.array(["z", *texts]).slice(1))):
+        monkeypatch.setattr(module, "_BLOCK", limit)
+        blocks = list(set_blocks(column, 5))
+        assert np.concatenate([sizes for sizes, _ in blocks]).tolist() == [len(h) for h in own]
+        assert (np.concatenate([h for _, h in blocks]) == np.concatenate(own)).all()
+        assert (len(blocks) > 9) == (limit == 1000)
+        assert limit == 1000 or max(calls) < 5  # texts of five words or more are not taken one by one
+        calls.clear()
+
+
 def test_the_pivot_of_a_family_is_the_set_its_copies_come_from(spark):
     base = list(range(1000, 1100))
     # Every copy lacks four runs of three, in places of its own, so two copies are mostly not similar enough but each is to the base.
