@@ -227,9 +227,10 @@ def database_images(catalog: DataFrame) -> DataFrame:
     prefix = F.when(number % 10 == 3, "databases/._").otherwise("databases/")
     # Building an image is slow Python; the few rows per partition a grouping leaves are dealt out.
     cores = catalog.sparkSession.sparkContext.defaultParallelism
+    # Behind the one-row unfold a filter on the content stays above; pushed down, it would build each image once more, in the grouping's few tasks.
     return catalog.repartition(cores).select(
         F.concat(prefix, "db_id", F.lit(".sqlite")).alias("path"),
-        image(empty_tables_ddl(F.col("schema")), number % 10 == 7).alias("content"),
+        F.inline(F.array(F.struct(image(empty_tables_ddl(F.col("schema")), number % 10 == 7).alias("content")))),
     )
 
 

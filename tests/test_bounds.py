@@ -40,6 +40,12 @@ def test_images_come_to_python_in_small_batches(spark):
     assert all((schema is None) == (i % 5 == 0) == (error is not None) for i in range(20) for schema, error in [found[f"x.y{i}"]])
 
 
+def test_images_are_built_once(spark):
+    for name in ("catalog_from_sqlite", "catalog_scan_errors"):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count("BatchEvalPython [image(") == 1 and plan.count("BatchEvalPython") == 2
+
+
 def test_images_share_a_connection_and_nothing_else(monkeypatch):
     made, connect = [], sqlite3.connect
     # Equal numbers of statements: their schema versions are the same.
