@@ -73,5 +73,5 @@ def prepare(
     write_splits(records, splits_path, mode="overwrite")
     written = spark.read.parquet(splits_path)
     if csv_path:
-        write_splits_csv(written, csv_path, mode="overwrite")
+        write_splits_csv(written, csv_path, mode="overwrite", compression="none")
     return written

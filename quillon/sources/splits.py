@@ -25,20 +25,22 @@ def write_splits(records: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def write_splits_csv(
     records: DataFrame, path: str, mode: str = "errorifexists", named_tables: bool = False,
-    records_per_file: int = CSV_RECORDS,
+    records_per_file: int = CSV_RECORDS, compression: str | None = None,
 ) -> None:
     """The same as CSV, nested columns as JSON text, one folder per split.
 
     A file cannot be split between the tasks that read it, so none has more than ``records_per_file`` records.
+    Each record repeats the system prompt and its database's schema, so files are gzipped unless ``compression`` says otherwise.
 
     With ``named_tables`` a schema is written as one object of table name to column list. Such
-    text, and that of a prompt, is a Python literal as well as JSON.
+    text, and that of a prompt, is a Python literal as well as JSON. These files are for other readers, so they are plain by default.
     """
     schema = F.col("schema")
     if named_tables:
         schema = F.map_from_entries(F.transform(schema, lambda t: F.struct(t["name"], t["columns"])))
     text = records.withColumn("prompt", F.to_json("prompt")).withColumn("schema", F.to_json(schema))
-    writer = text.write.mode(mode).options(**_CSV).option("maxRecordsPerFile", records_per_file)
+    packed = compression or ("none" if named_tables else "gzip")
+    writer = text.write.mode(mode).options(**_CSV, compression=packed).option("maxRecordsPerFile", records_per_file)
     with open_writers(records.sparkSession, OPEN_FILES):
         writer.partitionBy("split").csv(path)
 
@@ -46,13 +48,15 @@ def write_splits_csv(
 def _decoded(text: Column, kind: str) -> Column:
     """JSON or Python literal text as a value; text that is neither fails the job, null stays null.
 
-    Python escapes that JSON does not have are ``\\xNN``, rewritten here, and ``\\U``, refused.
+    Python escapes that JSON does not have are ``\\xNN``, rewritten here, and ``\\U``, refused. Few texts hold either, and
+    a plain search leaves the others out: the patterns take several times as long as parsing the text.
     """
     odd = r"(?<!\\)((?:\\\\)*)\\"
-    as_json = F.regexp_replace(text, odd + "x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    rewritten = F.regexp_replace(text, odd + "x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    as_json = F.when(text.contains(r"\x"), rewritten).otherwise(text)
     options = {"mode": "FAILFAST", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     refused = F.raise_error(F.concat(F.lit("cannot decode "), F.left(text, F.lit(200)))).cast(kind)
-    return F.when(text.rlike(odd + "U"), refused).otherwise(F.from_json(as_json, kind, options))
+    return F.when(text.contains(r"\U") & text.rlike(odd + "U"), refused).otherwise(F.from_json(as_json, kind, options))
 
 
 def _decoded_schema(text: Column) -> Column:

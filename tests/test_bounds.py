@@ -77,6 +77,20 @@ def test_csv_files_are_short(spark, tmp_path):
     assert sorted(back.select(columns).collect()) == sorted(records.select(columns).collect())
 
 
+def test_csv_files_take_little_disk(spark, tmp_path):
+    content = f"concat('{'Answer with one query. ' * 40}', 'C:', chr(92), 'Users ', chr(92), 'x41 ', id)"
+    records = spark.sql(f"SELECT {RECORDS.replace("concat('q', chr(10), id)", content)} FROM range(0, 3000, 1, 2)")
+    path, plain = tmp_path / "csv", tmp_path / "plain"
+    split_io.write_splits_csv(records, str(path))
+    split_io.write_splits_csv(records, str(plain), compression="none")
+    size = lambda folder: sum(f.stat().st_size for f in folder.glob("split=*/part-*"))
+    assert 0 < size(path) < size(plain) / 8
+    columns = sorted(records.columns)
+    for folder in (path, plain):
+        back = split_io.read_splits(spark, str(folder), "csv")
+        assert sorted(back.select(columns).collect()) == sorted(records.select(columns).collect())
+
+
 def test_writing_splits_does_not_sort_the_records(spark, tmp_path, monkeypatch):
     seen = []
     for kind in ("parquet", "csv"):
